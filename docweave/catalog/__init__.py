@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from docweave.catalog import extraction  # noqa: F401
+from docweave.catalog import analytics, extraction, textprep  # noqa: F401
 from docweave.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
