@@ -43,7 +43,9 @@ def lemma_sql(word: str) -> str:
 
 
 def documents(spark: SparkSession, base: str) -> DataFrame:
-    return load(spark, base, "documents").select(F.col("doc_id").alias("document_id"), "text", "lang", "source")
+    return derived.source(spark, base, "documents").select(
+        F.col("doc_id").alias("document_id"), "text", "lang", "source"
+    )
 
 
 @query("clean_text", f"SELECT doc_id AS document_id, {CLEAN} AS cleaned FROM documents")

@@ -60,18 +60,20 @@ LEMMA_ENDINGS = [
 
 def clean_text(text: Column) -> Column:
     """ASCII letters in lower case with single blanks; NULL becomes ''."""
-    letters = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^a-zA-Z{SPACE}]", "")
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^a-zA-Z{SPACE}]+", "")
     return F.trim(F.regexp_replace(F.lower(letters), rf"[{SPACE}]+", " "))
 
 
 def tokenize(cleaned: Column) -> Column:
     """Word tokens of a cleaned text."""
-    joined = cleaned
-    for word, parts in CONTRACTIONS.items():
-        joined = F.when(
-            cleaned.contains(word), F.regexp_replace(joined, rf"\b{word}\b", parts)
-        ).otherwise(joined)
-    return F.filter(F.split(joined, " "), lambda t: t != "")
+
+    def cut(line: Column) -> Column:
+        out = line
+        for word, parts in CONTRACTIONS.items():
+            out = F.when(line.contains(word), F.regexp_replace(out, rf"\b{word}\b", parts)).otherwise(out)
+        return F.filter(F.split(out, " "), lambda t: t != "")
+
+    return let(cleaned, cut)
 
 
 def remove_stopwords(tokens: Column, words: Iterable[str] = STOP_WORDS) -> Column:

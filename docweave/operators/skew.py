@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 
 def salted_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], spread: str, salts: int = 16, how: str = "inner"
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], spread: str, salts: int = 4, how: str = "inner"
 ) -> DataFrame:
     """Join a large side to a lookup with one row per key.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.operators.logs import STEPS
-from docweave.sources.tables import load
+from docweave.sources.tables import load, spread
 
 NL = "chr(10)"
 # 2024-01-01T00:00:00Z, the start of the derived calendars.
@@ -131,6 +131,15 @@ union all
 select concat('pages/', {text('page_id')}, '.html') as name, cast(length(html) as bigint) as size,
   {EPOCH_US} + (page_id * 104729 % 86400) * 60000000 as created_us from {{pages}}"""
 
+# Column that spreads a small input over the cores before the row work starts.
+KEYS = {
+    "orders": "o_orderkey",
+    "customer": "c_custkey",
+    "conversations": "turn",
+    "documents": "doc_id",
+    "events": "event_id",
+    "pages": "page_id",
+}
 TABLES = {
     "invoices": (INVOICES, ["orders"]),
     "cards": (CARDS, ["customer"]),
@@ -152,13 +161,18 @@ OCR_COLUMNS = f"""
   case when (document_id + page) % 17 = 0 then '' else substr(text, (page - 1) * {PAGE_CHARS} + 1, {PAGE_CHARS}) end as text"""
 VISION_COLUMNS = f"""
   'google_vision' as engine, (document_id * 53 + page * 29) % 101 / cast(100 as double) as confidence,
-  case when (document_id + page) % 13 = 0 then '' else upper(substr(text, (page - 1) * {PAGE_CHARS} + 1, {PAGE_CHARS})) end as text"""
+  case when (document_id + page) % 13 = 0 then '' else concat('> ', substr(text, (page - 1) * {PAGE_CHARS} + 1, {PAGE_CHARS})) end as text"""
+
+
+def source(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """A table, spread over the cores if it is small."""
+    return spread(load(spark, base, table), KEYS[table])
 
 
 def derive(spark: SparkSession, base: str, name: str) -> DataFrame:
     """A derived table by name."""
     query, needs = TABLES[name]
-    return spark.sql(query, **{t: load(spark, base, t) for t in needs})
+    return spark.sql(query, **{t: source(spark, base, t) for t in needs})
 
 
 def texts(spark: SparkSession, base: str, names: list[str] = TEXTS) -> DataFrame:
@@ -174,7 +188,7 @@ def ocr_pages(spark: SparkSession, base: str) -> DataFrame:
     paged = spark.sql(
         f"""select doc_id as document_id, text, explode(sequence(1,
         greatest(1, cast(ceil(length(text) / {PAGE_CHARS}.0D) as int)))) as page from {{documents}}""",
-        documents=load(spark, base, "documents"),
+        documents=source(spark, base, "documents"),
     )
     return spark.sql(
         f"""select document_id, page, {OCR_COLUMNS} from {{paged}}

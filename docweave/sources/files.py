@@ -66,12 +66,13 @@ def read_batch_requests(spark: SparkSession, path: str) -> DataFrame:
 def parse_batch_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """JSON bodies to requests with an ``error``: unreadable, or no list of texts."""
     parsed = df.withColumn("r", F.from_json(body, BATCH_REQUEST))
-    kind = F.schema_of_variant(F.try_parse_json(F.get_json_object(body, "$.texts")))
+    whole = F.try_parse_json(F.col(body))
+    kind = F.schema_of_variant(F.try_variant_get(whole, "$.texts", "variant"))
     return parsed.select(
         *[c for c in df.columns if c != body],
         "r.texts",
         "r.options",
-        F.when(F.try_parse_json(F.col(body)).isNull(), "No JSON data provided")
+        F.when(whole.isNull(), "No JSON data provided")
         .when(kind.isNull(), "No texts provided")
         .when(~kind.startswith("ARRAY"), "Texts must be a list")
         .alias("error"),

@@ -22,3 +22,15 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
         if isinstance(f.dataType, T.TimestampNTZType)
     }
     return df.withColumns(casts) if casts else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy row work enough tasks when the input has fewer than the cluster has cores.
+
+    A small table is often one file and so one task. Inputs with enough splits are left alone: at
+    scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
