@@ -11,6 +11,15 @@ from docweave.operators.relational import latest_by_key
 from docweave.sources.derived import requests
 from docweave.sources.tables import load
 
+SESSIONS = """SELECT user_id AS client_id, session, min(us) AS start_us, max(us) AS end_us, count(*) AS events FROM (
+SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id)::BIGINT AS session FROM (
+SELECT event_id, user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY ALL"""
+# A fold over the requests of a client in time order; only the last three admitted ones matter.
+LIMITED = """WITH a AS (SELECT user_id, list_reduce(list_sort(list(epoch_us(ts))),
+  lambda acc, x: CASE WHEN len(list_filter(acc[-3:], lambda t: t > x - 86400000000)) < 3 THEN list_append(acc, x) ELSE acc END,
+  []::BIGINT[]) AS stamps FROM events GROUP BY user_id)
+SELECT event_id, user_id AS client_id, list_contains(stamps, epoch_us(ts)) AS admitted FROM events JOIN a USING (user_id)"""
+
 
 @query(
     "win_rate_count",
@@ -20,12 +29,7 @@ def win_rate_count(spark: SparkSession, base: str) -> DataFrame:
     return ops.preceding_counts(requests(spark, base)).select("event_id", "client_id", "recent")
 
 
-@query(
-    "stream_session_timeout",
-    """SELECT user_id AS client_id, session, min(us) AS start_us, max(us) AS end_us, count(*) AS events FROM (
-SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id)::BIGINT AS session FROM (
-SELECT event_id, user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY ALL""",
-)
+@query("stream_session_timeout", SESSIONS)
 def stream_session_timeout(spark: SparkSession, base: str) -> DataFrame:
     return ops.gap_sessions(requests(spark, base))
 
@@ -54,7 +58,7 @@ def stream_status(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-@query("rate_limit_exact")
+@query("rate_limit_exact", LIMITED)
 def rate_limit_exact(spark: SparkSession, base: str) -> DataFrame:
     """Three requests a day: events are sparse, so the window is long."""
     return ops.limit_requests(requests(spark, base), seconds=86_400, limit=3).select("event_id", "client_id", "admitted")

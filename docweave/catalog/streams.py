@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.catalog.events import LIMITED, SESSIONS
 from docweave.catalog.registry import query
 from docweave.functions.classify import document_type
 from docweave.operators.entities import extract
@@ -13,8 +14,9 @@ from docweave.streaming import jobs
 
 
 def table_stream(spark: SparkSession, base: str, name: str) -> DataFrame:
-    path = f"{base}/{name}.parquet"
-    return jobs.read_stream(spark, path, spark.read.parquet(path).schema)
+    """A table as a stream; the pattern fits a single file as well as a folder of parts."""
+    schema = spark.read.parquet(f"{base}/{name}.parquet").schema
+    return jobs.read_stream(spark, f"{base}/{name}.parque[t]", schema)
 
 
 @query(
@@ -39,20 +41,35 @@ def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{target}/documents").select("document_id", "n_chars", "text_length")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", LIMITED)
 def stream_rate_limit(spark: SparkSession, base: str) -> DataFrame:
     events = table_stream(spark, base, "events").select("event_id", F.col("user_id").alias("client_id"), "ts")
-    return jobs.drain(jobs.limit_stream(events, seconds=86_400, limit=3), "rate-limit")
+    out = jobs.drain(jobs.limit_stream(events, seconds=86_400, limit=3), "rate-limit")
+    return out.select("event_id", "client_id", "admitted")
 
 
-@query("stream_rate_windows_live")
+@query(
+    "stream_rate_windows_live",
+    """SELECT client_id, start_us, count(*) AS requests FROM (
+SELECT user_id AS client_id, (epoch_us(ts) // 10000000 - k) * 10000000 AS start_us FROM events, range(6) r(k))
+WHERE start_us + 60000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000 GROUP BY ALL""",
+)
 def stream_rate_windows_live(spark: SparkSession, base: str) -> DataFrame:
     """Windows that the watermark has closed."""
     events = table_stream(spark, base, "events").select(F.col("user_id").alias("client_id"), "ts")
-    return jobs.drain(jobs.rate_windows(events), "rate-windows")
+    out = jobs.drain(jobs.rate_windows(events), "rate-windows")
+    return out.select("client_id", F.unix_micros("start").alias("start_us"), "requests")
 
 
-@query("stream_sessions_live")
+@query(
+    "stream_sessions_live",
+    f"""SELECT client_id, start_us, end_us + 3600000000 AS end_us, events FROM ({SESSIONS})
+WHERE end_us + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000""",
+)
 def stream_sessions_live(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions that the watermark has closed; they end one pause after their last event."""
     events = table_stream(spark, base, "events").select(F.col("user_id").alias("client_id"), "ts")
-    return jobs.drain(jobs.sessions(events), "sessions")
+    out = jobs.drain(jobs.sessions(events), "sessions")
+    return out.select(
+        "client_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events"
+    )

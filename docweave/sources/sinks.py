@@ -97,7 +97,7 @@ def log_rows(logs: DataFrame) -> DataFrame:
         row_id(F.col("document_id"), F.col("step"), F.col("timestamp")).alias("id"),
         "document_id",
         F.col("step").alias("processing_step"),
-        F.when("success", "completed").otherwise("failed").alias("status"),
+        F.when(F.col("success"), "completed").otherwise("failed").alias("status"),
         F.when(~F.col("success"), F.concat(F.col("step"), F.lit(" failed"))).alias("error_message"),
         F.col("duration").alias("processing_time"),
         F.col("timestamp").alias("created_at"),

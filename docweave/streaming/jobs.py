@@ -106,11 +106,16 @@ def latest_status(stream: DataFrame) -> DataFrame:
 
 
 def limit_stream(
-    stream: DataFrame, seconds: int = WINDOW_SECONDS, limit: int = REQUESTS_PER_WINDOW
+    stream: DataFrame,
+    seconds: int = WINDOW_SECONDS,
+    limit: int = REQUESTS_PER_WINDOW,
+    lateness: str = "10 minutes",
 ) -> DataFrame:
     """Exact limiter with keyed state: the stamps of the admitted requests of the last window.
 
-    State is ``limit`` numbers per client and expires one window after the last request.
+    State is at most ``limit`` numbers per client. It expires in event time, once the watermark has
+    passed the last stamp by a window. One micro-batch of one client is sorted in memory; the
+    trigger bounds its size.
     """
     span = seconds * MICROS
 
@@ -119,32 +124,29 @@ def limit_stream(
             state.remove()
             return
         kept = list(state.get[0]) if state.exists else []
-        for frame in sorted_frames(frames):
-            verdicts = []
-            for us in frame["us"]:
-                kept = [s for s in kept if s > us - span]
-                verdicts.append(len(kept) < limit)
-                if verdicts[-1]:
-                    kept.append(int(us))
-            yield pd.DataFrame(
-                {"event_id": frame["event_id"], "client_id": key[0], "us": frame["us"], "admitted": verdicts}
-            )
+        batch = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        verdicts = []
+        for us in batch["us"]:
+            kept = [s for s in kept if s > us - span]
+            verdicts.append(len(kept) < limit)
+            if verdicts[-1]:
+                kept.append(int(us))
+        expires = (kept[-1] + span) // 1000 + 1
         state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
-
-    def sorted_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One micro-batch of one client in time order; the trigger bounds its size."""
-        whole = pd.concat(list(frames))
-        yield whole.sort_values(["us", "event_id"])
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(
+            {"event_id": batch["event_id"], "client_id": key[0], "us": batch["us"], "admitted": verdicts}
+        )
 
     return (
-        stream.select("event_id", "client_id", F.unix_micros("ts").alias("us"))
+        stream.withWatermark("ts", lateness)
+        .select("event_id", "client_id", "ts", F.unix_micros("ts").alias("us"))
         .groupBy("client_id")
         .applyInPandasWithState(
             admit,
             "event_id bigint, client_id bigint, us bigint, admitted boolean",
             "stamps array<bigint>",
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
