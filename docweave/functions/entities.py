@@ -51,6 +51,21 @@ REQUIRED_CHAR = {
     "tax_id": "-",
 }
 
+# Words of which a match has at least one; looked for in the lower-cased text.
+REQUIRED_WORDS = {
+    "invoice_number": ["inv"],
+    "po_number": ["po", "purchase order"],
+    "tax_id": ["ein", "tax id"],
+    "account_number": ["acct", "account"],
+    "routing_number": ["aba", "routing"],
+    "total_amount": ["total", "amount due"],
+    "subtotal": ["subtotal"],
+    "tax_amount": ["tax", "vat"],
+    "discount": ["discount"],
+}
+# Letters that equal an ASCII letter only when case is ignored; lower-casing does not show it.
+_FOLDING = "[\u0130\u0131\u017f\u212a]"
+
 ENTITY = (
     "struct<entity_type:string,text:string,start:int,end:int,"
     "value:string,confidence:double,method:string>"
@@ -61,7 +76,9 @@ ENTITY = (
 # that run. Cutting such runs out first, from their first character, is linear; the address
 # expression alone would try every digit of a run against the whole rest of it. Digits of other
 # scripts may stand before a run but not in it, so texts with such digits take the direct way.
-_RUN = r"(?<![A-Za-z0-9\s,.-])" + ADDRESS.removeprefix(r"\d+\s+")
+_RUN = (
+    r"(?<![A-Za-z0-9\s,.-])(?=[A-Za-z0-9\s,.-]*[0-9]\s)" + ADDRESS.removeprefix(r"\d+\s+")
+)
 _OTHER_DIGIT = r"[\p{Nd}&&[^0-9]]"
 
 
@@ -100,6 +117,12 @@ def _spans(text: Column, name: str, pattern: str, confidence: float, method: str
     )
     none = F.array().cast(f"array<{ENTITY}>")
     present = text.contains(REQUIRED_CHAR[name]) if name in REQUIRED_CHAR else text.isNotNull()
+    if name in REQUIRED_WORDS:
+        low = F.lower(text)
+        word = text.rlike(_FOLDING)
+        for w in REQUIRED_WORDS[name]:
+            word = low.contains(w) | word
+        present = present & word
     return F.when(present, typed).otherwise(none)
 
 

@@ -51,7 +51,9 @@ def jvm(pattern: str, dotall: bool = False, ignore_case: bool = True) -> str:
             i += 1
             continue
         i += 2
-    flags = "u" + ("i" if ignore_case else "") + "d" + ("s" if dotall else "")
+    # Folding case costs at every character; a pattern without letters does not need it.
+    letters = re.search(r"[A-Za-z]", re.sub(r"\\p\{\w+\}|\\.", "", source))
+    flags = ("iu" if ignore_case and letters else "") + "d" + ("s" if dotall else "")
     return f"(?{flags})" + "".join(out)
 
 
@@ -104,38 +106,57 @@ def _running(values: Column) -> Column:
     return let(totals, with_totals)
 
 
+# A noncharacter: no proper text holds it, and a text that does is matched twice instead.
+_MARK = "\uffff"
+
+
 def find_spans(text: Column, pattern: str, value_group: int | None = None) -> Column:
     """All matches with half-open code-point offsets.
 
     ``ARRAY<STRUCT<text,start,end,value>>``; ``value`` is NULL unless a group is asked for. The
-    engine has no offset function: the pieces *between* the matches come from ``split``, and the
-    running length of pieces and matches gives every start. Texts without a match stop after the
-    first scan.
+    engine has no offset function. So one replacement puts marks around every match, the marked text
+    is cut at the marks, and the running length of the pieces gives every start.
     """
     java = jvm(pattern)
+    step = 3 if value_group else 2
 
-    def build(found: Column) -> Column:
-        pieces = F.transform(F.split(text, java, -1), F.length)
-        values = find_all(text, pattern, value_group) if value_group else F.transform(
-            found, lambda _: F.lit(None).cast("string")
+    def place(pieces: Column) -> Column:
+        """``pieces``: gap, match (, value), gap, match (, value), …, gap."""
+        lengths = F.transform(
+            pieces, lambda p, i: F.when(i % step == 2, 0).otherwise(F.length(p)) if value_group else F.length(p)
         )
-
-        def place(gaps: Column) -> Column:
-            widths = F.transform(found, lambda m, i: F.length(m) + gaps[i])
-            return let(
-                F.struct(let(widths, _running).alias("before"), values.alias("values")),
-                lambda s: F.transform(
-                    found,
-                    lambda m, i: F.struct(
-                        m.alias("text"),
-                        (s["before"][i] + gaps[i]).alias("start"),
-                        (s["before"][i] + gaps[i] + F.length(m)).alias("end"),
-                        s["values"][i].alias("value"),
-                    ),
-                ),
-            )
-
-        return F.when(F.size(found) > 0, let(pieces, place))
-
-    spans = let(F.regexp_extract_all(text, F.lit(java), F.lit(0)), build)
-    return F.coalesce(spans, F.array().cast("array<struct<text:string,start:int,end:int,value:string>>"))
+        hits = F.sequence(F.lit(0), ((F.size(pieces) - 1) / step).cast("int") - 1)
+
+        def span(before: Column) -> Column:
+            def one(k: Column) -> Column:
+                at = k * step + 1
+                return F.struct(
+                    pieces[at].alias("text"),
+                    before[at].alias("start"),
+                    (before[at] + F.length(pieces[at])).alias("end"),
+                    (pieces[at + 1] if value_group else F.lit(None).cast("string")).alias("value"),
+                )
+
+            return F.transform(hits, one)
+
+        return F.when(F.size(pieces) > 1, let(let(lengths, _running), span))
+
+    marked = f"{_MARK}$0{_MARK}" + (f"${value_group}{_MARK}" if value_group else "")
+    once = F.split(F.regexp_replace(text, java, marked), _MARK, -1)
+    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    gaps = F.split(text, java, -1)
+    if value_group:
+        values = F.regexp_extract_all(text, F.lit(java), F.lit(value_group))
+        rows = F.zip_with(found, values, lambda m, v: F.array(m, v))
+    else:
+        rows = F.transform(found, lambda m: F.array(m))
+    twice = let(
+        F.struct(gaps.alias("g"), rows.alias("r")),
+        lambda s: F.flatten(
+            F.transform(s["g"], lambda g, i: F.concat(F.array(g), F.coalesce(F.get(s["r"], i), F.array().cast("array<string>"))))
+        ),
+    )
+    pieces = F.when(text.contains(_MARK), twice).otherwise(once)
+    return F.coalesce(
+        let(pieces, place), F.array().cast("array<struct<text:string,start:int,end:int,value:string>>")
+    )

@@ -198,19 +198,22 @@ def confusion_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
     )
 
 
-def tfidf_model(df: DataFrame, size: int = 1000) -> PipelineModel:
-    """Unit TF-IDF vectors over the ``size`` most frequent terms; needs ``words``.
+def term_vectors(df: DataFrame, size: int = 1000) -> DataFrame:
+    """Add ``tf``: counts of the ``size`` most frequent terms; needs ``words``."""
+    return CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size).fit(df).transform(df)
 
-    Term counting, weighting and scaling stay on the JVM; only ``size`` document frequencies reach
-    the driver, where the smoothed weights are worked out.
+
+def tfidf_model(counted: DataFrame) -> PipelineModel:
+    """Unit TF-IDF vectors from ``tf``.
+
+    Counting, weighting and scaling stay on the JVM; only the document frequencies of the bounded
+    vocabulary reach the driver, where the smoothed weights are worked out.
     """
-    counter = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size).fit(df)
-    freq = IDF(inputCol="tf", outputCol="unused").fit(counter.transform(df))
+    freq = IDF(inputCol="tf", outputCol="unused").fit(counted)
     n = freq.numDocs
     smoothed = [math.log((1.0 + n) / (1.0 + d)) + 1.0 for d in freq.docFreq]
     return PipelineModel(
         stages=[
-            counter,
             ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(smoothed)),
             Normalizer(inputCol="weighted", outputCol="features", p=2.0),
         ]
@@ -218,14 +221,20 @@ def tfidf_model(df: DataFrame, size: int = 1000) -> PipelineModel:
 
 
 def cluster(df: DataFrame, key: str, clusters: int = 3, size: int = 1000) -> DataFrame:
-    """``(key, cluster)`` by k-means on TF-IDF vectors; at most one cluster per document."""
-    worded = with_terms(df).select(key, "words")
-    vectors = tfidf_model(worded, size).transform(worded).select(key, "features")
+    """``(key, cluster)`` by k-means on TF-IDF vectors; at most one cluster per document.
+
+    The counts, small sparse rows, are kept while the models are fitted and recomputed afterwards.
+    """
     available = df.limit(clusters).count()
     if available < 2:
         return df.select(key, F.lit(0).alias("cluster"))
-    model = KMeans(k=min(clusters, available), seed=SEED, maxIter=20).fit(vectors)
-    return model.transform(vectors).select(key, F.col("prediction").alias("cluster"))
+    counted = term_vectors(with_terms(df).select(key, "words"), size).select(key, "tf").persist()
+    try:
+        scale = tfidf_model(counted)
+        model = KMeans(k=min(clusters, available), seed=SEED, maxIter=20).fit(scale.transform(counted))
+    finally:
+        counted.unpersist()
+    return model.transform(scale.transform(counted)).select(key, F.col("prediction").alias("cluster"))
 
 
 def cluster_members(df: DataFrame, assigned: DataFrame, key: str, size: int = 200) -> DataFrame:

@@ -22,6 +22,24 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_salted_join(
+    facts: DataFrame, lookup: DataFrame, on: str, weight: str, limit: Column, spread: str, salts: int = 64
+) -> DataFrame:
+    """The same, where the lookup knows how many facts each key has (``weight``).
+
+    Only keys with more than ``limit`` facts are salted; there are at most ``facts / limit`` of them,
+    which is what bounds the broadcast of their names. All other keys join as they are.
+    """
+    heavy = F.col(weight) > limit
+    hot = lookup.where(heavy).select(on, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    left = facts.join(F.broadcast(hot), on, "left").select(
+        *facts.columns, F.when(F.col("_hot"), salt).otherwise(0).alias("_salt")
+    )
+    every = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(lookup.withColumn("_salt", F.explode(every)), [on, "_salt"]).drop("_salt")
+
+
 def left_join_many(parent: DataFrame, child: DataFrame, on: str) -> DataFrame:
     """Left join of one parent row to any number of child rows.
 

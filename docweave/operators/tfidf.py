@@ -15,7 +15,7 @@ from pyspark.sql import window as W
 
 from docweave.functions.regex import strip
 from docweave.functions.text import chunks, sentences, terms
-from docweave.operators.skew import salted_join
+from docweave.operators.skew import hot_salted_join
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -146,12 +146,16 @@ def tfidf(df: DataFrame, key: str = "document_id", text_col: str = "text") -> Da
 
 
 def weights(df: DataFrame, key: str, items: Column) -> DataFrame:
-    """Unscaled TF-IDF weights. The document frequency comes back by a salted join."""
+    """Unscaled TF-IDF weights. Document frequencies come back by a join.
+
+    A term has one row per document it is in. Terms in more than a fiftieth of the documents are
+    salted; a document of ``m`` terms leaves room for at most ``50 m`` of them on average.
+    """
     placed = df.repartition(key)
     tf = term_counts(placed, key, items)
     n = df.select(F.count("*").alias("n")).scalar()
     freq = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return salted_join(tf, freq, ["term"], key).withColumn(
+    return hot_salted_join(tf, freq, "term", "df", n / 50.0, key).withColumn(
         "weight", F.col("tf") * idf(n, F.col("df"))
     )
 
