@@ -33,8 +33,8 @@ TRIMMED = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
 
 
 def lemma_sql(word: str) -> str:
-    cases = [f"WHEN length({word}) <= 3 THEN {word}"]
-    cases += [f"WHEN {word} = '{a}' THEN '{b}'" for a, b in prep.IRREGULAR_NOUNS.items()]
+    cases = [f"WHEN {word} = '{a}' THEN '{b}'" for a, b in prep.IRREGULAR_NOUNS.items()]
+    cases += [f"WHEN length({word}) <= 3 THEN {word}"]
     cases += [
         f"WHEN ends_with({word}, '{e}') THEN left({word}, length({word}) - {len(e)}) || '{b}'"
         for e, b in prep.LEMMA_ENDINGS

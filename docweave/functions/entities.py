@@ -51,6 +51,16 @@ REQUIRED_CHAR = {
     "tax_id": "-",
 }
 
+# What a match can begin with. Looked at first, it turns most positions away at once.
+FIRST_CHAR = {
+    "phone": r"[+(\d]",
+    "ssn": r"\d",
+    "credit_card": r"\d",
+    "date": r"\d",
+    "percentage": r"\d",
+    "zip_code": r"\d",
+    "ip_address": r"\d",
+}
 # Words of which a match has at least one; looked for in the lower-cased text.
 REQUIRED_WORDS = {
     "invoice_number": ["inv"],
@@ -98,10 +108,24 @@ def _address_spans(text: Column) -> Column:
         ),
     )
     direct = F.transform(find_spans(text, ADDRESS), lambda s: stripped(s, F.lit(0)))
-    return F.when(text.rlike(_OTHER_DIGIT), direct).otherwise(F.flatten(by_run))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(~ascii_only & text.rlike(_OTHER_DIGIT), direct).otherwise(F.flatten(by_run))
 
 
 def _spans(text: Column, name: str, pattern: str, confidence: float, method: str, group=None) -> Column:
+    # The checks belong to the given patterns; a caller's own one under the same name has none.
+    given = pattern in (PATTERNS.get(name), FINANCIAL.get(name))
+    present = text.isNotNull()
+    if given and name in REQUIRED_CHAR:
+        present = text.contains(REQUIRED_CHAR[name])
+    if given and name in REQUIRED_WORDS:
+        low = F.lower(text)
+        word = text.rlike(_FOLDING)
+        for w in REQUIRED_WORDS[name]:
+            word = low.contains(w) | word
+        present = present & word
+    if given and name in FIRST_CHAR:
+        pattern = f"(?={FIRST_CHAR[name]})(?:{pattern})"
     found = _address_spans(text) if name == "address" else find_spans(text, pattern, group)
     typed = F.transform(
         found,
@@ -115,15 +139,7 @@ def _spans(text: Column, name: str, pattern: str, confidence: float, method: str
             F.lit(method).alias("method"),
         ),
     )
-    none = F.array().cast(f"array<{ENTITY}>")
-    present = text.contains(REQUIRED_CHAR[name]) if name in REQUIRED_CHAR else text.isNotNull()
-    if name in REQUIRED_WORDS:
-        low = F.lower(text)
-        word = text.rlike(_FOLDING)
-        for w in REQUIRED_WORDS[name]:
-            word = low.contains(w) | word
-        present = present & word
-    return F.when(present, typed).otherwise(none)
+    return F.when(present, typed).otherwise(F.array().cast(f"array<{ENTITY}>"))
 
 
 def pattern_entities(

@@ -60,18 +60,19 @@ LEMMA_ENDINGS = [
 
 def clean_text(text: Column) -> Column:
     """ASCII letters in lower case with single blanks; NULL becomes ''."""
-    letters = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^a-zA-Z{SPACE}]+", "")
-    return F.trim(F.regexp_replace(F.lower(letters), rf"[{SPACE}]+", " "))
+    kept = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[a-zA-Z{SPACE}]+"), F.lit(0))
+    return F.trim(F.regexp_replace(F.lower(F.array_join(kept, "")), rf"[{SPACE}]+", " "))
 
 
 def tokenize(cleaned: Column) -> Column:
     """Word tokens of a cleaned text."""
 
     def cut(line: Column) -> Column:
-        out = line
+        any_of, whole = F.lit(False), line
         for word, parts in CONTRACTIONS.items():
-            out = F.when(line.contains(word), F.regexp_replace(out, rf"\b{word}\b", parts)).otherwise(out)
-        return F.filter(F.split(out, " "), lambda t: t != "")
+            any_of = any_of | line.contains(word)
+            whole = F.regexp_replace(whole, rf"\b{word}\b", parts)
+        return F.filter(F.split(F.when(any_of, whole).otherwise(line), " "), lambda t: t != "")
 
     return let(cleaned, cut)
 
@@ -82,9 +83,10 @@ def remove_stopwords(tokens: Column, words: Iterable[str] = STOP_WORDS) -> Colum
 
 def lemma(word: Column, exceptions: Mapping[str, str] = IRREGULAR_NOUNS) -> Column:
     """Noun lemma by ending, after a look at the exceptions."""
-    out = F.when(F.length(word) <= 3, word)
+    out = F
     for irregular, base in exceptions.items():
         out = out.when(word == irregular, F.lit(base))
+    out = out.when(F.length(word) <= 3, word)
     for ending, base in LEMMA_ENDINGS:
         out = out.when(
             word.endswith(ending),
