@@ -61,6 +61,11 @@ FIRST_CHAR = {
     "zip_code": r"\d",
     "ip_address": r"\d",
 }
+# The same matches without backtracking: from the first digit of a run only, and giving nothing back
+# where giving back cannot help. Long runs of digits or blanks would cost their square otherwise.
+_RUN_OF_DIGITS = {"percentage": r"(?<!\d)\d++(?:\.\d*+)?%"}
+_GIVES_NOTHING_BACK = {r"[#\s]*:?\s*": r"[#\s]*+:?\s*+", r"[:\s]*\$?": r"[:\s]*+\$?"}
+
 # Words of which a match has at least one; looked for in the lower-cased text.
 REQUIRED_WORDS = {
     "invoice_number": ["inv"],
@@ -124,6 +129,10 @@ def _spans(text: Column, name: str, pattern: str, confidence: float, method: str
         for w in REQUIRED_WORDS[name]:
             word = low.contains(w) | word
         present = present & word
+    if given:
+        pattern = _RUN_OF_DIGITS.get(name, pattern)
+        for slow, fast in _GIVES_NOTHING_BACK.items():
+            pattern = pattern.replace(slow, fast)
     if given and name in FIRST_CHAR:
         pattern = f"(?={FIRST_CHAR[name]})(?:{pattern})"
     found = _address_spans(text) if name == "address" else find_spans(text, pattern, group)

@@ -21,6 +21,8 @@ JOB = (
     r"(?i)([a-zA-Z\s]+"
     r"(?:engineer|manager|analyst|developer|consultant|specialist|coordinator))"
 )
+# A title ends the last one of a run of words, so only the start of a run needs to be tried.
+_JOB_RUN = r"(?<![a-zA-Z\s])" + JOB
 PARTIES = [
     r"(?i)between\s+(.+?)\s+and\s+(.+?)(?:\s+hereby|\s+agree|\s+enter)",
     r"(?i)party\s+[\"']?([^\"']+)[\"']?\s+and\s+[\"']?([^\"']+)[\"']?",
@@ -46,7 +48,7 @@ def resume_fields(text: Column) -> Column:
     return F.struct(
         name.alias("name"),
         listed(EDUCATION, DEGREE).alias("education"),
-        listed(EXPERIENCE, JOB).alias("experience"),
+        listed(EXPERIENCE, _JOB_RUN).alias("experience"),
     )
 
 

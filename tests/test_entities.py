@@ -69,12 +69,18 @@ def test_long_texts_stay_linear(spark):
     """Thousands of matches and of digits without an address must not take minutes."""
     import time
 
-    df = spark.createDataFrame([(1, "5551234567 " * 20_000), (2, "12 and 34 " * 50_000)], "document_id long, text string")
+    texts = ["5551234567 " * 20_000, "12 and 34 " * 50_000, "3" * 100_000 + " %", "invoice" + " " * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
     start = time.time()
     n = ops.explode_entities(
-        df, F.concat(cols.pattern_entities(F.col("text"), ["phone"]), cols.address_entities(F.col("text")))
+        df,
+        F.concat(
+            cols.pattern_entities(F.col("text"), ["phone", "percentage", "invoice_number"]),
+            cols.address_entities(F.col("text")),
+        ),
     ).count()
-    assert n == 20_000
+    # Thirteen digits a phone number in the run of threes, and "inv" followed by "oice".
+    assert n == 20_000 + 100_000 // 13 + 1
     assert time.time() - start < 60
 
 
@@ -124,6 +130,7 @@ def test_resume_and_contract_equal_python(spark):
         "made between A Ltd and B\nCo hereby agree. Effective date: 1/2/2024 Term of 2 years",
         'party "X" and "Y" agree; term\nis 3 months',
         "between A and B agree, effective 01-02-2024, term: 10day",
+        "Experience: engineer manager; analyst. Lead developer at X\nconsultant and then specialist work, coordinator",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
     rows = df.select(
