@@ -55,16 +55,27 @@ def with_position(
 ) -> DataFrame:
     """Zero-based position in the order of ``order``, without one global sort.
 
-    ``buckets`` are expressions that cut the order into consecutive pieces (the key divided by a
-    width). Rows are numbered inside their piece, and the pieces' sizes, one row per piece, are
-    summed up to give each its offset. The values depend on the data alone, so a task that is run
+    ``buckets`` are expressions that cut the order into consecutive pieces, coarse ones first (the
+    key divided by a width). Rows are numbered inside their piece. Sizes are summed up in two steps:
+    the pieces of one coarse bucket among themselves, and the coarse buckets, of which there should
+    be thousands rather than billions. The values depend on the data alone, so a task that is run
     again numbers its rows as before.
     """
     keys = [f"_b{i}" for i in range(len(buckets))]
+    coarse, fine = keys[0], keys[1:]
     cut = df.withColumns(dict(zip(keys, buckets, strict=True)))
     sizes = cut.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = W.Window.orderBy(*keys).rowsBetween(W.Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+    def before(window: W.WindowSpec, size: str) -> Column:
+        frame = window.rowsBetween(W.Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(size).over(frame), F.lit(0))
+
+    tops = sizes.groupBy(coarse).agg(F.sum("_n").alias("_total"))
+    tops = tops.select(coarse, before(W.Window.orderBy(coarse), "_total").alias("_start"))
+    inner = before(W.Window.partitionBy(coarse).orderBy(*fine), "_n") if fine else F.lit(0)
+    offsets = sizes.withColumn("_inner", inner).join(tops, coarse).select(
+        *keys, (F.col("_start") + F.col("_inner")).alias("_before")
+    )
     inside = W.Window.partitionBy(*keys).orderBy(*order)
     numbered = cut.withColumn("_i", F.row_number().over(inside) - 1)
     return (

@@ -110,7 +110,8 @@ def test_ingest_writes_what_batch_computes(spark):
 def test_positions(spark):
     rows = [(c, t) for c in range(7) for t in range(1 if c else 5000)]
     df = spark.createDataFrame(rows, "conv long, turn long").repartition(6)
-    got = with_position(df, ["turn"], [F.col("conv"), F.floor(F.col("turn") / 100)])
+    pieces = [F.floor(F.col("conv") / 3), F.col("conv"), F.floor(F.col("turn") / 100)]
+    got = with_position(df, ["turn"], pieces)
     assert [(r.conv, r.turn) for r in got.orderBy("position").collect()] == sorted(rows)
     assert got.agg(F.min("position"), F.max("position")).first() == (0, len(rows) - 1)
 
