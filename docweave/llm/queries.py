@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import toxicity
+from docweave.llm import quality, toxicity
 from docweave.llm.store import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@query
+def op1_quality_rules(spark: SparkSession, base: str) -> DataFrame:
+    """Counted features of every document, and the verdict of the fixed limits and perplexity bands."""
+    return quality.judge(table(spark, base, "documents"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, base: str) -> DataFrame:
     """A score for every document from labels outside the held-out fifth."""
