@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import quality, toxicity
+from docweave.llm import neardup, quality, toxicity
 from docweave.llm.store import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality.judge(table(spark, base, "documents"))
 
 
+@query
+def op6_minhash_neardup(spark: SparkSession, base: str) -> DataFrame:
+    """Groups of documents linked by 3-word shingles with a similarity of 0.85 or more."""
+    return neardup.groups(table(spark, base, "documents"), size=3, percent=85)
+
+
 @query
 def op9_toxicity(spark: SparkSession, base: str) -> DataFrame:
     """A score for every document from labels outside the held-out fifth."""

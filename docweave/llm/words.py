@@ -110,28 +110,33 @@ def slices(column: pa.Array, limit: int = PIECE) -> Iterator[Texts]:
         i = j
 
 
-def triples(texts: Texts, lower: bool, whole_if_short: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all 3-word windows, text after text, and each text's first one (and the end).
+_WEIGHTS = stream(17, 64) | np.uint64(1)
 
-    With ``whole_if_short`` a text of one or two words has one hash, of its whole sequence.
+
+def windows(texts: Texts, size: int, lower: bool, whole_if_short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``size`` words, text after text, and each text's first one (and the end).
+
+    With ``whole_if_short`` a text of fewer words has one hash, of its whole sequence.
     """
     h = texts.hashes(texts.prefix(lower), texts.starts, texts.ends)
     counts = np.diff(texts.bounds)
-    windows = np.maximum(counts - 2, 0)
-    a, b, c = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
-    at = np.repeat(texts.bounds[:-1], windows) + _ranks(windows)
-    out = mix(h[at] * a + h[at + 1] * b + h[at + 2] * c) if len(at) else np.zeros(0, np.uint64)
+    found = np.maximum(counts - size + 1, 0)
+    at = np.repeat(texts.bounds[:-1], found) + _ranks(found)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out += h[at + k] * _WEIGHTS[k]
+    out = mix(out)
     if whole_if_short:
-        short = np.flatnonzero((counts > 0) & (counts < 3))
+        short = np.flatnonzero((counts > 0) & (counts < size))
         if len(short):
-            first = texts.bounds[short]
-            two = np.where(counts[short] == 2, h[np.minimum(first + 1, len(h) - 1)] * b, np.uint64(0))
-            value = mix(h[first] * a + two + counts[short].astype(np.uint64) * _GOLD)
-            windows = windows.copy()
-            place = np.concatenate([[0], np.cumsum(windows)])[short]
-            out = np.insert(out, place, value)
-            windows[short] = 1
-    return out, np.concatenate([[0], np.cumsum(windows)])
+            value = counts[short].astype(np.uint64) * _GOLD
+            for k in range(size - 1):
+                there = np.minimum(texts.bounds[short] + k, len(h) - 1)
+                value += np.where(counts[short] > k, h[there] * _WEIGHTS[k], np.uint64(0))
+            place = np.concatenate([[0], np.cumsum(found)])[short]
+            out = np.insert(out, place, mix(value))
+            found[short] = 1
+    return out, np.concatenate([[0], np.cumsum(found)])
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
