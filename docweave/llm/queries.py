@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import neardup, quality, toxicity
+from docweave.llm import neardup, pii, quality, toxicity
 from docweave.llm.store import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def op1_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality.judge(table(spark, base, "documents"))
 
 
+@query
+def op3_pii(spark: SparkSession, base: str) -> DataFrame:
+    """Personal data in every document: spans of the patterns, and those that the random field adds."""
+    documents = table(spark, base, "documents")
+    return pii.digest(documents, pii.train(documents))
+
+
 @query
 def op6_minhash_neardup(spark: SparkSession, base: str) -> DataFrame:
     """Groups of documents linked by 3-word shingles with a similarity of 0.85 or more."""
