@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import neardup, pii, quality, toxicity
-from docweave.llm.store import ready, table
+from docweave.llm import neardup, packing, pii, quality, tokenfiles, tokens, toxicity
+from docweave.llm.store import new_path, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,14 @@ def op6_minhash_neardup(spark: SparkSession, base: str) -> DataFrame:
     return neardup.groups(table(spark, base, "documents"), size=3, percent=85)
 
 
+@query
+def op8_token_files(spark: SparkSession, base: str) -> DataFrame:
+    """Token ids of every document written to ORC in ascending order of ids, and read back."""
+    path = new_path(spark, "token-files")
+    tokenfiles.write(table(spark, base, "documents"), path, tokens.find("byte_bpe_50k.json"))
+    return tokenfiles.digest(spark, path)
+
+
 @query
 def op9_toxicity(spark: SparkSession, base: str) -> DataFrame:
     """A score for every document from labels outside the held-out fifth."""
@@ -56,3 +64,9 @@ def op9_toxicity(spark: SparkSession, base: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages"
     )
+
+
+@query
+def op10_swap_packing(spark: SparkSession, base: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2,048 tokens."""
+    return packing.pack(table(spark, base, "documents"), tokens.find("word_bpe_49k.json"))
