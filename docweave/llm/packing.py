@@ -27,7 +27,7 @@ CAPACITY = 2048
 END = 0
 GROUP = 4096  # pieces that a task packs at a time
 UNDERFULL = 0.99  # sequences below go on to the next round
-VICTIMS = 64  # sequences without an improving step, emptiest first, after which the search ends
+VICTIMS = 16  # sequences without an improving step, emptiest first, after which the search ends
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

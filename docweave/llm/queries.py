@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import neardup, packing, pii, quality, tokenfiles, tokens, toxicity
+from docweave.llm import neardup, packing, pii, quality, tokenfiles, tokens, topk, toxicity
 from docweave.llm.store import new_path, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,21 @@ def op3_pii(spark: SparkSession, base: str) -> DataFrame:
     return pii.digest(documents, pii.train(documents))
 
 
+ORACLES["op5_top_k"] = """WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+@query
+def op5_top_k(spark: SparkSession, base: str) -> DataFrame:
+    """The 20 highest integer scores of every twentieth vector against all others."""
+    return topk.top_k(table(spark, base, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query
 def op6_minhash_neardup(spark: SparkSession, base: str) -> DataFrame:
     """Groups of documents linked by 3-word shingles with a similarity of 0.85 or more."""
