@@ -305,7 +305,8 @@ def _sets(documents: DataFrame, members: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["node", "cluster", "cuts", "shingles"]).filter(pa.array(same))
 
     texts = alone(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(members.select("doc_id", "node", "cluster", "cuts"), "doc_id")
+    # A shuffle at every size: members grow with the input, so a plan that broadcasts them when few says nothing.
+    joined = texts.join(members.select("doc_id", "node", "cluster", "cuts").hint("merge"), "doc_id")
     out = joined.select("node", "cluster", "cuts", "text").mapInArrow(run, "node long, cluster long, cuts int, shingles binary")
     return out
 
