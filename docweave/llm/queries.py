@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import neardup, packing, pii, quality, tokenfiles, tokens, topk, toxicity
+from docweave.llm import htmltext, neardup, packing, pii, quality, tokenfiles, tokens, topk, toxicity, urls
 from docweave.llm.store import new_path, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     return quality.judge(table(spark, base, "documents"))
 
 
+@query
+def op2_url_filter(spark: SparkSession, base: str) -> DataFrame:
+    """The verdict on every page's URL, by the listed rules or by boosted trees."""
+    return urls.judge(table(spark, base, "pages"))
+
+
 @query
 def op3_pii(spark: SparkSession, base: str) -> DataFrame:
     """Personal data in every document: spans of the patterns, and those that the random field adds."""
@@ -62,6 +68,12 @@ def op6_minhash_neardup(spark: SparkSession, base: str) -> DataFrame:
     return neardup.groups(table(spark, base, "documents"), size=3, percent=85)
 
 
+@query
+def op7_html_text(spark: SparkSession, base: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, base, "pages"))
+
+
 @query
 def op8_token_files(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document written to ORC in ascending order of ids, and read back."""
