@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import htmltext, neardup, packing, pii, quality, tokenfiles, tokens, topk, toxicity, urls
+from docweave.llm import htmltext, neardup, packing, pii, quality, sampling, tokenfiles, tokens, topk, toxicity, urls
 from docweave.llm.store import new_path, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op3_pii(spark: SparkSession, base: str) -> DataFrame:
     return pii.digest(documents, pii.train(documents))
 
 
+@query
+def op4_sampled_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """A sampled segmentation of every document, seeded by its id, and whether it decodes to the text."""
+    return sampling.digest(table(spark, base, "documents"), tokens.find("piece_bpe_32k.model"))
+
+
 ORACLES["op5_top_k"] = """WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
