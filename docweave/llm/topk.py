@@ -10,7 +10,8 @@ passes is one row, whatever the number of candidates.
 Vectors that are null, empty or hold null or non-finite components take no part, neither as a query nor
 as a candidate; rows with a null id neither. Vectors of unequal length are filled up with zeros. Rows
 that share an id: each is a candidate, for other ids; as a query the id has the one that sorts first.
-Scores beyond 64 bits are limited to that range.
+Components are limited to 2**62, and scores to just
+less than 2**63, on either side.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from docweave.llm.store import alone, drop, keep
 QUERIES, CANDIDATES = 1024, 1024  # rows of a block
 BINS = 128  # ranges a pass counts in
 SCALE = 64
-_LONG = (1 << 63) - 1
+LIMIT = (1 << 63) - 4096  # scores beyond are limited to it
 
 
 def _quantised(vectors: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def _quantised(vectors: DataFrame) -> DataFrame:
     usable = F.coalesce(F.size(x) > 0, F.lit(False)) & F.col("vec_id").isNotNull()
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = alone(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), x.cast("array<double>").alias("embedding"))
-    return rows.where(usable & fine).select("vec_id", F.transform("embedding", lambda c: F.floor(c * F.lit(float(SCALE)))).alias("v"))
+    return rows.where(usable & fine).select("vec_id", F.transform("embedding", lambda c: F.floor(F.greatest(F.lit(-(2.0**62)), F.least(F.lit(2.0**62), c * F.lit(float(SCALE)))))).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -58,7 +59,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if high < 2.0**53:
         return np.rint(q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
     exact = q.astype(object) @ c.T.astype(object)
-    return np.clip(exact, -_LONG, _LONG).astype(np.int64)
+    return np.clip(exact, -LIMIT, LIMIT).astype(np.int64)
 
 
 class Search:
@@ -72,7 +73,7 @@ class Search:
             F.count("*"), F.count_if("is_query"), F.max(F.size("v")), F.max(size), F.max(F.when(F.col("is_query"), size))
         ).first()
         self.n, n_queries, self.width = facts[0], facts[1], facts[2] or 0
-        self.bound = min(_LONG - 1, int((facts[3] or 0.0) * (facts[4] or 0.0) * 1.0000001) + 1)  # no score lies beyond
+        self.bound = min(LIMIT, int((facts[3] or 0.0) * (facts[4] or 0.0) * 1.0000001) + 1)  # no score lies beyond
         self.q_blocks, self.c_blocks = max(1, -(-n_queries // QUERIES)), max(1, -(-self.n // CANDIDATES))
         best = Window.partitionBy("vec_id").orderBy("v")
         first = self.kept.where("is_query").withColumn("n", F.row_number().over(best)).where("n = 1")
@@ -105,7 +106,9 @@ def _counter(width: int):
         low, high, wide, need = (asked[x].to_numpy() for x in ("low", "high", "width", "need"))
         score = _scores(_matrix(asked["v"], width), _matrix(others["v"], width))
         # Below or above the ranges, or the query itself: counted nowhere.
-        at = np.clip((score - low[:, None]) // wide[:, None], -1, BINS)
+        # Differences of signed numbers are right as unsigned ones, whatever their size.
+        at = ((score.view(np.uint64) - low.view(np.uint64)[:, None]) // wide.view(np.uint64)[:, None]).astype(np.int64)
+        at[score < low[:, None]] = -1
         at[score > high[:, None]] = BINS
         at[q[:, None] == c[None]] = -1
         flat = (at + 1) + np.arange(len(q))[:, None] * (BINS + 2)
@@ -155,12 +158,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         # The first range at which the need is met, or the lowest one where it never is.
         hit = so_far.withColumn("left", F.col("need") - (F.col("upto") - F.col("n")))
         hit = hit.where("left > 0").groupBy("query_id").agg(F.min_by(F.struct("bin", "left", "low", "high"), "bin").alias("x"))
-        begin = F.col("x.low") + F.col("x.bin") * F.lit(wide)
+        wide_of = F.lit(wide).cast("decimal(20,0)")  # sums may pass 64 bits before they are limited
+        begin = F.col("x.low").cast("decimal(20,0)") + F.col("x.bin").cast("decimal(4,0)") * wide_of
         done, finer = wide == 1, max(1, -(-wide // BINS))
         new = hit.select(
             "query_id",
-            begin.alias("low"),
-            F.least("x.high", begin + F.lit(wide - 1)).alias("high"),
+            begin.cast("long").alias("low"),
+            F.least(F.col("x.high").cast("decimal(30,0)"), begin + wide_of - 1).cast("long").alias("high"),
             F.lit(finer).cast("long").alias("width"),
             F.col("x.left").alias("need"),
         )

@@ -10,7 +10,7 @@ the score.
 
 Inputs with null or empty texts get the score of a text without tokens. Label, language, source and id
 are never inputs of a score. Labels that are null are not learned from. Without any usable label, or
-with one class only, every score is the (smoothed) base rate.
+with one class only, every score is the (smoothed) base rate, and less than 0.5: nothing is called toxic.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     if both:
         _calibrate(sample, crossed, model)
     else:
-        model.weights = (0.0, 0.0, math.log(model.base / (1 - model.base)))
+        rate = min(model.base, 0.49)
+        model.weights = (0.0, 0.0, math.log(rate / (1 - rate)))
     drop(sample, chosen)
     return model
 
