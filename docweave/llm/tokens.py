@@ -2,7 +2,7 @@
 
 A tokeniser's own normaliser and splitter decide what a word becomes; they never look beyond a word when
 words are parted by single blanks and line ends, which is checked for every text. All other texts, and
-tokenisers of other kinds, are encoded as a whole. The memory is emptied when it holds ``WORDS`` words.
+tokenisers of other kinds, are encoded as a whole. The memory holds ``WORDS`` words and as many older ones.
 """
 
 from __future__ import annotations
@@ -11,7 +11,19 @@ import json
 from array import array
 from functools import cache
 
-WORDS = 400_000
+WORDS = 250_000
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = "\u024f"  # up to here a letter's lower case and composed form don't depend on its neighbours
+
+
+def _byte_signs() -> dict[int, int]:
+    """The printable sign that byte-level tokenisers write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_BYTES = _byte_signs()
 
 
 def find(name: str) -> str:
@@ -22,16 +34,20 @@ def find(name: str) -> str:
 
 
 class _Memory(dict):
-    """Encodes what it doesn't hold yet."""
+    """Encodes what it doesn't hold yet. When full it starts anew, but takes over what is met again."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
         if len(self) >= WORDS:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = self.encode(word)
+        self[word] = found
         return found
 
 
@@ -63,24 +79,32 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
+    def _plain(self, mark: str, word: str) -> bytes | None:
+        """Latin letters and a tail of ASCII marks are one piece each; None for words of other kinds."""
+        core = word.rstrip(_MARKS)
+        if not core.isalpha():
+            return None
+        known = core.lower() if self.kind == "words" else core
+        if not core.isascii():
+            if max(core) > _LATIN:
+                return None
+            known = known.encode("utf-8").decode("latin-1").translate(_BYTES)
+        out = self.pieces[mark + known]
+        return out + self.pieces[word[len(core) :]] if len(core) < len(word) else out
+
     def _parts(self, text: str) -> bytes:
         bare = text[1:] if text[:1] == " " else text
-        if bare.isascii():
-            mark = "Ġ" if bare is not text else ""
-            if bare.isalpha():
-                return self.pieces[mark + bare]
-            if bare[-1:] in (".", ",") and bare[:-1].isalpha():
-                return self.pieces[mark + bare[:-1]] + self.pieces[bare[-1]]
-        return b"".join([self.pieces[p] for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
+        found = self._plain("Ġ" if bare is not text else "", bare)
+        if found is None:
+            found = b"".join([self.pieces[p] for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
+        return found
 
     def _lower_parts(self, word: str) -> bytes:
-        if word.isascii():
-            if word.isalpha():
-                return self.pieces[word.lower()]
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return self.pieces[word[:-1].lower()] + self.pieces[word[-1]]
-        text = self.whole.normalizer.normalize_str(word)
-        return b"".join([self.pieces[p] for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
+        found = self._plain("", word)
+        if found is None:
+            text = self.whole.normalizer.normalize_str(word)
+            found = b"".join([self.pieces[p] for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
+        return found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
