@@ -219,8 +219,8 @@ def win_topk_sentences(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "chunked_summary",
-    f"""WITH d AS (SELECT * FROM (SELECT doc_id AS document_id, i AS chunk, substr(text, i * 1024 + 1, 1024) AS text FROM (
-SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1024.0) AS BIGINT))) AS i FROM documents)) WHERE length({TRIMMED}) >= 50),
+    f"""WITH d AS (SELECT document_id, chunk, text FROM (SELECT doc_id AS document_id, i AS chunk, length(text) <= 1024 AS whole, substr(text, i * 1024 + 1, 1024) AS text FROM (
+SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1024.0) AS BIGINT))) AS i FROM documents)) WHERE whole OR length({TRIMMED}) >= 50),
 {summary_sql('d', 'document_id, chunk')}
 SELECT document_id, coalesce(string_agg(summary, ' ' ORDER BY chunk), '') AS summary, count(*) AS chunks FROM summaries GROUP BY document_id""",
 )
@@ -238,8 +238,7 @@ SIDE = {s: TERMS.replace("lower(text)", f"lower({s})") for s in ("a_text", "b_te
 t AS (SELECT conv_id, turn, unnest({SIDE['a_text']}) AS term, 1 AS a, 0 AS b FROM p
   UNION ALL SELECT conv_id, turn, unnest({SIDE['b_text']}), 0, 1 FROM p),
 c AS (SELECT conv_id, turn, term, sum(a) AS a, sum(b) AS b FROM t GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY a + b DESC, term) AS r FROM c),
-w AS (SELECT conv_id, turn, a::DOUBLE AS a, b::DOUBLE AS b, CASE WHEN a > 0 AND b > 0 THEN 1.0 ELSE ln(1.5) + 1 END AS f FROM k WHERE r <= 1000),
+w AS (SELECT conv_id, turn, a::DOUBLE AS a, b::DOUBLE AS b, CASE WHEN a > 0 AND b > 0 THEN 1.0 ELSE ln(1.5) + 1 END AS f FROM c),
 s AS (SELECT conv_id, turn, sum(a * b) AS d, sum((a * f) * (a * f)) AS aa, sum((b * f) * (b * f)) AS bb FROM w GROUP BY ALL)
 SELECT conv_id, turn, round(CASE WHEN aa > 0 AND bb > 0 THEN d / (sqrt(aa) * sqrt(bb)) ELSE 0 END, 9) AS similarity
 FROM p LEFT JOIN s USING (conv_id, turn)""",

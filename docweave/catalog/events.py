@@ -19,6 +19,10 @@ LIMITED = """WITH a AS (SELECT user_id, list_reduce(list_sort(list(epoch_us(ts))
   lambda acc, x: CASE WHEN len(list_filter(acc[-3:], lambda t: t > x - 86400000000)) < 3 THEN list_append(acc, x) ELSE acc END,
   []::BIGINT[]) AS stamps FROM events GROUP BY user_id)
 SELECT event_id, user_id AS client_id, list_contains(stamps, epoch_us(ts)) AS admitted FROM events JOIN a USING (user_id)"""
+WINDOWS = """SELECT client_id, start_us, count(*) AS requests FROM (
+SELECT user_id AS client_id, (epoch_us(ts) // 10000000 - k) * 10000000 AS start_us FROM events, range(6) r(k)) GROUP BY ALL"""
+STATUS = """SELECT user_id AS document_id, arg_max(event_type, struct_pack(a := epoch_us(ts), b := event_id)) AS status,
+max(epoch_us(ts)) AS updated_us FROM events GROUP BY user_id"""
 
 
 @query(
@@ -34,21 +38,12 @@ def stream_session_timeout(spark: SparkSession, base: str) -> DataFrame:
     return ops.gap_sessions(requests(spark, base))
 
 
-@query(
-    "stream_rate_window",
-    """SELECT client_id, start_us, count(*) AS requests FROM (
-SELECT user_id AS client_id, (epoch_us(ts) // 10000000 - k) * 10000000 AS start_us FROM events, range(6) r(k)) GROUP BY ALL""",
-)
+@query("stream_rate_window", WINDOWS)
 def stream_rate_window(spark: SparkSession, base: str) -> DataFrame:
     return ops.window_counts(requests(spark, base)).select("client_id", F.unix_micros("start").alias("start_us"), "requests")
 
 
-@query(
-    "stream_status",
-    """SELECT user_id AS document_id, arg_max(event_type, epoch_us(ts) * 1000000 + event_id) AS status, max(epoch_us(ts)) AS updated_us FROM events GROUP BY user_id""".replace(
-        "epoch_us(ts) * 1000000 + event_id", "struct_pack(a := epoch_us(ts), b := event_id)"
-    ),
-)
+@query("stream_status", STATUS)
 def stream_status(spark: SparkSession, base: str) -> DataFrame:
     rows = load(spark, base, "events").select(
         F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), "ts", "event_id"

@@ -341,14 +341,26 @@ def extract_all(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+NAMED = ["docs", "contracts", "cards", "emails"]
+# Words and pairs of words that only blanks part; a name inside a longer one is left out.
+TAGGED = rf"""e AS ({found('word', r'[\p{L}\p{N}_#]+', 1.0)}),
+w AS (SELECT document_id, text, start_position, end_position, lead(text) OVER p AS next_text, lead(start_position) OVER p AS next_start,
+  lead(end_position) OVER p AS next_end FROM e WINDOW p AS (PARTITION BY document_id ORDER BY start_position)),
+c AS (SELECT document_id, text, start_position, end_position FROM e
+  UNION ALL SELECT w.document_id, w.text || ' ' || next_text, start_position, next_end FROM w JOIN texts USING (document_id)
+  WHERE regexp_full_match(substr(texts.text, end_position + 1, next_start - end_position), '\s+')),
+m AS (SELECT c.*, label FROM c JOIN names ON c.text = names.name),
+tagged AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.document_id = m.document_id AND o.start_position <= m.start_position
+  AND o.end_position >= m.end_position AND o.end_position - o.start_position > m.end_position - m.start_position))"""
+
+
 @query(
     "gazetteer_ner_join",
-    rf"""{with_tables(texts=["contracts", "cards"])}, names AS (
+    rf"""{with_tables(texts=NAMED)}, names AS (
   SELECT c_name AS name, 'ORG' AS label FROM customer
   UNION ALL SELECT s_name, 'ORG' FROM supplier UNION ALL SELECT n_name, 'GPE' FROM nation),
-e AS ({found('word', r'[\w#]+', 1.0)})
-SELECT document_id, text, label, start_position, end_position, 1.0::DOUBLE AS confidence, 'gazetteer' AS method
-FROM e JOIN names ON e.text = names.name""",
+{TAGGED}
+SELECT document_id, text, label, start_position, end_position, 1.0::DOUBLE AS confidence, 'gazetteer' AS method FROM tagged""",
 )
 def gazetteer_ner_join(spark: SparkSession, base: str) -> DataFrame:
     names = (
@@ -356,21 +368,21 @@ def gazetteer_ner_join(spark: SparkSession, base: str) -> DataFrame:
         .unionByName(load(spark, base, "supplier").select(F.col("s_name").alias("name"), F.lit("ORG").alias("label")))
         .unionByName(load(spark, base, "nation").select(F.col("n_name").alias("name"), F.lit("GPE").alias("label")))
     )
-    return positions(ops.gazetteer_entities(derived.texts(spark, base, ["contracts", "cards"]), names))
+    return positions(ops.gazetteer_entities(derived.texts(spark, base, NAMED), names))
 
 
 @query(
     "service_entities",
-    rf"""{with_tables(texts=["contracts", "cards"])}, names AS (
+    rf"""{with_tables(texts=NAMED)}, names AS (
   SELECT c_name AS name, 'ORG' AS label FROM customer UNION ALL SELECT s_name, 'ORG' FROM supplier),
-w AS ({found('word', r'[\w#]+', 1.0)})
-SELECT document_id, label AS type, text AS mention_text, 1.0::DOUBLE AS confidence FROM w JOIN names ON w.text = names.name
+{TAGGED}
+SELECT document_id, label AS type, text AS mention_text, 1.0::DOUBLE AS confidence FROM tagged
 UNION ALL SELECT document_id, entity_type, text, confidence FROM ({found('date', cols.PATTERNS['date'], 0.9)})
 UNION ALL SELECT document_id, entity_type, text, confidence FROM ({found('url', cols.PATTERNS['url'], 0.9)})""",
 )
 def service_entities(spark: SparkSession, base: str) -> DataFrame:
     """What a document service returns: type, mention and confidence."""
-    df = derived.texts(spark, base, ["contracts", "cards"])
+    df = derived.texts(spark, base, NAMED)
     names = load(spark, base, "customer").select(F.col("c_name").alias("name"), F.lit("ORG").alias("label")).unionByName(
         load(spark, base, "supplier").select(F.col("s_name").alias("name"), F.lit("ORG").alias("label"))
     )
@@ -386,13 +398,13 @@ def service_entities(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "limit_first_match",
     f"""{TEXTS} SELECT document_id, {first(cols.PATTERNS['date'], 0)} AS first_date,
-{first(fields.INVOICE['total'])} AS first_total FROM texts WHERE kind <> 'document'""",
+{first(fields.INVOICE['total'])} AS first_total FROM texts""",
 )
 def limit_first_match(spark: SparkSession, base: str) -> DataFrame:
     from docweave.functions.regex import first_group
 
     text = F.col("text")
-    return derived.texts(spark, base, ["invoices", "cards"]).select(
+    return derived.texts(spark, base).select(
         "document_id",
         first_group(text, cols.PATTERNS["date"], 0).alias("first_date"),
         first_group(text, fields.INVOICE["total"]).alias("first_total"),

@@ -44,11 +44,11 @@ def scan_binary_docs(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "list_files",
-    f"{FILES} SELECT name, size, {MIME.format(EXT)} AS content_type, created_us FROM files WHERE starts_with(name, 'documents/') ORDER BY name LIMIT 100",
+    f"{FILES} SELECT name, size, {MIME.format(EXT)} AS content_type, created_us FROM files WHERE starts_with(name, 'documents/')",
 )
 def list_files(spark: SparkSession, base: str) -> DataFrame:
-    """The listing of one prefix with its cap of 100."""
-    return relational.listing(listed(spark, base), "documents/", 100).select(
+    """The whole listing of one prefix; a cap is the caller's choice."""
+    return relational.listing(listed(spark, base), "documents/", None).select(
         "name", "size", fn.mime_type(F.col("name")).alias("content_type"), "created_us"
     )
 

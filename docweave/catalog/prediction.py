@@ -133,9 +133,9 @@ def image_predictions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, base: str, width: int = 1_000_000) -> DataFrame:
-    """Turns of all conversations in order. Pieces: the conversation, and its turns by the thousand."""
+    """Turns of all conversations in order. Pieces: conversations by the million, the conversation, its turns by the million."""
     turns = load(spark, base, "conversations").select("conv_id", "turn", "role", "text")
-    pieces = [F.floor(F.col("conv_id") / 1000), F.col("conv_id"), F.floor(F.col("turn") / width)]
+    pieces = [F.floor(F.col("conv_id") / width), F.col("conv_id"), F.floor(F.col("turn") / width)]
     return with_position(turns, ["turn"], pieces)
 
 

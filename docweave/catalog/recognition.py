@@ -136,8 +136,8 @@ def agg_blocks_text(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "form_key_values",
     with_tables(texts=["invoices", "cards"])
-    + r""", m AS (SELECT document_id, regexp_extract_all(text, '(?m)^([^:\n]{1,40}):[ \t]*(\S.*)$', 1) AS ks,
-regexp_extract_all(text, '(?m)^([^:\n]{1,40}):[ \t]*(\S.*)$', 2) AS vs FROM texts)
+    + r""", m AS (SELECT document_id, regexp_extract_all(text, '(?m)^([^:\n]+):[ \t]*(\S.*)$', 1) AS ks,
+regexp_extract_all(text, '(?m)^([^:\n]+):[ \t]*(\S.*)$', 2) AS vs FROM texts)
 SELECT document_id, unnest(ks) AS key, unnest(vs) AS value FROM m""",
 )
 def form_key_values(spark: SparkSession, base: str) -> DataFrame:

@@ -61,9 +61,9 @@ def semi_known_documents(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "join_step_results",
     f"""{with_tables('files')}, d AS (SELECT doc_id AS document_id, text FROM documents),
-c AS (SELECT document_id, document_type, type_confidence AS confidence FROM ({typed('d')}) WHERE document_id % 3 <> 0),
+c AS (SELECT document_id, document_type, type_confidence AS confidence FROM ({typed('d')})),
 f AS (SELECT CAST(regexp_extract(name, '^documents/([0-9]+)', 1) AS BIGINT) AS document_id, lower({EXT}) AS file_type, size AS file_size
-  FROM files WHERE starts_with(name, 'documents/') AND size % 2 = 0)
+  FROM files WHERE starts_with(name, 'documents/'))
 SELECT document_id, coalesce(file_type, 'unknown') AS file_type, coalesce(file_size, 0) AS file_size, coalesce(document_type, 'unknown') AS document_type,
 coalesce(confidence, 0.0) AS confidence_score, coalesce(text, '') AS extracted_text FROM d LEFT JOIN c USING (document_id) LEFT JOIN f USING (document_id)""",
 )
@@ -71,13 +71,12 @@ def join_step_results(spark: SparkSession, base: str) -> DataFrame:
     """One stored row per document; the defaults stand where a step has no result."""
     docs = documents(spark, base)
     types = (
-        docs.where("document_id % 3 <> 0")
-        .select("document_id", document_type(F.col("text")).alias("t"))
+        docs.select("document_id", document_type(F.col("text")).alias("t"))
         .select("document_id", "t.document_type", "t.confidence")
     )
     info = (
         listed(spark, base)
-        .where(F.col("name").startswith("documents/") & (F.col("size") % 2 == 0))
+        .where(F.col("name").startswith("documents/"))
         .select(
             fn.stored_id(F.col("name")).cast("bigint").alias("document_id"),
             F.lower(fn.extension(F.col("name"))).alias("file_type"),
@@ -90,12 +89,12 @@ def join_step_results(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "join_document_files",
     f"""{with_tables('files')}, n AS (SELECT regexp_extract(name, '^(?:documents|processed)/([0-9]+)', 1) AS document_id, name,
-CASE WHEN starts_with(name, 'processed/') THEN 'result' ELSE 'file' END AS kind FROM files WHERE size % 7 <> 0)
+CASE WHEN starts_with(name, 'processed/') THEN 'result' ELSE 'file' END AS kind FROM files)
 SELECT d.document_id, name, kind, name IS NOT NULL AS found FROM (SELECT cast(doc_id AS VARCHAR) AS document_id FROM documents) d LEFT JOIN n USING (document_id)""",
 )
 def join_document_files(spark: SparkSession, base: str) -> DataFrame:
     docs = load(spark, base, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
-    return rel.document_files(docs, listed(spark, base).where("size % 7 <> 0"))
+    return rel.document_files(docs, listed(spark, base))
 
 
 ASOF = "2024-02-15 00:00:00"

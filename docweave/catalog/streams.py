@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.catalog.events import LIMITED, SESSIONS
+from docweave.catalog.events import LIMITED, SESSIONS, STATUS, WINDOWS
 from docweave.catalog.registry import query
 from docweave.functions.classify import document_type
 from docweave.operators.entities import extract
@@ -35,7 +35,7 @@ def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
         "documents": lambda df: df.select(
             "document_id", "n_chars", F.length("text").alias("text_length"), "t.document_type"
         ),
-        "entities": lambda df: extract(df, ["phone", "email"]),
+        "entities": extract,
     }
     jobs.ingest(stream, transform, stored, target, scratch(spark, "ingest-state")).awaitTermination()
     return spark.read.parquet(f"{target}/documents").select("document_id", "n_chars", "text_length")
@@ -44,32 +44,32 @@ def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
 @query("stream_rate_limit", LIMITED)
 def stream_rate_limit(spark: SparkSession, base: str) -> DataFrame:
     events = table_stream(spark, base, "events").select("event_id", F.col("user_id").alias("client_id"), "ts")
-    out = jobs.drain(jobs.limit_stream(events, seconds=86_400, limit=3), "rate-limit")
-    return out.select("event_id", "client_id", "admitted")
+    return jobs.limit_stream(events, seconds=86_400, limit=3).select("event_id", "client_id", "admitted")
 
 
-@query(
-    "stream_rate_windows_live",
-    """SELECT client_id, start_us, count(*) AS requests FROM (
-SELECT user_id AS client_id, (epoch_us(ts) // 10000000 - k) * 10000000 AS start_us FROM events, range(6) r(k))
-WHERE start_us + 60000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000 GROUP BY ALL""",
-)
+@query("stream_rate_windows_live", WINDOWS)
 def stream_rate_windows_live(spark: SparkSession, base: str) -> DataFrame:
-    """Windows that the watermark has closed."""
+    """All windows, as after the last batch."""
     events = table_stream(spark, base, "events").select(F.col("user_id").alias("client_id"), "ts")
     out = jobs.drain(jobs.rate_windows(events), "rate-windows")
     return out.select("client_id", F.unix_micros("start").alias("start_us"), "requests")
 
 
-@query(
-    "stream_sessions_live",
-    f"""SELECT client_id, start_us, end_us + 3600000000 AS end_us, events FROM ({SESSIONS})
-WHERE end_us + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000""",
-)
+@query("stream_sessions_live", f"SELECT client_id, start_us, end_us + 3600000000 AS end_us, events FROM ({SESSIONS})")
 def stream_sessions_live(spark: SparkSession, base: str) -> DataFrame:
-    """Sessions that the watermark has closed; they end one pause after their last event."""
+    """All sessions; they end one pause after their last event."""
     events = table_stream(spark, base, "events").select(F.col("user_id").alias("client_id"), "ts")
     out = jobs.drain(jobs.sessions(events), "sessions")
     return out.select(
         "client_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events"
     )
+
+
+@query("stream_status_live", STATUS)
+def stream_status_live(spark: SparkSession, base: str) -> DataFrame:
+    """Last status of every document, by the changes' own time, not their arrival."""
+    changes = table_stream(spark, base, "events").select(
+        F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), "ts", "event_id"
+    )
+    out = jobs.drain(jobs.latest_status(changes), "status")
+    return out.select("document_id", "status", F.unix_micros("updated_at").alias("updated_us"))

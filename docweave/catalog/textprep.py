@@ -10,6 +10,7 @@ from docweave.catalog.registry import array, in_list, literal, query, with_table
 from docweave.functions import privacy
 from docweave.functions import text as prep
 from docweave.functions.entities import PATTERNS
+from docweave.functions.regex import SPACE
 from docweave.operators import tfidf
 from docweave.operators.skew import with_position
 from docweave.sources import derived
@@ -212,14 +213,15 @@ def project_truncate(spark: SparkSession, base: str) -> DataFrame:
 
 # --- vocabularies -----------------------------------------------------------------------------
 
-SPACED = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+SPACED = "list_filter(string_split_regex(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '')"
 VOCAB = f"""SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM (
   SELECT word, count(*) AS n FROM (SELECT unnest({SPACED}) AS word FROM documents) GROUP BY word)
   ORDER BY rank LIMIT 10000"""
 
 
 def _spaced() -> F.Column:
-    return F.filter(F.split("text", r"[\t-\r\x1c-\x20\x85\xa0]+"), lambda w: w != "")
+    """Words between blanks of any script."""
+    return F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")
 
 
 @query("agg_vocabulary", VOCAB)
@@ -232,23 +234,29 @@ def agg_vocabulary(spark: SparkSession, base: str) -> DataFrame:
 FROM (SELECT DISTINCT unnest({SPACED}) AS word FROM documents)""")
 def distinct_vocabulary(spark: SparkSession, base: str) -> DataFrame:
     """Distinct words with an index: numbered inside 4,096 digest buckets, not in one sort."""
+    return word_index(spark, base).withColumn("idx", F.col("idx") - 1)
+
+
+def word_index(spark: SparkSession, base: str) -> DataFrame:
+    """``(word, idx)`` of the whole vocabulary, from 1."""
     words = tfidf.vocabulary(documents(spark, base), _spaced())
     words = words.withColumn("bucket", F.substring(F.md5("word"), 1, 3))
-    return with_position(words, ["word"], [F.col("bucket")], "idx").select("word", "idx")
+    return with_position(words, ["word"], [F.col("bucket")], "idx").select("word", (F.col("idx") + 1).alias("idx"))
+
+
+INDEXED = f"""SELECT word, row_number() OVER (ORDER BY substr(md5(word), 1, 3), word) AS idx
+FROM (SELECT DISTINCT unnest({SPACED}) AS word FROM documents)"""
 
 
 @query(
     "vocab_lookup_join",
-    f"""WITH v AS ({VOCAB}), w AS (
+    f"""WITH v AS ({INDEXED}), w AS (
 SELECT document_id, unnest(range(0, len(ws))) AS position, unnest(ws) AS word FROM (SELECT doc_id AS document_id, {SPACED} AS ws FROM documents))
-SELECT document_id, position::INTEGER AS position, w.word, coalesce(v.rank, 0) AS idx FROM w LEFT JOIN v USING (word)""",
+SELECT document_id, position::INTEGER AS position, w.word, coalesce(v.idx, 0) AS idx FROM w LEFT JOIN v USING (word)""",
 )
 def vocab_lookup_join(spark: SparkSession, base: str) -> DataFrame:
-    docs = documents(spark, base)
-    index = tfidf.top_terms(docs, _spaced(), 10_000).select(
-        F.col("term").alias("word"), F.col("rank").cast("bigint").alias("idx")
-    )
-    return tfidf.encode_words(docs, "document_id", _spaced(), index)
+    """Every word of every text by its place in the whole vocabulary, from 1; 0 is kept for padding."""
+    return tfidf.encode_words(documents(spark, base), "document_id", _spaced(), word_index(spark, base))
 
 
 @query(
@@ -261,35 +269,27 @@ def topk_terms(spark: SparkSession, base: str) -> DataFrame:
     return tfidf.top_terms(documents(spark, base), prep.terms(F.col("text")), 1000)
 
 
-IDS = f"list_transform({SPACED}, lambda w: length(w))"
-
-
 @query(
     "pad_sequence",
-    f"""SELECT document_id, len(post)::INTEGER AS post_size, post[1] AS post_first, list_sum(post)::BIGINT AS post_sum,
-len(pre)::INTEGER AS pre_size, pre[500] AS pre_last, list_sum(pre)::BIGINT AS pre_sum FROM (
-SELECT doc_id AS document_id,
-  list_concat({IDS}[1:100], list_transform(range(0, 100 - len({IDS}[1:100])), lambda i: 0::BIGINT)) AS post,
-  list_concat(list_transform(range(0, 500 - least(len({IDS}), 500)), lambda i: 0::BIGINT), CASE WHEN len({IDS}) > 500 THEN {IDS}[-500:] ELSE {IDS} END) AS pre
-FROM documents)""",
+    f"""WITH v AS ({INDEXED}), w AS (
+SELECT document_id, unnest(range(0, len(ws))) AS position, unnest(ws) AS word FROM (SELECT doc_id AS document_id, {SPACED} AS ws FROM documents)),
+i AS (SELECT document_id, list(idx ORDER BY position) AS ids FROM w JOIN v USING (word) GROUP BY document_id),
+d AS (SELECT doc_id AS document_id, coalesce(ids, []::BIGINT[]) AS ids FROM documents LEFT JOIN i ON doc_id = document_id)
+SELECT document_id, array_to_string(list_concat(ids[1:100], list_transform(range(0, 100 - len(ids[1:100])), lambda x: 0::BIGINT)), ',') AS post,
+  array_to_string(list_concat(list_transform(range(0, 500 - least(len(ids), 500)), lambda x: 0::BIGINT), CASE WHEN len(ids) > 500 THEN ids[-500:] ELSE ids END), ',') AS pre
+FROM d""",
 )
 def pad_sequence(spark: SparkSession, base: str) -> DataFrame:
-    ids = F.transform(_spaced(), lambda w: F.length(w).cast("bigint"))
-    padded = documents(spark, base).select(
-        "document_id", prep.pad_post(ids).alias("post"), prep.pad_pre(ids).alias("pre")
-    )
-
-    def total(c: str):
-        return F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-
+    """Vocabulary ids of every text, brought to 100 from the front and to 500 from the end."""
+    docs = documents(spark, base)
+    coded = tfidf.encode_words(docs, "document_id", _spaced(), word_index(spark, base))
+    # A document's words, which its text held in one row before.
+    listed = F.array_sort(F.collect_list(F.struct("position", "idx")))
+    per = coded.groupBy("document_id").agg(F.transform(listed, lambda w: w["idx"]).alias("ids"))
+    ids = F.coalesce("ids", F.array().cast("array<bigint>"))
+    padded = docs.select("document_id").join(per, "document_id", "left")
     return padded.select(
-        "document_id",
-        F.size("post").alias("post_size"),
-        F.get("post", F.lit(0)).alias("post_first"),
-        total("post").alias("post_sum"),
-        F.size("pre").alias("pre_size"),
-        F.get("pre", F.lit(499)).alias("pre_last"),
-        total("pre").alias("pre_sum"),
+        "document_id", F.array_join(prep.pad_post(ids), ",").alias("post"), F.array_join(prep.pad_pre(ids), ",").alias("pre")
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from docweave.functions import entities as cols
 from docweave.functions import validate
@@ -38,36 +39,47 @@ def extract_addresses(df: DataFrame) -> DataFrame:
 
 
 def gazetteer_entities(
-    df: DataFrame, names: DataFrame, max_words: int = 1, id_col: str = "document_id"
+    df: DataFrame, names: DataFrame, max_words: int | None = None, id_col: str = "document_id"
 ) -> DataFrame:
     """Tag the names of a dictionary in the texts (stands in for the pretrained taggers).
 
-    Every run of up to ``max_words`` words becomes a candidate and is looked up in
-    ``names(name, label)`` by equality, so the work grows with the words of the texts and not with
-    words times names. Hot names are salted; whether the dictionary is broadcast is left to its
-    measured size.
+    Every run of words as long as the longest name, or ``max_words``, becomes a candidate and is
+    looked up in ``names(name, label)`` by equality, so the work grows with the words of the texts
+    and not with words times names. Words of a name are parted by blanks of any kind in the text and
+    by single blanks in the dictionary. Of names inside each other the longest stays. Candidates are
+    built inside a row's array from the words alone; hot names are salted; whether the dictionary is
+    broadcast is left to its measured size.
     """
     from docweave.functions.regex import find_spans
 
-    word = r"[\w#]+"
-    words = df.select(id_col, find_spans(F.col("text"), word).alias("w"), F.col("text").alias("_t"))
-    runs = F.flatten(
-        F.transform(
-            F.col("w"),
-            lambda first, i: F.transform(
-                F.slice(F.col("w"), i + 1, F.lit(max_words)),
-                lambda last: F.struct(first["start"].alias("start"), last["end"].alias("end")),
+    if max_words is None:
+        max_words = names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    # A word, or what stands between two words; only blanks may stand inside a name.
+    words = df.select(id_col, find_spans(F.col("text"), r"[\w#]+|[^\w#]+").alias("_p"))
+    is_word = lambda p: p["text"].rlike(r"^[\w#]")
+    starts = F.sequence(F.lit(0), F.size("_p") - 1)
+
+    def runs(i: Column) -> Column:
+        parts = F.slice("_p", i + 1, F.lit(2 * max_words - 1))
+        fits = lambda k: F.forall(F.slice(parts, 1, k), lambda p: is_word(p) | p["text"].rlike(r"^\s+$"))
+        ends = F.filter(F.sequence(F.lit(1), F.size(parts), F.lit(2)), fits)
+        return F.transform(
+            ends,
+            lambda k: F.struct(
+                F.array_join(F.filter(F.transform(F.slice(parts, 1, k), lambda p: F.when(is_word(p), p["text"])), lambda t: t.isNotNull()), " ").alias("text"),
+                F.element_at(parts, 1)["start"].alias("start"),
+                F.element_at(parts, k)["end"].alias("end"),
             ),
         )
-    )
-    candidates = words.select(id_col, "_t", F.explode(runs).alias("r")).select(
-        id_col,
-        F.col("r.start").alias("start"),
-        F.col("r.end").alias("end"),
-        F.col("_t").substr(F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"),
-    )
-    found = salted_join(candidates, names.withColumnRenamed("name", "text"), ["text"], id_col)
-    return found.select(
+
+    some = F.filter(starts, lambda i: is_word(F.col("_p")[i]))
+    candidates = words.where(F.size("_p") > 0).select(id_col, F.inline(F.flatten(F.transform(some, runs))))
+    found = salted_join(candidates, names.withColumnRenamed("name", "text"), ["text"], id_col, salts=32)
+    # A name inside another one: something that began earlier, or there and longer, reaches as far.
+    place = F.col("start").cast("long") * (1 << 31) - F.col("end")
+    before = W.Window.partitionBy(id_col).orderBy(place).rangeBetween(W.Window.unboundedPreceding, -1)
+    outer = found.withColumn("_reach", F.max("end").over(before))
+    return outer.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("end"))).select(
         id_col,
         "text",
         "label",

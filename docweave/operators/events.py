@@ -33,7 +33,8 @@ def preceding_counts(
     ``with_peers`` counts the request itself and those at the very same instant too. A client's
     history is cut into pieces of ``piece`` windows. Each event is counted in its own piece; those of
     a piece's last window are handed to the next piece as well, where they count but do not appear.
-    So a window function never holds more than one piece of one client.
+    Inside a piece every request adds one at its time and takes it off again a window later, so two
+    running sums give the number, and the work is linear in the requests however many a window holds.
     """
     span, width = seconds * MICROS, piece * seconds * MICROS
     us = F.unix_micros("ts")
@@ -43,15 +44,20 @@ def preceding_counts(
     spread = events.select(
         id_col, "client_id", "ts", us.alias("_us"), F.explode(pieces).alias("_piece")
     )
-    before = (
-        W.Window.partitionBy("client_id", "_piece")
-        .orderBy("_us")
-        .rangeBetween(-(span - 1), 0 if with_peers else -1)
+    change = F.array(
+        F.struct(F.col("_us").alias("_at"), F.lit(1).alias("_step")),
+        F.struct((F.col("_us") + span).alias("_at"), F.lit(-1).alias("_step")),
     )
+    changes = spread.select("*", F.inline(change))
+    in_order = W.Window.partitionBy("client_id", "_piece").orderBy("_at")
+    so_far = in_order.rangeBetween(W.Window.unboundedPreceding, 0)
+    earlier = so_far if with_peers else in_order.rangeBetween(W.Window.unboundedPreceding, -1)
+    come = F.coalesce(F.sum(F.when(F.col("_step") > 0, 1)).over(earlier), F.lit(0))
+    gone = F.coalesce(F.sum(F.when(F.col("_step") < 0, 1)).over(so_far), F.lit(0))
     return (
-        spread.withColumn("recent", F.count("*").over(before))
-        .where(F.col("_piece") == F.floor(F.col("_us") / width))
-        .drop("_piece", "_us")
+        changes.withColumn("recent", (come - gone).cast("bigint"))
+        .where((F.col("_step") > 0) & (F.col("_piece") == F.floor(F.col("_us") / width)))
+        .drop("_piece", "_us", "_at", "_step")
     )
 
 

@@ -91,7 +91,7 @@ def form_grid(cells: DataFrame) -> DataFrame:
 
 def form_key_values(df: DataFrame) -> DataFrame:
     """``Key: value`` lines of a text as rows."""
-    pattern = r"(?md)^([^:\n]{1,40}):[ \t]*(\S.*)$"
+    pattern = r"(?md)^([^:\n]+):[ \t]*(\S.*)$"
     keys = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(1))
     values = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(2))
     return df.select(

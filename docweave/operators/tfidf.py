@@ -28,12 +28,12 @@ def extractive_summary(
     """The ``size`` best sentences of every document, in document order.
 
     Terms, document frequencies, norms and ranks all belong to one document, so the texts are
-    shuffled once by the first key and every later grouping and window reuses that placement.
+    shuffled once by the keys and every later grouping and window reuses that placement.
     A text of at most ``size`` sentences is its own summary; one without any usable term gets an
     error instead.
     """
     keys = list(keys)
-    placed = df.select(*keys, F.col(text_col).alias("_text")).repartition(keys[0])
+    placed = df.select(*keys, F.col(text_col).alias("_text")).repartition(*keys)
     parts = placed.withColumn("_s", sentences(F.col("_text")))
     per_term = (
         parts.where(F.size("_s") > size)
@@ -81,11 +81,15 @@ def extractive_summary(
 def chunked_summary(
     df: DataFrame, key: str = "document_id", size: int = 1024, minimum: int = 50
 ) -> DataFrame:
-    """Summary of every chunk, joined in order; chunks that are too short are left out."""
-    pieces = df.select(key, F.posexplode(chunks(F.col("text"), size)).alias("chunk", "text")).where(
-        F.length(strip(F.col("text"))) >= minimum
-    )
-    per_chunk = extractive_summary(pieces, [key, "chunk"])
+    """Summary of every chunk, joined in order; of texts of several chunks, too short ones are left out.
+
+    Chunks don't depend on each other, so each is placed by document and chunk.
+    """
+    text = F.col("text")
+    pieces = df.select(
+        key, (F.length(text) <= size).alias("_whole"), F.posexplode(chunks(text, size)).alias("chunk", "text")
+    ).where(F.col("_whole") | (F.length(strip(F.col("text"))) >= minimum))
+    per_chunk = extractive_summary(pieces.drop("_whole"), [key, "chunk"])
     ordered = F.sort_array(F.collect_list(F.struct("chunk", "summary")))
     return per_chunk.groupBy(key).agg(
         F.array_join(F.transform(ordered, lambda s: s["summary"]), " ").alias("summary"),
@@ -94,12 +98,12 @@ def chunked_summary(
 
 
 def pair_similarity(
-    pairs: DataFrame, key: Sequence[str], left: str, right: str, max_terms: int = 1000
+    pairs: DataFrame, key: Sequence[str], left: str, right: str, max_terms: int | None = None
 ) -> DataFrame:
     """Cosine of two texts whose weights are fitted on just these two.
 
     With two documents a shared term weighs 1 and any other ``ln(1.5) + 1``, so one grouping by
-    pair and term is enough. The vocabulary is the ``max_terms`` most frequent terms of the pair.
+    pair and term is enough. ``max_terms`` limits the vocabulary to the pair's most frequent terms.
     """
     key = list(key)
     side = F.concat(
@@ -113,8 +117,10 @@ def pair_similarity(
         .groupBy(*key, F.col("t.term").alias("term"))
         .agg(F.coalesce(F.sum("t.a"), F.lit(0)).alias("a"), F.coalesce(F.sum("t.b"), F.lit(0)).alias("b"))
     )
-    frequent = W.Window.partitionBy(*key).orderBy(F.desc(F.col("a") + F.col("b")), F.asc("term"))
-    kept = counts.withColumn("_rank", F.row_number().over(frequent)).where(F.col("_rank") <= max_terms)
+    kept = counts
+    if max_terms is not None:
+        frequent = W.Window.partitionBy(*key).orderBy(F.desc(F.col("a") + F.col("b")), F.asc("term"))
+        kept = counts.withColumn("_rank", F.row_number().over(frequent)).where(F.col("_rank") <= max_terms)
     weight = F.when((F.col("a") > 0) & (F.col("b") > 0), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1.0)
     sums = (
         kept.withColumn("w", weight)
@@ -213,9 +219,9 @@ def vocabulary(df: DataFrame, words: Column) -> DataFrame:
 def encode_words(df: DataFrame, key: str, words: Column, index: DataFrame) -> DataFrame:
     """``(key, position, word, idx)``: index of every word, 0 where the vocabulary lacks it.
 
-    ``index(word, idx)`` has a bounded number of rows (the vocabulary size), hence the broadcast.
+    Whether the index is broadcast is left to its measured size; a hot word's rows are split by Spark.
     """
     long = df.select(key, F.posexplode(words).alias("position", "word"))
-    return long.join(F.broadcast(index), "word", "left").select(
+    return long.join(index, "word", "left").select(
         key, "position", "word", F.coalesce("idx", F.lit(0).cast("bigint")).alias("idx")
     )

@@ -46,13 +46,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is used, and it is then
-    written to the session so that later calls agree.
+    Only where the session names none and the master is this machine (tests, a laptop) a temporary
+    folder is used, and it is then written to the session so that later calls agree. On a cluster a
+    missing folder is an error: what one machine writes to its own disk, the others don't see.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="docweave-")
         spark.sparkContext.setCheckpointDir(path)
     return path

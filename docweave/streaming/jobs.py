@@ -6,20 +6,20 @@ functions these jobs call are the ones the rest of the library uses, so batch an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweave.operators.events import (
     MICROS,
     REQUESTS_PER_WINDOW,
     SESSION_SECONDS,
     WINDOW_SECONDS,
+    limit_requests,
 )
+from docweave.operators.relational import latest_by_key
 from docweave.session import prepare, scratch
 
 
@@ -37,20 +37,31 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return df.withColumns(casts) if casts else df
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and read the result back from files."""
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there now; the whole result after its last batch.
+
+    Aggregates run in complete mode: each batch writes the result so far to a folder of its own, so a
+    restart overwrites it, and no row is too late to count.
+    """
     spark = stream.sparkSession
     target, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch-{number}")
+        last[:] = [number]
+
     query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", target)
+        stream.writeStream.foreachBatch(write)
+        .outputMode("complete")
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{target}/batch-{last[0]}")
 
 
 def ingest(
@@ -78,23 +89,34 @@ def ingest(
     )
 
 
-def rate_windows(stream: DataFrame, lateness: str = "10 minutes", seconds: int = WINDOW_SECONDS, slide: int = 10) -> DataFrame:
-    """Requests per client and sliding window, closed by the watermark."""
+def _late(stream: DataFrame, lateness: str | None) -> DataFrame:
+    """With a ``lateness`` state is dropped, and so are rows, once they lie further back than that."""
+    return stream.withWatermark("ts", lateness) if lateness else stream
+
+
+def rate_windows(stream: DataFrame, lateness: str | None = None, seconds: int = WINDOW_SECONDS, slide: int = 10) -> DataFrame:
+    """Requests per client and sliding window; without ``lateness`` every row counts, however late."""
     return (
-        stream.withWatermark("ts", lateness)
+        _late(stream, lateness)
         .groupBy("client_id", F.window("ts", f"{seconds} seconds", f"{slide} seconds").alias("w"))
         .agg(F.count("*").alias("requests"))
         .select("client_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
     )
 
 
-def sessions(stream: DataFrame, lateness: str = "10 minutes", seconds: int = SESSION_SECONDS) -> DataFrame:
-    """Sessions per client, closed by a pause of ``seconds`` (a pause, not a fixed life time)."""
+def sessions(stream: DataFrame, lateness: str | None = None, seconds: int = SESSION_SECONDS) -> DataFrame:
+    """Sessions per client, closed by a pause of ``seconds`` (a pause, not a fixed life time).
+
+    Windows that just touch are one to Spark, but a pause of exactly ``seconds`` ends a session: hence
+    the microsecond less.
+    """
+    gap = f"{seconds * MICROS - 1} microseconds"
+    end = F.timestamp_micros(F.unix_micros("w.end") + 1).alias("end")
     return (
-        stream.withWatermark("ts", lateness)
-        .groupBy("client_id", F.session_window("ts", f"{seconds} seconds").alias("w"))
+        _late(stream, lateness)
+        .groupBy("client_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count("*").alias("events"))
-        .select("client_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+        .select("client_id", F.col("w.start").alias("start"), end, "events")
     )
 
 
@@ -106,47 +128,35 @@ def latest_status(stream: DataFrame) -> DataFrame:
 
 
 def limit_stream(
-    stream: DataFrame,
-    seconds: int = WINDOW_SECONDS,
-    limit: int = REQUESTS_PER_WINDOW,
-    lateness: str = "10 minutes",
+    stream: DataFrame, name: str = "limiter", seconds: int = WINDOW_SECONDS, limit: int = REQUESTS_PER_WINDOW
 ) -> DataFrame:
-    """Exact limiter with keyed state: the stamps of the admitted requests of the last window.
+    """Exact limiter over requests that arrive in any order; the verdicts after the last batch.
 
-    State is at most ``limit`` numbers per client. It expires in event time, once the watermark has
-    passed the last stamp by a window. One micro-batch of one client is sorted in memory; the
-    trigger bounds its size.
+    A late request can change the verdicts of later ones of its client. So each batch is stored, and
+    the clients in it are judged again from all that is stored of them, by the batch operator; a
+    request's verdict is the one of the last batch that judged it. Batches write to folders of their
+    own, so a restart neither loses nor doubles rows.
     """
-    span = seconds * MICROS
-
-    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        verdicts = []
-        for us in batch["us"]:
-            kept = [s for s in kept if s > us - span]
-            verdicts.append(len(kept) < limit)
-            if verdicts[-1]:
-                kept.append(int(us))
-        expires = (kept[-1] + span) // 1000 + 1
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {"event_id": batch["event_id"], "client_id": key[0], "us": batch["us"], "admitted": verdicts}
-        )
+    spark = stream.sparkSession
+    base = scratch(spark, name)
+    numbers: list[int] = []
 
-    return (
-        stream.withWatermark("ts", lateness)
-        .select("event_id", "client_id", "ts", F.unix_micros("ts").alias("us"))
-        .groupBy("client_id")
-        .applyInPandasWithState(
-            admit,
-            "event_id bigint, client_id bigint, us bigint, admitted boolean",
-            "stamps array<bigint>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    def judge(batch: DataFrame, number: int) -> None:
+        batch.select("event_id", "client_id", "ts").write.mode("overwrite").parquet(f"{base}/events/batch={number}")
+        stored = spark.read.parquet(f"{base}/events").where(F.col("batch") <= number).drop("batch")
+        clients = spark.read.parquet(f"{base}/events/batch={number}").select("client_id").distinct()
+        verdicts = limit_requests(stored.join(clients, "client_id", "left_semi"), seconds=seconds, limit=limit)
+        verdicts.write.mode("overwrite").parquet(f"{base}/verdicts/batch={number}")
+        numbers.append(number)
+
+    query = (
+        stream.writeStream.foreachBatch(judge)
+        .option("checkpointLocation", scratch(spark, f"{name}-state"))
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], "event_id bigint, client_id bigint, ts timestamp, admitted boolean")
+    verdicts = spark.read.parquet(f"{base}/verdicts")
+    return latest_by_key(verdicts, ["event_id"], ["batch"]).select("event_id", "client_id", "ts", "admitted")

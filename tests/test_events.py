@@ -82,19 +82,46 @@ def test_limiter_equals_loop(history, events, limit):
     assert got == want and not all(want.values())
 
 
-def test_limiter_stream_equals_batch(spark, history, events):
-    path = scratch(spark, "limiter-input")
-    ordered = spark.createDataFrame(history, "event_id long, client_id long, us long").select(
+@pytest.fixture(scope="module")
+def late_files(spark, history):
+    """The same requests in three files, the newest first."""
+    path = scratch(spark, "late-input")
+    df = spark.createDataFrame(history, "event_id long, client_id long, us long").select(
         "event_id", "client_id", F.timestamp_micros("us").alias("ts")
     )
-    cut = sorted(us for _, _, us in history)[len(history) // 2]
-    for part in (F.col("ts") < F.timestamp_micros(F.lit(cut)), F.col("ts") >= F.timestamp_micros(F.lit(cut))):
-        ordered.where(part).coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.read_stream(spark, path, ordered.schema, files_per_trigger=1)
-    got = {r.event_id: r.admitted for r in jobs.drain(jobs.limit_stream(stream, limit=3), "limiter").collect()}
+    stamps = sorted(us for _, _, us in history)
+    cuts = [stamps[0], stamps[len(stamps) // 3], stamps[2 * len(stamps) // 3], stamps[-1] + 1]
+    for low, high in reversed(list(zip(cuts, cuts[1:]))):
+        part = F.unix_micros("ts").between(low, high - 1)
+        df.where(part).coalesce(1).write.mode("append").parquet(path)
+    return path, df
+
+
+def test_limiter_stream_equals_batch(spark, history, late_files):
+    path, df = late_files
+    stream = jobs.read_stream(spark, path, df.schema, files_per_trigger=1)
+    got = {r.event_id: r.admitted for r in jobs.limit_stream(stream, limit=3).collect()}
     assert got == admitted(history, 3, 60_000_000)
 
 
+def test_late_rows_count_in_windows_and_sessions(spark, late_files):
+    path, df = late_files
+    stream = lambda: jobs.read_stream(spark, path, df.schema, files_per_trigger=1)
+    windows = jobs.drain(jobs.rate_windows(stream()), "windows")
+    assert sorted(map(tuple, windows.collect())) == sorted(map(tuple, ops.window_counts(df).collect()))
+    live = jobs.drain(jobs.sessions(stream(), seconds=60), "sessions")
+    got = sorted((r.client_id, r.s, r.e - 60_000_000, r.events) for r in live.select("client_id", F.unix_micros("start").alias("s"), F.unix_micros("end").alias("e"), "events").collect())
+    want = sorted((r.client_id, r.start_us, r.end_us, r.events) for r in ops.gap_sessions(df, 60).collect())
+    assert got == want
+
+
+def test_rates_are_linear_in_a_hot_window(spark):
+    """Forty thousand requests of one client inside one window; a frame per row would take minutes."""
+    df = spark.range(40_000).select(F.col("id").alias("event_id"), F.lit(1).alias("client_id"), F.timestamp_micros(EPOCH + F.col("id")).alias("ts"))
+    got = ops.preceding_counts(df).agg(F.sum("recent"), F.max("recent")).first()
+    assert tuple(got) == (40_000 * 39_999 // 2, 39_999)
+
+
 def test_ingest_writes_what_batch_computes(spark):
     source, target = scratch(spark, "texts"), scratch(spark, "stored")
     df = spark.createDataFrame([(i, f"mail {i}@x.com") for i in range(20)], "document_id long, text string")
