@@ -93,7 +93,9 @@ def pattern_registry(spark: SparkSession, base: str) -> DataFrame:
 SELECT document_id, entity_type, count(*) AS entities FROM e GROUP BY ALL""",
 )
 def agg_entity_counts(spark: SparkSession, base: str) -> DataFrame:
-    return ops.entity_counts(ops.extract(derived.texts(spark, base)))
+    """A document is one row, so its entities are counted there."""
+    counts = cols.pattern_counts(F.col("text"))
+    return derived.texts(spark, base).select("document_id", F.inline(counts))
 
 
 @query(
@@ -314,12 +316,12 @@ def route_extractor(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "union_entity_methods",
     f"""{with_tables(texts=ROUTED)}
-SELECT document_id, entity_type, text, start_position, end_position, 'patterns' AS method FROM ({found('email', cols.PATTERNS['email'], 0.9)} UNION ALL {found('date', cols.PATTERNS['date'], 0.9)})
-UNION ALL SELECT document_id, entity_type, text, NULL, NULL, 'document_specific' FROM ({SPECIFIC}) WHERE text IS NOT NULL""",
+SELECT document_id, entity_type, text, start_position, end_position, value, confidence, 'patterns' AS method FROM ({ALL_PATTERNS})
+UNION ALL SELECT document_id, entity_type, text, NULL, NULL, NULL, NULL, 'document_specific' FROM ({SPECIFIC}) WHERE text IS NOT NULL""",
 )
 def union_entity_methods(spark: SparkSession, base: str) -> DataFrame:
     df = derived.texts(spark, base, ROUTED).withColumnRenamed("kind", "document_type")
-    patterns = positions(ops.extract(df, ["email", "date"])).drop("value", "confidence")
+    patterns = positions(ops.extract(df))
     specific = ops.specific_rows(df).withColumn("method", F.lit("document_specific"))
     return ops.union_methods(patterns, specific)
 

@@ -31,14 +31,15 @@ def _texts(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "extract_and_predict",
-    f"""{SCORED} SELECT document_id, document_type, coalesce(n, 0)::INTEGER AS entities, label, score,
-round(overall, 9) AS overall_confidence, 'document_type_prediction,entity_extraction,nlp_analysis,sentiment_analysis' AS steps FROM o""",
+    f"""{SCORED} SELECT o.document_id, document_type, coalesce(n, 0)::BIGINT AS entities, label, score,
+len({CONTENT})::INTEGER AS processed_tokens, round(overall, 9) AS overall_confidence, 'document_type_prediction,entity_extraction,nlp_analysis,sentiment_analysis' AS steps FROM o JOIN texts USING (document_id)""",
 )
 def extract_and_predict(spark: SparkSession, base: str) -> DataFrame:
     return predict.extract_and_predict(_texts(spark, base)).select(
         "document_id",
         "document_type_prediction.document_type",
-        F.size("patterns").alias("entities"),
+        F.col("entity_count").alias("entities"),
+        "nlp_analysis.processed_tokens",
         "sentiment.label",
         "sentiment.score",
         F.round("overall_confidence", 9).alias("overall_confidence"),
@@ -58,17 +59,15 @@ def agg_overall_confidence(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "filter_high_confidence",
-    """SELECT doc_id, overall_confidence, overall_confidence >= 0.8 AS high_confidence,
-CASE WHEN overall_confidence < 0.8 THEN 'Low confidence' END AS filtered_reason
-FROM (SELECT l.doc_id, round((quality + 0.9 + coalesce(1 - toxic, 0)) / 3, 9)::DOUBLE AS overall_confidence FROM labels l)""",
+    f"""{SCORED}, r AS (SELECT document_id, round(overall, 9) AS overall_confidence FROM o)
+SELECT document_id, overall_confidence, overall_confidence >= 0.8 AS high_confidence,
+CASE WHEN overall_confidence < 0.8 THEN 'Low confidence' END AS filtered_reason FROM r""",
 )
 def filter_high_confidence(spark: SparkSession, base: str) -> DataFrame:
-    """Labels as the parts of a confidence; low ones are marked, not dropped."""
-    parts = conf.overall_confidence(
-        F.col("quality").cast("double"), F.lit(0.9), (1 - F.col("toxic")).cast("double")
-    )
-    return conf.label_confidence(load(spark, base, "labels"), F.round(parts, 9)).select(
-        "doc_id", "overall_confidence", "high_confidence", "filtered_reason"
+    """Predictions of all texts; low ones are marked, not dropped."""
+    done = predict.extract_and_predict(_texts(spark, base))
+    return conf.label_confidence(done, F.round("overall_confidence", 9)).select(
+        "document_id", "overall_confidence", "high_confidence", "filtered_reason"
     )
 
 

@@ -20,12 +20,12 @@ from docweave.sources import derived
 from docweave.sources.tables import load
 
 DOCS = "d AS (SELECT doc_id AS document_id, lang, text FROM documents)"
-CHILD = " UNION ALL ".join(found(n, PATTERNS[n], 0.9, source="d") for n in ("phone", "invoice_number", "po_number"))
+CHILD = " UNION ALL ".join(found(n, PATTERNS[n], 0.9, source="d") for n in PATTERNS)
 KIDS = f"WITH {DOCS}, kids AS (SELECT document_id, entity_type, text, start_position FROM ({CHILD}))"
 
 
 def children(spark: SparkSession, base: str) -> DataFrame:
-    return ents.extract(documents(spark, base), ["phone", "invoice_number", "po_number"]).select(
+    return ents.extract(documents(spark, base)).select(
         "document_id", "entity_type", "text", F.col("start").alias("start_position")
     )
 

@@ -16,6 +16,7 @@ from docweave.session import scratch
 from docweave.sources import derived, sinks
 
 DOCS = "WITH d AS (SELECT doc_id AS document_id, text, n_chars FROM documents)"
+EVERY = " UNION ALL ".join(found(n, p, 0.9, source="d") for n, p in PATTERNS.items())
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -54,21 +55,21 @@ def sink_documents(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "sink_entities",
-    f"""{DOCS}, e AS ({found('phone', PATTERNS['phone'], 0.9, source='d')}),
-r AS (SELECT document_id, 'PHONE' AS t, text, confidence, start_position AS s, end_position AS e, 'unknown' AS m FROM e
+    f"""{DOCS}, e AS ({EVERY}),
+r AS (SELECT document_id, upper(entity_type) AS t, text, confidence, start_position AS s, end_position AS e, 'unknown' AS m FROM e
   UNION ALL SELECT document_id, 'ORG', substr(text, 1, 5), 0.0, 0, 0, 'gazetteer' FROM d)
-SELECT sha256(document_id || '|' || t || '|' || s || '|' || e) AS id, document_id, t AS entity_type, text AS entity_text, confidence::DOUBLE AS confidence_score,
+SELECT sha256(document_id || '|' || t || '|' || replace(text, '|', '||') || '|' || m || '|' || s || '|' || e) AS id, document_id, t AS entity_type, text AS entity_text, confidence::DOUBLE AS confidence_score,
 s AS start_position, e AS end_position, m AS extraction_method FROM r""",
 )
 def sink_entities(spark: SparkSession, base: str) -> DataFrame:
     """Rows with and without type, offsets, confidence and method: the defaults fill the gaps."""
-    phones = ents.extract(documents(spark, base), ["phone"]).select(
-        "document_id", F.lit("PHONE").alias("label"), "text", "confidence", "start", "end"
+    matched = ents.extract(documents(spark, base)).select(
+        "document_id", F.upper("entity_type").alias("label"), "text", "confidence", "start", "end"
     )
     names = documents(spark, base).select(
         "document_id", F.lit("ORG").alias("type"), F.substring("text", 1, 5).alias("text"), F.lit("gazetteer").alias("method")
     )
-    mixed = phones.unionByName(names, allowMissingColumns=True)
+    mixed = matched.unionByName(names, allowMissingColumns=True)
     return written(sinks.entity_rows(mixed), "entities")
 
 
@@ -152,12 +153,12 @@ def sink_analysis(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "sink_entity_store",
-    f"""{DOCS}, e AS ({found('phone', PATTERNS['phone'], 0.9, source='d')})
-SELECT document_id, entity_type, sha256(document_id || '|phone|' || start_position) AS entity_id, text AS entity_text, confidence AS confidence_score,
+    f"""{DOCS}, e AS ({EVERY})
+SELECT document_id, entity_type, sha256(document_id || '|' || entity_type || '|' || start_position || '|' || end_position || '|patterns') AS entity_id, text AS entity_text, confidence AS confidence_score,
 start_position AS position_start, end_position AS position_end, 'patterns' AS extraction_method FROM e""",
 )
 def sink_entity_store(spark: SparkSession, base: str) -> DataFrame:
-    rows = sinks.entity_store_rows(ents.extract(documents(spark, base), ["phone"]))
+    rows = sinks.entity_store_rows(ents.extract(documents(spark, base)))
     placed = rows.repartition("document_id").sortWithinPartitions("document_id", "entity_type", "entity_id")
     stored = written(placed, "entity-store", ("entity_type",))
     return stored.withColumns(
@@ -167,25 +168,35 @@ def sink_entity_store(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "dual_sink",
-    f"""{DOCS} SELECT document_id, document_type, n_chars::VARCHAR AS meta_chars FROM ({typed('d')})""",
+    f"""{DOCS}, e AS (SELECT document_id, count(*) AS n FROM ({EVERY}) GROUP BY 1)
+SELECT document_id, document_type, n_chars::VARCHAR AS meta_chars, coalesce(n, 0) AS entities, document_type AS analysed_type
+FROM ({typed('d')}) LEFT JOIN e USING (document_id)""",
 )
 def dual_sink(spark: SparkSession, base: str) -> DataFrame:
-    """Metadata to one store, content to the other; then both joined by document."""
+    """Metadata and entities to one store, content and analysis to the other; then all joined by document."""
     done = scored(spark, base).withColumns({"filename": F.lit("f"), "content_type": F.lit("text/plain")}).persist()
     first, second = scratch(spark, "store-a"), scratch(spark, "store-b")
     meta = F.create_map(F.lit("chars"), F.col("n_chars").cast("string"))
     outcome = sinks.store_both(
         {
-            "metadata": (done.select("document_id", "document_type", "confidence"), first),
-            "content": (sinks.content_rows(done, meta), second),
+            "metadata": (done.select("document_id", "document_type", "confidence"), f"{first}/documents"),
+            "entities": (sinks.entity_rows(ents.extract(done).withColumnRenamed("entity_type", "type")), f"{first}/entities"),
+            "content": (sinks.content_rows(done, meta), f"{second}/content"),
+            "analysis": (sinks.analysis_rows(done, "predictions", ["document_type"], F.col("confidence")), f"{second}/analysis"),
         }
     )
     done.unpersist()
     if any(outcome.values()):
         raise RuntimeError(f"a store failed: {outcome}")
-    a, b = spark.read.parquet(first), spark.read.parquet(second)
-    return a.join(b, "document_id").select(
-        "document_id", "document_type", F.col("processing_metadata")["chars"].alias("meta_chars")
+    a, b = spark.read.parquet(f"{first}/documents"), spark.read.parquet(f"{second}/content")
+    found_ = spark.read.parquet(f"{first}/entities").groupBy("document_id").agg(F.count("*").alias("n"))
+    analysis = spark.read.parquet(f"{second}/analysis").select("document_id", "results")
+    return a.join(b, "document_id").join(analysis, "document_id").join(found_, "document_id", "left").select(
+        "document_id",
+        "document_type",
+        F.col("processing_metadata")["chars"].alias("meta_chars"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("entities"),
+        F.get_json_object("results", "$.document_type").alias("analysed_type"),
     )
 
 

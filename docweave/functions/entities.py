@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docweave.functions.regex import find_spans, strip
+from docweave.functions.regex import find_spans, jvm, strip
 
 # The expressions that define each entity.
 PATTERNS: dict[str, str] = {
@@ -117,7 +117,8 @@ def _address_spans(text: Column) -> Column:
     return F.when(~ascii_only & text.rlike(_OTHER_DIGIT), direct).otherwise(F.flatten(by_run))
 
 
-def _spans(text: Column, name: str, pattern: str, confidence: float, method: str, group=None) -> Column:
+def _guarded(text: Column, name: str, pattern: str) -> tuple[Column, str]:
+    """Whether the text can hold a match at all, and the pattern in the form that is tried."""
     # The checks belong to the given patterns; a caller's own one under the same name has none.
     given = pattern in (PATTERNS.get(name), FINANCIAL.get(name))
     present = text.isNotNull()
@@ -135,6 +136,11 @@ def _spans(text: Column, name: str, pattern: str, confidence: float, method: str
             pattern = pattern.replace(slow, fast)
     if given and name in FIRST_CHAR:
         pattern = f"(?={FIRST_CHAR[name]})(?:{pattern})"
+    return present, pattern
+
+
+def _spans(text: Column, name: str, pattern: str, confidence: float, method: str, group=None) -> Column:
+    present, pattern = _guarded(text, name, pattern)
     found = _address_spans(text) if name == "address" else find_spans(text, pattern, group)
     typed = F.transform(
         found,
@@ -162,6 +168,16 @@ def pattern_entities(
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def pattern_counts(text: Column, names: list[str] | None = None) -> Column:
+    """Number of entities of each pattern that the text holds: counted, without places or texts."""
+    one = []
+    for name in names or PATTERNS:
+        present, pattern = _guarded(text, name, PATTERNS[name])
+        n = F.when(present, F.regexp_count(text, F.lit(jvm(pattern)))).otherwise(0)
+        one.append(F.struct(F.lit(name).alias("entity_type"), n.cast("bigint").alias("entities")))
+    return F.filter(F.array(*one), lambda c: c["entities"] > 0)
+
+
 def financial_entities(text: Column, names: list[str] | None = None) -> Column:
     """Financial entities; ``value`` holds the amount or number alone."""
     parts = [

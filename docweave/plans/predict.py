@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import classify, text as prep
-from docweave.functions.entities import pattern_entities
+from docweave.functions.entities import CONFIDENCE, pattern_counts, pattern_entities
 from docweave.functions.fields import document_fields
 from docweave.operators.confidence import overall_confidence
 from docweave.operators.tfidf import extractive_summary
@@ -38,12 +38,6 @@ def predict_document_type(df: DataFrame, method: str = "keywords", models: dict[
     )
 
 
-def mean_confidence(entities: Column) -> Column:
-    """Mean confidence of an entity array, NULL if it is empty."""
-    total = F.aggregate(entities, F.lit(0.0), lambda acc, e: acc + e["confidence"])
-    return F.when(F.size(entities) > 0, total / F.size(entities))
-
-
 def extract_and_predict(
     df: DataFrame,
     document_type: str | None = None,
@@ -73,11 +67,27 @@ def extract_and_predict(
     entity_conf, score = F.lit(None).cast("double"), F.lit(None).cast("double")
     if include_entities:
         out = out.withColumns(
-            {"patterns": pattern_entities(text), "document_specific": document_fields(kind, text)}
+            {
+                "patterns": pattern_entities(text),
+                "document_specific": document_fields(kind, text),
+                # Counted apart from the places, which cost much more and are often left unread.
+                "entity_count": F.aggregate(
+                    pattern_counts(text), F.lit(0).cast("bigint"), lambda acc, c: acc + c["entities"]
+                ),
+            }
+        )
+        if include_patterns:  # every pattern has the same confidence
+            entity_conf = F.when(F.col("entity_count") > 0, F.lit(CONFIDENCE["patterns"]))
+        steps.append("entity_extraction")
+        out = out.withColumn(
+            "nlp_analysis",
+            F.struct(
+                F.length(text).alias("original_length"),
+                F.size(prep.preprocess(text)).alias("processed_tokens"),
+                F.size(prep.sentences(text)).alias("sentences"),
+            ),
         )
-        if include_patterns:
-            entity_conf = mean_confidence(F.col("patterns"))
-        steps += ["entity_extraction", "nlp_analysis"]
+        steps.append("nlp_analysis")
     if include_sentiment or include_entities:
         out = out.withColumn("sentiment", classify.sentiment(text))
         score = F.col("sentiment.score")

@@ -16,7 +16,9 @@ STATUSES = ["pending", "processing", "completed", "failed"]
 
 
 def row_id(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    """Digest of the parts; a missing part differs from an empty one, and a bar inside from one between."""
+    marked = [F.coalesce(F.replace(p.cast("string"), F.lit("|"), F.lit("||")), F.lit("|-")) for p in parts]
+    return F.sha2(F.concat_ws("|", *marked), 256)
 
 
 def write_table(
@@ -66,15 +68,16 @@ def entity_rows(df: DataFrame) -> DataFrame:
 
     kind = F.coalesce(get("type"), get("label")).cast("string")
     start, end = get("start", 0).cast("int"), get("end", 0).cast("int")
+    method = get("method", "unknown")
     return df.select(
-        row_id(F.col("document_id"), kind, start, end).alias("id"),
+        row_id(F.col("document_id"), kind, F.col("text"), method, start, end).alias("id"),
         "document_id",
         kind.alias("entity_type"),
         F.col("text").alias("entity_text"),
         get("confidence", 0.0).cast("double").alias("confidence_score"),
         start.alias("start_position"),
         end.alias("end_position"),
-        get("method", "unknown").alias("extraction_method"),
+        method.alias("extraction_method"),
     )
 
 
@@ -132,7 +135,7 @@ def entity_store_rows(entities: DataFrame) -> DataFrame:
     return entities.select(
         "document_id",
         "entity_type",
-        row_id(F.col("document_id"), F.col("entity_type"), F.col("start")).alias("entity_id"),
+        row_id(F.col("document_id"), F.col("entity_type"), F.col("start"), F.col("end"), F.col("method")).alias("entity_id"),
         F.col("text").alias("entity_text"),
         F.col("confidence").alias("confidence_score"),
         F.create_map(F.lit("start"), F.col("start"), F.lit("end"), F.col("end")).alias("position_data"),
