@@ -32,7 +32,7 @@ def unlabelled(spark: SparkSession, base: str) -> DataFrame:
 
 
 def first_model(spark: SparkSession, base: str) -> PipelineModel:
-    return ml.text_pipeline(features=1 << 12, iterations=10).fit(ml.split(labelled(spark, base), KEY)[0])
+    return ml.text_pipeline().fit(ml.split(labelled(spark, base), KEY)[0])
 
 
 def second_model(spark: SparkSession, base: str) -> PipelineModel:
@@ -69,7 +69,7 @@ def argmax_class(spark: SparkSession, base: str) -> DataFrame:
 @query("agg_train_metrics")
 def agg_train_metrics(spark: SparkSession, base: str) -> DataFrame:
     """Loss per iteration and the scores on the held-out documents."""
-    model, metrics = ml.train(labelled(spark, base), KEY, ml.text_pipeline(features=1 << 12, iterations=10))
+    model, metrics = ml.train(labelled(spark, base), KEY, ml.text_pipeline())
     rows = [("loss", i, float(v)) for i, v in enumerate(ml.history(model))]
     rows += [(name, 0, float(v)) for name, v in metrics.items()]
     return spark.createDataFrame(rows, "metric string, iteration int, value double")
@@ -87,10 +87,9 @@ def ensemble_predict(spark: SparkSession, base: str) -> DataFrame:
 
 @query("ensemble_align")
 def ensemble_align(spark: SparkSession, base: str) -> DataFrame:
-    """Two models over different halves of the corpus: each document has one prediction or two."""
-    rows = unlabelled(spark, base)
-    first = ml.predict(first_model(spark, base), rows.where(f"{KEY} % 3 <> 0"), KEY)
-    second = ml.predict(second_model(spark, base), rows.where(f"{KEY} % 3 <> 1"), KEY)
+    """One model over all documents, the other over the labelled ones: each has one prediction or two."""
+    first = ml.predict(first_model(spark, base), unlabelled(spark, base), KEY)
+    second = ml.predict(second_model(spark, base), labelled(spark, base).drop("label"), KEY)
     return ml.align(first, second, KEY).select(
         KEY,
         F.col("first_prediction.predicted_class").alias("first_class"),
@@ -189,7 +188,7 @@ def sentiment_model(spark: SparkSession, base: str) -> DataFrame:
         F.col("doc_id").alias(KEY), F.when(F.col("toxic") == 1, "NEGATIVE").otherwise("POSITIVE").alias("label")
     )
     rows = ml.with_terms(docs.join(labels, KEY)).select(KEY, "words", "label")
-    model = ml.text_pipeline(features=1 << 12, iterations=10).fit(rows)
+    model = ml.text_pipeline().fit(rows)
     out = ml.predict(model, unlabelled(spark, base), KEY)
     return out.select(KEY, F.col("predicted_class").alias("label"), F.round("confidence", 6).alias("score"))
 

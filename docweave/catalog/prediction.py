@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.catalog.analytics import felt, summary_sql, typed
-from docweave.catalog.extraction import ALL_PATTERNS, found
+from docweave.catalog.extraction import ALL_PATTERNS
 from docweave.catalog.registry import query, with_tables
 from docweave.catalog.textprep import CONTENT, TRIMMED, documents
-from docweave.functions.entities import PATTERNS
 from docweave.operators import confidence as conf
-from docweave.operators import tfidf
 from docweave.operators.skew import with_position
 from docweave.plans import predict, process
 from docweave.sources import derived

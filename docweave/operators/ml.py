@@ -59,7 +59,7 @@ def text_pipeline(features: int = 1 << 14, iterations: int = 20) -> Pipeline:
     )
 
 
-def network_pipeline(classes: int, features: int = 128, hidden: int = 16, iterations: int = 30) -> Pipeline:
+def network_pipeline(classes: int, features: int = 1024, hidden: int = 16, iterations: int = 30) -> Pipeline:
     """Second learner: a small feed-forward network on hashed TF-IDF."""
     return Pipeline(
         stages=[
@@ -115,14 +115,18 @@ def decode(scored: DataFrame, names: Column) -> DataFrame:
 def ensemble(
     first: DataFrame, second: DataFrame, key: str, labels: list[str], weights: tuple[float, float] = (0.5, 0.5)
 ) -> DataFrame:
-    """Weighted mean of two models' probabilities, matched by key; one may be missing."""
-    a = first.select(key, F.col("probabilities").alias("_a"))
-    b = second.select(key, F.col("probabilities").alias("_b"))
-    mixed = F.zip_with("_a", "_b", lambda x, y: x * weights[0] + y * weights[1])
-    both = a.join(b, key, "full").select(
-        key, F.coalesce(mixed, F.col("_a"), F.col("_b")).alias("probabilities")
-    )
-    return decode(both, F.array(*[F.lit(x) for x in labels]))
+    """Weighted mean of two models' probabilities, matched by key and by class name.
+
+    One of the two may be missing. A class that a model doesn't know has probability 0 there.
+    """
+    names = F.array(*[F.lit(x) for x in labels])
+    by_name = lambda c: F.transform(names, lambda n: F.coalesce(F.col(c)[n], F.lit(0.0)))
+    a = first.select(key, F.col("all_probabilities").alias("_a"))
+    b = second.select(key, F.col("all_probabilities").alias("_b"))
+    mixed = F.zip_with(by_name("_a"), by_name("_b"), lambda x, y: x * weights[0] + y * weights[1])
+    one = F.when(F.col("_b").isNull(), by_name("_a")).when(F.col("_a").isNull(), by_name("_b")).otherwise(mixed)
+    both = a.join(b, key, "full").select(key, one.alias("probabilities"))
+    return decode(both, names)
 
 
 def align(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -132,7 +136,7 @@ def align(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").withColumn("ensemble_method", F.lit("weighted_average"))
 
 
-def tree_model(df: DataFrame, trees: int = 20, depth: int = 6):
+def tree_model(df: DataFrame, trees: int = 100, depth: int = 6):
     """Trees on dense vectors ``(features ARRAY, label)``; Spark's boosting is two-class only."""
     indexer = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc")
     forest = RandomForestClassifier(
@@ -142,10 +146,10 @@ def tree_model(df: DataFrame, trees: int = 20, depth: int = 6):
     return Pipeline(stages=[indexer, forest]).fit(dense), dense
 
 
-def choose_model(df: DataFrame, grid: Mapping[str, list] | None = None, folds: int = 2) -> PipelineModel:
+def choose_model(df: DataFrame, grid: Mapping[str, list] | None = None, folds: int = 3) -> PipelineModel:
     """Model choice by cross validation over feature count and regularisation."""
-    grid = dict(grid or {"features": [1 << 10, 1 << 12], "reg": [0.01]})
-    pipeline = text_pipeline(iterations=10)
+    grid = dict(grid or {"features": [1 << 12, 1 << 14], "reg": [0.01, 0.1]})
+    pipeline = text_pipeline()
     _, tf, _, lr = pipeline.getStages()
     params = (
         ParamGridBuilder()
@@ -198,7 +202,10 @@ def confusion_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
     )
 
 
-def term_vectors(df: DataFrame, size: int = 1000) -> DataFrame:
+VOCABULARY = 1 << 18  # terms a cluster model knows; the model's vectors are as long
+
+
+def term_vectors(df: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """Add ``tf``: counts of the ``size`` most frequent terms; needs ``words``."""
     return CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size).fit(df).transform(df)
 
@@ -220,7 +227,7 @@ def tfidf_model(counted: DataFrame) -> PipelineModel:
     )
 
 
-def cluster(df: DataFrame, key: str, clusters: int = 3, size: int = 1000) -> DataFrame:
+def cluster(df: DataFrame, key: str, clusters: int = 3, size: int = VOCABULARY) -> DataFrame:
     """``(key, cluster)`` by k-means on TF-IDF vectors; at most one cluster per document.
 
     The counts, small sparse rows, are kept while the models are fitted and recomputed afterwards.
