@@ -103,9 +103,10 @@ def ensemble_align(spark: SparkSession, base: str) -> DataFrame:
     """WITH p AS (SELECT quality AS label, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS prediction FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT unnest([0, 1])::INTEGER AS class),
 m AS (SELECT class, count(*) FILTER (WHERE label = class) AS support, count(*) FILTER (WHERE prediction = class) AS guessed,
-  count(*) FILTER (WHERE label = class AND prediction = class) AS tp, (SELECT avg((label = prediction)::INTEGER) FROM p) AS accuracy FROM c, p GROUP BY class)
-SELECT class, support, tp / guessed AS precision, tp / support AS recall, round(2 * (tp / guessed) * (tp / support) / ((tp / guessed) + (tp / support)), 9) AS f1,
-round(accuracy, 9) AS accuracy FROM m""",
+  count(*) FILTER (WHERE label = class AND prediction = class) AS tp, (SELECT avg((label = prediction)::INTEGER) FROM p) AS accuracy FROM c, p GROUP BY class),
+r AS (SELECT *, CASE WHEN guessed > 0 THEN tp / guessed ELSE 0.0 END::DOUBLE AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END::DOUBLE AS recall FROM m)
+SELECT class, support, precision, recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9)::DOUBLE AS f1,
+round(accuracy, 9) AS accuracy FROM r""",
 )
 def agg_eval_metrics(spark: SparkSession, base: str) -> DataFrame:
     """Quality guessed from the length alone, scored per class."""
