@@ -135,7 +135,7 @@ select concat('pages/', {text('page_id')}, '.html') as name, cast(length(html) a
 KEYS = {
     "orders": "o_orderkey",
     "customer": "c_custkey",
-    "conversations": "turn",
+    "conversations": "conv_id",
     "documents": "doc_id",
     "events": "event_id",
     "pages": "page_id",
@@ -165,7 +165,7 @@ VISION_COLUMNS = f"""
 
 
 def source(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """A table, spread over the cores if it is small."""
+    """A table, dealt out by key if the session asks for it."""
     return spread(load(spark, base, table), KEYS[table])
 
 
