@@ -137,7 +137,7 @@ def _learned(spark, sample: DataFrame) -> tuple[list[Model], Model]:
             columns = (np.full(len(at), row, np.int32), at.astype(np.int32), seen[row, at].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "slot", "n"])
 
-    total = np.zeros((4, 1 << BITS))
+    total = np.zeros((4, 1 << BITS), np.float32)
     rows = sample.mapInArrow(counts, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
     got = rows.toArrow()  # 4 * 2**BITS rows at most
     total[np.array(got["kind"]), np.array(got["slot"])] = np.array(got["n"])

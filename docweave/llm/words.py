@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20  # bytes of text worked on at a time
+PIECE = 1 << 20  # bytes of text worked on at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +44,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, PIECE // 4)
+        size = max(n, PIECE)
         for name, base in (("up", _P), ("down", _P_INVERSE)):
             row = np.full(size, base, np.uint64)
             row[0] = 1
