@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docweave.llm import graph, neardup, packing, pii, quality, sampling, tokenfiles, tokens, toxicity
+from docweave.llm import graph, neardup, packing, pii, quality, sampling, tokenfiles, tokens, toxicity, wordmodel
 from docweave.llm import words as W
 from docweave.llm.store import new_path
 from tests.llm.conftest import COLUMNS, LONG, ROWS, rows
@@ -93,6 +93,67 @@ def test_junk_leaves_the_band(spark):
     assert sum(got[i].kept for i in range(60)) >= 57
 
 
+def test_word_perplexity_against_a_plain_model(spark):
+    """Every word n-gram counts, and a text is judged by the model of all others."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.5, int(n)) % 40) for n in rng.integers(1, 60, 12)]
+    texts += [texts[0], "W1 w1 w1", " ", None]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "text_key long, model int, text string")
+    df = df.withColumn("text_key", F.xxhash64("text"))
+    keys = {r.text: r.text_key for r in df.collect()}
+    got = {r.text_key: r.word_perplexity for r in wordmodel.perplexity(df, 2).collect()}
+    assert len(got) == len({t for t in texts if t and t.strip()})
+
+    def tables(some):
+        c3 = collections.Counter()
+        for t in some:
+            w = ["<s>", "<s>", *WORD.findall(t or "")]
+            c3.update(zip(w, w[1:], w[2:]))
+        c2 = collections.Counter(g[1:] for g in c3)
+        return [collections.Counter(g[1:] for g in c2), c2, c3]
+
+    d = [wordmodel.discounts(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))) for c in tables(texts)]
+    for text, key in keys.items():
+        if key not in got:
+            continue
+        c = tables(t for t in texts if t != text)
+
+        def p(g):
+            k = len(g)
+            if not k:
+                return 1 / (len(c[0]) + 1)
+            same = {x: v for x, v in c[k - 1].items() if x[:-1] == g[:-1]}
+            total = sum(same.values())
+            if not total:
+                return p(g[1:])
+            off = sum(d[k - 1][min(v, 3)] for v in same.values()) / total
+            v = same.get(g, 0)
+            return (v - d[k - 1][min(v, 3)]) / total + off * p(g[1:])
+
+        w = ["<s>", "<s>", *WORD.findall(text)]
+        want = -sum(math.log(p(g)) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)
+        assert math.isclose(got[key], want, rel_tol=1e-9)
+
+
+def test_word_salad_leaves_the_band(spark):
+    """Ordinary words in no order are spelled well; only a model of words can tell them."""
+    rng = np.random.default_rng(5)
+    known = ["".join(rng.choice(list("aeiou" if k % 2 else "bdlmnrst")) for k in range(n)) for n in rng.integers(3, 9, 600)]
+    follow = rng.integers(0, 600, (600, 2))
+    def walk(n):
+        at, out = int(rng.integers(600)), []
+        for _ in range(n):
+            out.append(known[at])
+            at = int(follow[at, rng.integers(2)])
+        return out
+    prose = [walk(300) for _ in range(80)]
+    salad = [list(rng.permutation(walk(300))) for _ in range(3)]
+    df = spark.createDataFrame([(i, " ".join(t), "en", None, 0) for i, t in enumerate([*prose, *salad])], COLUMNS)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(got[80 + i].kept or got[80 + i].base_failed for i in range(3))
+    assert sum(got[i].kept for i in range(80)) >= 76
+
+
 # 3 personal data -----------------------------------------------------------------------------------
 
 
