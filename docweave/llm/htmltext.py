@@ -1,11 +1,15 @@
 """Main text of web pages by their line-block distribution.
 
-Markup is stripped in one linear scan; block elements and line breaks part the page into lines. Text in
-elements that are no article by their name or class (menus, headers, footers, sidebars, notices,
-adverts, forms, comments) counts as length 0, and so does, where a page marks its article, all outside.
-The lengths are summed over windows of ``WINDOW`` lines. A surge is where the sum leaves 0, a dive where
-it returns there; the text between them is kept. On pages without a marked article, link texts don't
-count, and stretches that never reach a quarter of the page's highest window are dropped.
+Markup is stripped in one linear scan; block elements and line breaks part the page into lines. A line's
+length is its text outside links, and 0 where most of it is links. Where a page marks its article, all outside
+has length 0 too, and so have elements that are no article by their kind or role (menus, footers, sidebars, forms).
+The lengths are summed over windows of ``WINDOW`` lines, on every page. A surge is where the sum leaves 0, a
+dive where it returns there; all lines between the first and the last text of such a stretch are kept if its highest
+window reaches a quarter of the usual line of the main stretch, the one with the most text.
+
+Blocks whose class or id names a notice, an advert or comments are left out; inside a marked article they only weigh
+a quarter, and stay if their windows still reach a quarter of the page's highest. An unnamed block that lies between
+lines of text and is no list of links can't be told from them by lengths and stays.
 
 Null and empty pages have an empty text; cut-off and badly nested ones are read as far as they go.
 """
@@ -23,6 +27,8 @@ from docweave.llm.store import alone
 
 WINDOW = 3
 SHARE = 0.25
+WEIGHT = 0.25  # of lines in blocks with a telling name, inside the article
+_NAMED_SO, _NEVER = 1, -1
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math".split())
@@ -48,28 +54,30 @@ _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>
 _PARTS = re.compile(r"[A-Za-z]+")
 
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
-    if name in _BOILERPLATE:
-        return True
+def _boilerplate(name: str, attributes: str, inside: bool) -> int:
+    if name in _BOILERPLATE and not (inside and name == "header"):  # an article's own header has its title
+        return _NEVER
     if name in ("article", "main", "body", "html") or not attributes:
-        return False
+        return 0
+    found = 0
     for key, value in _NAMED.findall(attributes):
         value = value.strip("\"'").lower()
         if key.lower() == "role":
             if value in _ROLES:
-                return True
+                return _NEVER
         elif any(p in _NAMES for p in _PARTS.findall(value)):
-            return True
-    return False
+            found = _NAMED_SO
+    return found
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
-    """Each line's text, its length outside boilerplate, the part of it in links, and whether it is inside the
-    article; and whether the page marks one."""
+    """Each line's text, the number of the named block it is in (0: none, -1: an element that is no article), the part of its length in links, and
+    whether it is inside the article; and whether the page marks one."""
     out: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements; whether text in them is boilerplate
+    stack: list[tuple[str, int, bool]] = []  # open elements; the named block that text in them is in, and whether it is a link
+    blocks = 0
     inside = marked = False
     at, n = 0, len(page)
 
@@ -77,9 +85,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            skip = bool(stack) and stack[-1][1]
             if text:
-                out.append((text, 0 if skip else len(text), linked, inside))
+                out.append((text, stack[-1][1] if stack else 0, linked, inside))
             parts.clear()
         linked = 0
 
@@ -90,7 +97,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
             break
         if lt > at:
             parts.append(page[at:lt])
-            if any(x[0] == "a" for x in stack[-3:]):
+            if stack and stack[-1][2]:
                 linked += lt - at
         if page.startswith("<!--", lt):
             close = page.find("-->", lt + 4)
@@ -147,36 +154,65 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
                 break
             if stack[k][0] in _LISTS:
                 break
-        skip = bool(stack and stack[-1][1]) or _is_boilerplate(name, attributes)
-        stack.append((name, skip))
+        skip = stack[-1][1] if stack else 0
+        own = _boilerplate(name, attributes, inside) if skip != _NEVER else 0
+        if own == _NEVER:
+            skip = _NEVER
+        elif own and not skip:
+            skip = blocks = blocks + 1
+        stack.append((name, skip, name == "a" or bool(stack) and stack[-1][2]))
         if name in ("article", "main") and not skip:
             inside = marked = True
     end_line()
     return out, marked
 
 
-def between(lengths: np.ndarray, share: float) -> np.ndarray:
-    """Which lines lie between a surge and a dive of the window sums, on stretches high enough."""
-    if not len(lengths):
-        return np.zeros(0, bool)
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[: len(lengths)]  # of the lines up to each one
-    up = np.concatenate([[False], sums > 0, [False]])
-    surge = np.flatnonzero(up[1:] & ~up[:-1])
-    dive = np.flatnonzero(~up[1:] & up[:-1])
+def _sums(lengths: np.ndarray) -> np.ndarray:
+    """Of each line and those before it in its window."""
+    return np.convolve(lengths, np.ones(WINDOW))[: len(lengths)]
+
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+
+
+def between(lengths: np.ndarray) -> np.ndarray:
+    """Which lines lie between the first and the last text of stretches from surge to dive that are high enough."""
     keep = np.zeros(len(lengths), bool)
-    for a, b in zip(surge, dive):
-        if sums[a:b].max() >= share * sums.max():
-            keep[a:b] = True
-    return keep & (lengths > 0)
+    if not lengths.any():
+        return keep
+    sums = _sums(lengths)
+    stretches = _runs(sums > 0)
+    a, b = max(stretches, key=lambda x: lengths[x[0] : x[1]].sum())
+    usual = np.median(lengths[a:b][lengths[a:b] > 0])
+    for a, b in stretches:
+        if sums[a:b].max() >= SHARE * usual:
+            keep[a : a + int(np.flatnonzero(lengths[a:b])[-1]) + 1] = True
+    return keep
 
 
 def main_text(page: str | None) -> str:
     found, marked = lines(page or "")
+    if not found:
+        return ""
+    skip = np.array([x[1] for x in found])
+    size = np.array([len(x[0]) for x in found])
+    linked = np.array([x[2] for x in found])
+    inside = np.array([x[3] for x in found]) if marked else np.ones(len(found), bool)
+    free = np.where(size > 2 * linked, size - linked, 0)
+    plain = inside & (skip == 0)
+    if marked and not free[plain].any():
+        free = size  # an article of nothing but links
+    lengths = np.where(plain, free, 0)
+    keep = between(lengths) & plain
     if marked:
-        lengths = np.array([size if inside else 0 for _, size, _, inside in found], np.int64)
-    else:
-        lengths = np.array([max(0, size - linked) if size > 2 * linked else 0 for _, size, linked, _ in found], np.int64)
-    keep = between(lengths, 0.0 if marked else SHARE)
+        top = SHARE * _sums(lengths).max()
+        named = np.flatnonzero(inside & (skip > 0))
+        named = named[np.argsort(skip[named], kind="stable")]
+        for at in np.split(named, np.flatnonzero(np.diff(skip[named])) + 1) if len(named) else ():
+            if (most := (WEIGHT * _sums(free[at])).max()) > 0 and most >= top:
+                keep[at] = True
     return "\n".join(f[0] for f, k in zip(found, keep.tolist()) if k)
 
 

@@ -127,6 +127,23 @@ def test_pages_without_an_article():
     assert htmltext.main_text(page).count("\n") == 7 and "imprint" not in htmltext.main_text(page)
 
 
+SENTENCE = "<p>Sentence {} of a long story that goes on for quite a while here, and then on for some more.</p>"
+STORY = "".join(SENTENCE.format(i) for i in range(8))
+
+
+def test_window_sums_decide_inside_an_article():
+    """No boilerplate here has a telling name."""
+    more = "".join(f'<div><div><a href="/{i}"><b><i><u><em>Other story number {i}</em></u></i></b></a></div></div>' for i in range(5))
+    text = htmltext.main_text(f"<article><h1>Title</h1>{STORY}<div>{more}</div><div>Buy cheap now</div></article>")
+    assert text.split("\n")[0] == "Title" and text.count("\n") == 8 and "Other" not in text and "Buy" not in text
+
+
+def test_names_only_weigh_inside_an_article():
+    block = "".join(SENTENCE.format(f"{i} of the part with a name, which is as high as all the others and even more so") for i in range(4))
+    text = htmltext.main_text(f'<article><header><h1>Title</h1></header>{STORY}<div class="share-notice">{block}</div><div class="ad">Buy</div></article>')
+    assert text.startswith("Title\nSentence 0") and text.count("\n") == 12 and "Buy" not in text
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<a", "<p title='x", "</p></div>", "<!--", "<script>never closed", "<div>" * 3000 + "deep", "<p>" * 20000, "a<b>c" * 5000, "<x y=\"" * 2000])
 def test_broken_pages(page):
     assert isinstance(htmltext.main_text(page), str)
