@@ -144,6 +144,13 @@ def test_names_only_weigh_inside_an_article():
     assert text.startswith("Title\nSentence 0") and text.count("\n") == 12 and "Buy" not in text
 
 
+def test_short_closing_part_and_links_in_the_text_stay():
+    links = "".join(f"<p><a href=/{i}>menu entry {i}</a></p>" for i in range(4))
+    page = f"<div>{STORY}<p><a href=/x>A line that is a link</a></p>{SENTENCE.format(9)}</div>{links}<p>The writer lives in a small town by the sea.</p>"
+    text = htmltext.main_text(page)
+    assert "A line that is a link" in text and text.endswith("by the sea.") and "menu" not in text
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<a", "<p title='x", "</p></div>", "<!--", "<script>never closed", "<div>" * 3000 + "deep", "<p>" * 20000, "a<b>c" * 5000, "<x y=\"" * 2000])
 def test_broken_pages(page):
     assert isinstance(htmltext.main_text(page), str)
