@@ -2,13 +2,16 @@
 
 The field's nodes are the words that hold a digit or an @; all other words are taken for ordinary. Its
 unary potentials come from a word's shape and from its neighbours' shapes; neighbouring nodes share a
-chain potential, and a node shares a skip potential with the last one before it of the same digits or
-the same name, however far away. Loopy message passing over all of a batch's documents at once makes
-equal things get equal labels across a document. Words in spans of the patterns are fixed.
+chain potential. Mentions share a skip potential, however far apart, if they have the same word, the same name before
+an @, or the same digits: those of a word, or of a run of neighbouring nodes that a number is written over, whole or
+from its end. A mention is linked to the one before it, to the first, and to the first inside a pattern's span.
+Loopy message passing over all of a batch's documents at once makes equal things get equal labels across a
+document; it goes on until the messages settle. Words in spans of the patterns are fixed.
 
-The potentials are trained piecewise, in closed form, from counts over all documents, the patterns'
-spans being the labels; the tables are hashed to a fixed size. Spans are added only where a label's
-marginal is ``SURE``.
+The potentials are trained piecewise, in closed form, from counts over all documents, the patterns' spans being the
+labels; the tables are hashed to a fixed size. A word outside all spans is unlabelled where a mention linked to it has a
+pattern's label: it doesn't count. All other words outside spans are ordinary; nothing else teaches what is. Spans are
+added only where a label's marginal is ``SURE``.
 
 Null and empty texts have no spans. A table without any such word teaches nothing and adds nothing.
 """
@@ -32,7 +35,8 @@ from docweave.llm.store import alone
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: ordinary
 SLOTS = 1 << 16
-ROUNDS, DAMPING = 12, 0.5
+SETTLED, DAMPING = 1e-3, 0.5
+STEADY = 100  # rounds after which steps shrink, so that messages that swing settle too
 SURE = 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -110,14 +114,52 @@ def _slot(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % SLOTS
 
 
-def _keys(core: str) -> list[str]:
-    """What makes two distant words the same or similar: their digits, or the name before an @."""
-    digits = "".join(_DIGITS.findall(core))
-    found = [f"d{digits}"] if len(digits) >= 7 else []
-    name = core.split("@", 1)[0].lower()
-    if len(name) >= 4 and not name.isdigit():
-        found.append(f"n{name}")
-    return found
+_NUMBER = re.compile(r"[0-9+(). -]*[0-9][0-9+(). -]*")
+LONGEST = 19  # digits of a number
+
+
+def _digit_keys(digits: str) -> list[str]:
+    """Of a number: all its digits and, where it can be a phone, the last ones, as countries' codes may be left out."""
+    return [f"d{digits}", *(f"d{digits[-k:]}" for k in range(7, min(len(digits) - 1, 10) + 1) if len(digits) <= 15)]
+
+
+def _mentions(cores: list[str], words: list[int]) -> Iterator[tuple[str, range]]:
+    """What makes distant words the same or similar, with the words (by place) that it stands for: equal words or names
+    before an @, and the digits of a word or of a run of neighbours that one number may be written over."""
+    digits = ["".join(_DIGITS.findall(c)) for c in cores]
+    number = [bool(_NUMBER.fullmatch(c)) for c in cores]
+    joined = [n > 0 and number[n] and number[n - 1] and words[n - 1] == words[n] - 1 for n in range(len(cores))]
+    for n, core in enumerate(cores):
+        alone = not joined[n] and not (n + 1 < len(cores) and joined[n + 1])
+        if alone or len(core) >= 4 and not core.isdigit():  # short pieces of a number say nothing by themselves
+            yield f"n{core.split('@', 1)[0].lower()}", range(n, n + 1)
+        whole, end = digits[n], n + 1
+        while True:
+            if len(whole) >= 7 and (end == n + 1 or len(whole) <= LONGEST):
+                for key in _digit_keys(whole):
+                    yield key, range(n, end)
+            if end == len(cores) or not joined[end] or len(whole) >= LONGEST:
+                break
+            whole += digits[end]
+            end += 1
+
+
+def _links(cores: list[str], words: list[int], labels: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places: each mention with the one before, the first, and the first inside a pattern's span."""
+    found: dict[str, list[range]] = {}
+    for key, places in _mentions(cores, words):
+        mentions = found.setdefault(key, [])
+        if not mentions or mentions[-1].stop <= places.start:
+            mentions.append(places)
+    out: dict[tuple[int, int], None] = {}
+    for mentions in found.values():
+        if len(mentions) > 1:
+            sure = next((m for m in mentions if labels[m.start]), mentions[0])
+            for k, m in enumerate(mentions):
+                for other in (mentions[k - 1] if k else m, mentions[0], sure):
+                    if other is not m:
+                        out.update(((min(i, other.start), max(i, other.start)), None) for i in m)
+    return list(out)
 
 
 def graph(texts: W.Texts) -> tuple[Nodes, list[list[tuple[int, int, int]]]]:
@@ -149,7 +191,7 @@ def graph(texts: W.Texts) -> tuple[Nodes, list[list[tuple[int, int, int]]]]:
 
 def _add(nodes: Nodes, doc: int, text: str, words: list[int], starts: list[int], ends: list[int], spans) -> None:
     first = len(nodes.doc)
-    shapes, last, k = [], {}, 0
+    shapes, cores, k = [], [], 0
     reach = 0  # furthest end of the spans that begin before the word
     label = 0
     for n, (w, a, b) in enumerate(zip(words, starts, ends)):
@@ -165,6 +207,7 @@ def _add(nodes: Nodes, doc: int, text: str, words: list[int], starts: list[int],
                 reach, label = spans[k][2], spans[k][1] + 1
             k += 1
         shapes.append(_shape(core))
+        cores.append(core)
         nodes.doc.append(doc)
         nodes.start.append(a)
         nodes.end.append(b)
@@ -173,10 +216,7 @@ def _add(nodes: Nodes, doc: int, text: str, words: list[int], starts: list[int],
         nodes.shape.append(_slot(shapes[-1]))
         if n and words[n - 1] == w - 1:
             nodes.chain.append((first + n - 1, first + n))
-        for key in _keys(core):
-            if key in last:
-                nodes.skip.append((last[key], first + n))
-            last[key] = first + n
+    nodes.skip.extend((first + a, first + b) for a, b in _links(cores, words, nodes.label[first:]))
     for n, w in enumerate(words):
         before = shapes[n - 1] if n and words[n - 1] == w - 1 else "w"
         after = shapes[n + 1] if n + 1 < len(words) and words[n + 1] == w + 1 else "w"
@@ -231,16 +271,35 @@ def marginals(nodes: Nodes, model: Model) -> np.ndarray:
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
+        tables = tables.transpose(0, 2, 1)
+        doc = np.array(nodes.doc)[source]
+        live = np.arange(len(source))  # messages of documents that haven't settled
+        step, rounds = 1 - DAMPING, 0
+        while len(live):
             belief = unary.copy()
-            np.add.at(belief, target, message)
-            out = _log_sum((belief[source] - message[back])[:, None, :] + tables.transpose(0, 2, 1))
+            np.add.at(belief, target[live], message[live])
+            out = _log_sum((belief[source[live]] - message[back[live]])[:, None, :] + tables[live])
             out -= _log_sum(out)[:, None]
-            message = DAMPING * message + (1 - DAMPING) * out
+            change = step * (out - message[live])
+            message[live] += change
+            rounds += 1
+            step *= 0.95 if rounds > STEADY else 1
+            moving = np.unique(doc[live[np.abs(change).max(1) >= SETTLED]])
+            live = live[np.isin(doc[live], moving)]
         np.add.at(unary, target, message)
     return np.exp(unary - _log_sum(unary)[:, None])
 
 
+def labelled(nodes: Nodes) -> np.ndarray:
+    """False for words outside the patterns' spans that share a skip edge with one inside."""
+    label = np.array(nodes.label)
+    known = np.ones(len(label), bool)
+    e = np.array(nodes.skip, int).reshape(-1, 2)
+    for a, b in ((0, 1), (1, 0)):
+        known[e[(label[e[:, a]] > 0) & (label[e[:, b]] == 0), b]] = False
+    return known
+
+
 def train(documents: DataFrame) -> Model:
     """Counts of labels by shape, context and edge, over all documents."""
     names = ("kind", "slot", "n")
@@ -253,11 +312,13 @@ def train(documents: DataFrame) -> Model:
                 if not nodes.doc:
                     continue
                 label = np.array(nodes.label)
-                np.add.at(tables[0], (nodes.shape, label), 1)
-                np.add.at(tables[1], (nodes.context, label), 1)
+                known = labelled(nodes)
+                np.add.at(tables[0], (np.array(nodes.shape)[known], label[known]), 1)
+                np.add.at(tables[1], (np.array(nodes.context)[known], label[known]), 1)
                 for t, edges in ((tables[2], nodes.chain), (tables[3], nodes.skip)):
                     if edges:
                         e = np.array(edges)
+                        e = e[known[e].all(1)]
                         np.add.at(t, (label[e[:, 0]], label[e[:, 1]]), 1)
         for kind, t in enumerate(tables):
             flat = t.ravel()
