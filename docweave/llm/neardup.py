@@ -210,7 +210,7 @@ def clusters(signed: DataFrame, percent: int) -> DataFrame:
     found = keep(blocks.mapInArrow(lambda b: _edges(b, "block", stars), "a long, b long").distinct(), "stars")
     if found.isEmpty():
         drop(rows, found)
-        return found.select(F.col("a").alias("node"), F.col("b").alias("cluster"))
+        return signed.sparkSession.createDataFrame([], "node long, cluster long")
     label = graph.components(found)
     open_ = hot.join(label, "node", "left").select("region", "node", "signature", "n", F.coalesce("component", "node").alias("group"))
     crossing = _crossing(open_, "region", F.col("n") / MEMBERS)

@@ -302,6 +302,12 @@ def test_near_duplicates(docs, crowded, size, percent):
     assert rows(neardup.groups(crowded, size, percent)) == sorted(map(tuple, got), key=repr)
 
 
+def test_near_duplicates_without_a_similar_pair(spark):
+    texts = [f"word{i} has{i} nothing{i} in{i} common{i} with{i} others{i}" for i in range(50)]
+    found = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [(r.doc_id, r.component_id, r.kept) for r in found.orderBy("doc_id").collect()] == [(i, i, True) for i in range(50)]
+
+
 def test_near_duplicates_of_none(empty):
     assert neardup.groups(empty).count() == 0
 
