@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import htmltext, neardup, packing, pii, quality, sampling, tokenfiles, tokens, topk, toxicity, urls
+from docweave.llm import audit, htmltext, neardup, packing, pii, quality, sampling, tokenfiles, tokens, topk, toxicity, urls
 from docweave.llm.store import new_path, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,34 @@ def op9_toxicity(spark: SparkSession, base: str) -> DataFrame:
 def op10_swap_packing(spark: SparkSession, base: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2,048 tokens."""
     return packing.pack(table(spark, base, "documents"), tokens.find("word_bpe_49k.json"))
+
+
+_MASKS = """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic, map {
+  'A': (len(words) < 50)::INT, 'B': (100 * len(list_distinct(words)) < 65 * len(words))::INT,
+  'C': (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT,
+  'D': regexp_matches(text, '[#$%&*|]')::INT,
+  'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT} AS f FROM d LEFT JOIN l USING (doc_id))"""
+ORACLES["op12_filter_audit"] = f"""{_MASKS},
+c AS (SELECT part, f, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT c.*, o AS filter_order, step, substr(o, step, 1) AS letter, f[substr(o, step, 1)] AS fails,
+  list_sum(list_transform(range(1, step), lambda i: f[substr(o, i, 1)])) AS before, list_sum(map_values(f)) AS total
+  FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+t AS (SELECT part, filter_order, step, letter, sum(n * (fails + coalesce(before, 0) = 0)::INT)::BIGINT AS kept,
+  sum(n * (fails = 1 AND coalesce(before, 0) = 0)::INT)::BIGINT AS removed,
+  sum(n * (fails = 1 AND coalesce(before, 0) > 0)::INT)::BIGINT AS redundant,
+  sum(n * (fails = 1 AND total = 1)::INT)::BIGINT AS unique_fails,
+  sum(n * (good = 1 AND fails = 1 AND coalesce(before, 0) = 0)::INT)::BIGINT AS good_lost,
+  sum(n * (toxic = 1 AND fails = 1 AND coalesce(before, 0) = 0)::INT)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT * EXCLUDE letter, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM t"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, base: str) -> DataFrame:
+    """What each step of each order of the five filters removes, keeps and repeats, by source."""
+    return audit.audit(table(spark, base, "documents"), table(spark, base, "labels"))
