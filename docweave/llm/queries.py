@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import audit, htmltext, neardup, packing, pii, quality, sampling, tokenfiles, tokens, topk, toxicity, urls
+from docweave.llm import audit, chat, htmltext, neardup, packing, pii, quality, sampling, tokenfiles, tokens, topk, toxicity, urls
 from docweave.llm.store import new_path, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,16 @@ def op10_swap_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"), tokens.find("word_bpe_49k.json"))
 
 
+@query
+def op11_chat_format(spark: SparkSession, base: str) -> DataFrame:
+    """All conversations and one that speaks in marks, written in the template and read back."""
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    path = new_path(spark, "chats")
+    chat.write(table(spark, base, "conversations").select("conv_id", "turn", "role", "text").union(odd), path)
+    return chat.digest(spark, path)
+
+
 _MASKS = """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
