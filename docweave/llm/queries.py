@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import audit, chat, htmltext, neardup, packing, pii, quality, sampling, tokenfiles, tokens, topk, toxicity, urls
+from docweave.llm import alignment, audit, chat, htmltext, neardup, packing, pii, quality, sampling, tokenfiles, tokens, topk, toxicity, urls
 from docweave.llm.store import new_path, ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,11 @@ SELECT * EXCLUDE letter, sum(removed) OVER (PARTITION BY part, letter)::BIGINT A
 def op12_filter_audit(spark: SparkSession, base: str) -> DataFrame:
     """What each step of each order of the five filters removes, keeps and repeats, by source."""
     return audit.audit(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, base: str) -> DataFrame:
+    """Byte groups of two tokenisers' tokens in every document, and how common its linked ids are."""
+    paths = tokens.find("byte_bpe_50k.json"), tokens.find("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, base, "documents"), *paths)
+    return alignment.digest(aligned, alignment.pair_counts(aligned, alignment.pair(*paths).size_b))
