@@ -9,7 +9,7 @@ from docweave.catalog.registry import array, literal, query, with_tables
 from docweave.catalog.textprep import SENTENCES, TERMS, TOKENS, TRIMMED, documents
 from docweave.functions import classify
 from docweave.functions import text as prep
-from docweave.operators import tfidf
+from docweave.operators import similar, tfidf
 from docweave.sources import derived
 from docweave.sources.tables import load
 
@@ -250,3 +250,27 @@ def pair_similarity(spark: SparkSession, base: str) -> DataFrame:
     pairs = turns.join(following, ["conv_id", "turn"])
     out = tfidf.pair_similarity(pairs, ["conv_id", "turn"], "a_text", "b_text")
     return out.withColumn("similarity", F.round("similarity", 9))
+
+
+RUNS = """CASE WHEN len(ts) = 0 THEN [] WHEN len(ts) < 5 THEN [array_to_string(ts, ' ')]
+ELSE list_transform(range(1, len(ts) - 3), lambda i: array_to_string(ts[i : i + 4], ' ')) END"""
+
+
+@query(
+    "near_duplicate_pairs",
+    f"""WITH RECURSIVE d AS (SELECT doc_id AS document_id, {TERMS} AS ts FROM documents),
+s AS (SELECT document_id, list_sort(list_distinct({RUNS})) AS runs FROM d),
+c AS (SELECT runs, min(document_id) AS class_id FROM s WHERE len(runs) > 0 GROUP BY runs),
+x AS (SELECT class_id, len(runs) AS n, unnest(runs) AS run FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS hits, any_value(a.n) + any_value(b.n) - count(*) AS total
+  FROM x a JOIN x b ON a.run = b.run AND a.class_id <> b.class_id GROUP BY 1, 2),
+r(node, seen) AS (SELECT class_id, class_id FROM c UNION SELECT node, p.b FROM r JOIN p ON seen = p.a WHERE 100 * hits >= 80 * total),
+g AS (SELECT node, min(seen) AS representative FROM r GROUP BY node)
+SELECT document_id, coalesce(class_id, document_id) AS class_id, coalesce(representative, document_id) AS representative,
+  CASE WHEN representative = class_id THEN 1.0 WHEN class_id IS NOT NULL THEN round(coalesce(hits / total, 0), 9) END::DOUBLE AS similarity
+FROM s LEFT JOIN c USING (runs) LEFT JOIN g ON node = class_id LEFT JOIN p ON p.a = class_id AND p.b = representative""",
+)
+def near_duplicate_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Every document with its class of equal sets, its group's representative, and how similar it is to that."""
+    docs = load(spark, base, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return similar.near_duplicates(docs).withColumn("similarity", F.round("similarity", 9))
