@@ -10,7 +10,7 @@ from docweave.catalog.registry import query
 from docweave.functions.classify import document_type
 from docweave.operators.entities import extract
 from docweave.session import scratch
-from docweave.streaming import jobs
+from docweave.streaming import jobs, limiter
 
 
 def table_stream(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -44,23 +44,21 @@ def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
 @query("stream_rate_limit", LIMITED)
 def stream_rate_limit(spark: SparkSession, base: str) -> DataFrame:
     events = table_stream(spark, base, "events").select("event_id", F.col("user_id").alias("client_id"), "ts")
-    return jobs.limit_stream(events, seconds=86_400, limit=3).select("event_id", "client_id", "admitted")
+    return limiter.limit_stream(events, seconds=86_400, limit=3).select("event_id", "client_id", "admitted")
 
 
 @query("stream_rate_windows_live", WINDOWS)
 def stream_rate_windows_live(spark: SparkSession, base: str) -> DataFrame:
     """All windows, as after the last batch."""
     events = table_stream(spark, base, "events").select(F.col("user_id").alias("client_id"), "ts")
-    out = jobs.drain(jobs.rate_windows(events), "rate-windows")
-    return out.select("client_id", F.unix_micros("start").alias("start_us"), "requests")
+    return jobs.rate_windows(events).select("client_id", F.unix_micros("start").alias("start_us"), "requests")
 
 
 @query("stream_sessions_live", f"SELECT client_id, start_us, end_us + 3600000000 AS end_us, events FROM ({SESSIONS})")
 def stream_sessions_live(spark: SparkSession, base: str) -> DataFrame:
     """All sessions; they end one pause after their last event."""
     events = table_stream(spark, base, "events").select(F.col("user_id").alias("client_id"), "ts")
-    out = jobs.drain(jobs.sessions(events), "sessions")
-    return out.select(
+    return jobs.sessions(events).select(
         "client_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events"
     )
 
@@ -71,5 +69,4 @@ def stream_status_live(spark: SparkSession, base: str) -> DataFrame:
     changes = table_stream(spark, base, "events").select(
         F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), "ts", "event_id"
     )
-    out = jobs.drain(jobs.latest_status(changes), "status")
-    return out.select("document_id", "status", F.unix_micros("updated_at").alias("updated_us"))
+    return jobs.latest_status(changes).select("document_id", "status", F.unix_micros("updated_at").alias("updated_us"))

@@ -87,6 +87,25 @@ def gap_sessions(events: DataFrame, seconds: int = SESSION_SECONDS) -> DataFrame
     )
 
 
+def merge_sessions(sessions: DataFrame, seconds: int = SESSION_SECONDS) -> DataFrame:
+    """Sessions ``(client_id, start_us, end_us, events)`` of several sources, as if found in one.
+
+    Those of a client that overlap, or lie less than the pause apart, become one. A source has at most one
+    session of a client per slot of the calendar, which bounds the rows of the window.
+    """
+    gap = seconds * MICROS
+    by_start = W.Window.partitionBy("client_id").orderBy("start_us", "end_us")
+    reach = F.max("end_us").over(by_start.rowsBetween(W.Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start_us") - reach >= gap, F.lit(True))
+    return (
+        sessions.withColumn("_new", fresh.cast("int"))
+        .withColumn("_session", F.sum("_new").over(by_start.rowsBetween(W.Window.unboundedPreceding, 0)))
+        .groupBy("client_id", "_session")
+        .agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("events").alias("events"))
+        .drop("_session")
+    )
+
+
 def window_counts(events: DataFrame, seconds: int = WINDOW_SECONDS, slide: int = 10) -> DataFrame:
     """Requests per client and sliding window (the approximate limiter)."""
     return (

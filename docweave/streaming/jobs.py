@@ -1,4 +1,4 @@
-"""Structured Streaming: continuous intake, limiter, windows, sessions, status.
+"""Structured Streaming: continuous intake, windows, sessions, status (the limiter has its own module).
 
 Every job checkpoints below the shared folder and can be started again after a failure. The batch
 functions these jobs call are the ones the rest of the library uses, so batch and stream agree.
@@ -14,13 +14,17 @@ from pyspark.sql import types as T
 
 from docweave.operators.events import (
     MICROS,
-    REQUESTS_PER_WINDOW,
     SESSION_SECONDS,
     WINDOW_SECONDS,
-    limit_requests,
+    gap_sessions,
+    merge_sessions,
+    window_counts,
 )
 from docweave.operators.relational import latest_by_key
 from docweave.session import prepare, scratch
+from docweave.sources.stored import folders, remove
+
+COMPACT_EVERY = 16  # batches whose results lie side by side at most
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -37,31 +41,59 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return df.withColumns(casts) if casts else df
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there now; the whole result after its last batch.
+def accumulate(
+    stream: DataFrame,
+    partial: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame],
+    path: str | None = None,
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Reduce a stream whose results can be merged; the whole result so far.
 
-    Aggregates run in complete mode: each batch writes the result so far to a folder of its own, so a
-    restart overwrites it, and no row is too late to count.
+    A batch writes the ``partial`` result of its own rows, so only the keys it holds, to a folder of its
+    own, and reads nothing else; a batch that is run again overwrites it. Rows may be late by any time.
+    Every ``compact_every`` batches the folders are merged to one, which costs as much as one reading.
+    The state of the stream is ``path``: the next call on it goes on where the last one ended or was lost.
     """
     spark = stream.sparkSession
-    target, state = scratch(spark, name), scratch(spark, f"{name}-state")
-    last = []
+    path = path or scratch(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch-{number}")
-        last[:] = [number]
+        partial(batch).write.mode("overwrite").parquet(f"{path}/parts/{number:09d}")
+        if (number + 1) % compact_every == 0:
+            _compact(spark, path, merge, number)
 
     query = (
         stream.writeStream.foreachBatch(write)
-        .outputMode("complete")
-        .option("checkpointLocation", state)
+        .option("checkpointLocation", f"{path}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{target}/batch-{last[0]}")
+    found = _parts(spark, path)
+    if not found:
+        return merge(partial(spark.createDataFrame([], stream.schema)))
+    return merge(spark.read.parquet(*found))
+
+
+def _parts(spark: SparkSession, path: str, upto: int | None = None) -> list[str]:
+    """The newest merged folder and the batches after it; with ``upto`` as they were before that batch's merge."""
+    merged = [f for f in folders(spark, f"{path}/merged") if upto is None or int(f) < upto]
+    batches = [f for f in folders(spark, f"{path}/parts") if upto is None or int(f) <= upto]
+    base = merged[-1:]
+    return [f"{path}/merged/{f}" for f in base] + [f"{path}/parts/{f}" for f in batches if not base or f > base[0]]
+
+
+def _compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], number: int) -> None:
+    """Merge all up to a batch. What the merge before it covers goes: that one is whole, and no batch older
+    than this one is run again."""
+    before = [f for f in folders(spark, f"{path}/merged") if int(f) < number]
+    merge(spark.read.parquet(*_parts(spark, path, number))).write.mode("overwrite").parquet(f"{path}/merged/{number:09d}")
+    for old in before[:-1]:
+        remove(spark, f"{path}/merged/{old}")
+    for part in folders(spark, f"{path}/parts"):
+        if before and part <= before[-1]:
+            remove(spark, f"{path}/parts/{part}")
 
 
 def ingest(
@@ -89,74 +121,30 @@ def ingest(
     )
 
 
-def _late(stream: DataFrame, lateness: str | None) -> DataFrame:
-    """With a ``lateness`` state is dropped, and so are rows, once they lie further back than that."""
-    return stream.withWatermark("ts", lateness) if lateness else stream
+def rate_windows(stream: DataFrame, path: str | None = None, seconds: int = WINDOW_SECONDS, slide: int = 10) -> DataFrame:
+    """Requests per client and sliding window, however late they come."""
+    keys = ["client_id", "start", "end"]
+    merge = lambda parts: parts.groupBy(*keys).agg(F.sum("requests").alias("requests"))
+    return accumulate(stream, lambda batch: window_counts(batch, seconds, slide), merge, path)
 
 
-def rate_windows(stream: DataFrame, lateness: str | None = None, seconds: int = WINDOW_SECONDS, slide: int = 10) -> DataFrame:
-    """Requests per client and sliding window; without ``lateness`` every row counts, however late."""
-    return (
-        _late(stream, lateness)
-        .groupBy("client_id", F.window("ts", f"{seconds} seconds", f"{slide} seconds").alias("w"))
-        .agg(F.count("*").alias("requests"))
-        .select("client_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
-    )
-
-
-def sessions(stream: DataFrame, lateness: str | None = None, seconds: int = SESSION_SECONDS) -> DataFrame:
-    """Sessions per client, closed by a pause of ``seconds`` (a pause, not a fixed life time).
+def sessions(stream: DataFrame, path: str | None = None, seconds: int = SESSION_SECONDS) -> DataFrame:
+    """``(client_id, start, end, events)``: sessions, closed by a pause of ``seconds`` (no fixed life time).
 
-    Windows that just touch are one to Spark, but a pause of exactly ``seconds`` ends a session: hence
-    the microsecond less.
+    A late request may join two sessions: those of all batches are merged like single requests.
     """
-    gap = f"{seconds * MICROS - 1} microseconds"
-    end = F.timestamp_micros(F.unix_micros("w.end") + 1).alias("end")
-    return (
-        _late(stream, lateness)
-        .groupBy("client_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count("*").alias("events"))
-        .select("client_id", F.col("w.start").alias("start"), end, "events")
+    merged = accumulate(
+        stream,
+        lambda batch: gap_sessions(batch, seconds).drop("session"),
+        lambda parts: merge_sessions(parts, seconds),
+        path,
     )
+    end = F.timestamp_micros(F.col("end_us") + seconds * MICROS)
+    return merged.select("client_id", F.timestamp_micros("start_us").alias("start"), end.alias("end"), "events")
 
 
-def latest_status(stream: DataFrame) -> DataFrame:
-    """Last status of every document (complete or update mode)."""
-    return stream.groupBy("document_id").agg(
-        F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("updated_at")
-    )
-
-
-def limit_stream(
-    stream: DataFrame, name: str = "limiter", seconds: int = WINDOW_SECONDS, limit: int = REQUESTS_PER_WINDOW
-) -> DataFrame:
-    """Exact limiter over requests that arrive in any order; the verdicts after the last batch.
-
-    A late request can change the verdicts of later ones of its client. So each batch is stored, and
-    the clients in it are judged again from all that is stored of them, by the batch operator; a
-    request's verdict is the one of the last batch that judged it. Batches write to folders of their
-    own, so a restart neither loses nor doubles rows.
-    """
-    spark = stream.sparkSession
-    base = scratch(spark, name)
-    numbers: list[int] = []
-
-    def judge(batch: DataFrame, number: int) -> None:
-        batch.select("event_id", "client_id", "ts").write.mode("overwrite").parquet(f"{base}/events/batch={number}")
-        stored = spark.read.parquet(f"{base}/events").where(F.col("batch") <= number).drop("batch")
-        clients = spark.read.parquet(f"{base}/events/batch={number}").select("client_id").distinct()
-        verdicts = limit_requests(stored.join(clients, "client_id", "left_semi"), seconds=seconds, limit=limit)
-        verdicts.write.mode("overwrite").parquet(f"{base}/verdicts/batch={number}")
-        numbers.append(number)
-
-    query = (
-        stream.writeStream.foreachBatch(judge)
-        .option("checkpointLocation", scratch(spark, f"{name}-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    if not numbers:
-        return spark.createDataFrame([], "event_id bigint, client_id bigint, ts timestamp, admitted boolean")
-    verdicts = spark.read.parquet(f"{base}/verdicts")
-    return latest_by_key(verdicts, ["event_id"], ["batch"]).select("event_id", "client_id", "ts", "admitted")
+def latest_status(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Last status of every document, by the changes' own time, not their arrival."""
+    newest = lambda rows: latest_by_key(rows, ["document_id"], ["ts", "event_id"])
+    out = accumulate(stream.select("document_id", "status", "ts", "event_id"), newest, newest, path)
+    return out.select("document_id", "status", F.col("ts").alias("updated_at"))

@@ -10,7 +10,7 @@ from docweave.operators import events as ops
 from docweave.operators import ocr, relational
 from docweave.operators.skew import left_join_many, with_position
 from docweave.session import scratch
-from docweave.streaming import jobs
+from docweave.streaming import jobs, limiter
 
 EPOCH = 1_704_067_200_000_000
 
@@ -100,21 +100,98 @@ def late_files(spark, history):
 def test_limiter_stream_equals_batch(spark, history, late_files):
     path, df = late_files
     stream = jobs.read_stream(spark, path, df.schema, files_per_trigger=1)
-    got = {r.event_id: r.admitted for r in jobs.limit_stream(stream, limit=3).collect()}
+    got = {r.event_id: r.admitted for r in limiter.limit_stream(stream, limit=3).collect()}
     assert got == admitted(history, 3, 60_000_000)
 
 
+def shuffled_files(spark, history, parts=6):
+    """The requests in files that hold rows of all times."""
+    path = scratch(spark, "mixed-input")
+    df = spark.createDataFrame(history, "event_id long, client_id long, us long").select(
+        "event_id", "client_id", F.timestamp_micros("us").alias("ts")
+    )
+    return path, [df.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == i).coalesce(1) for i in range(parts)], df
+
+
+def test_limiter_goes_on_where_it_ended(spark, history):
+    """Two calls on one path, files between them; a batch writes only what is new or has changed."""
+    source, files, df = shuffled_files(spark, history)
+    state = scratch(spark, "limiter-state")
+    for half in (files[:3], files[3:]):
+        for f in half:
+            f.write.mode("append").parquet(source)
+        stream = jobs.read_stream(spark, source, df.schema, files_per_trigger=1)
+        got = limiter.limit_stream(stream, state, limit=3)
+    want = admitted(history, 3, 60_000_000)
+    assert {r.event_id: r.admitted for r in got.collect()} == want
+    written = spark.read.parquet(f"{state}/verdicts")
+    assert len(want) < written.count() < 2 * len(want) and written.select("batch").distinct().count() >= 6
+    again = limiter.limit_stream(jobs.read_stream(spark, source, df.schema), state, limit=3)
+    assert again.count() == len(want) and spark.read.parquet(f"{state}/verdicts").count() == written.count()
+
+
+def test_limiter_forgets(spark):
+    """With a bound on what is kept, old requests neither stay in the state nor block late ones."""
+    path, state = scratch(spark, "old-input"), scratch(spark, "old-state")
+    rows = [[(i, 1, EPOCH + i * 1000) for i in range(3)], [(9, 1, EPOCH + 10**10)], [(10, 1, EPOCH + 5000)]]
+    for part in rows:
+        df = spark.createDataFrame(part, "event_id long, client_id long, us long").select("event_id", "client_id", F.timestamp_micros("us").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        got = limiter.limit_stream(jobs.read_stream(spark, path, df.schema), state, limit=3, keep_seconds=600)
+    assert {r.event_id: r.admitted for r in got.collect()} == {0: True, 1: True, 2: True, 9: True, 10: True}
+
+
 def test_late_rows_count_in_windows_and_sessions(spark, late_files):
     path, df = late_files
     stream = lambda: jobs.read_stream(spark, path, df.schema, files_per_trigger=1)
-    windows = jobs.drain(jobs.rate_windows(stream()), "windows")
+    windows = jobs.rate_windows(stream())
     assert sorted(map(tuple, windows.collect())) == sorted(map(tuple, ops.window_counts(df).collect()))
-    live = jobs.drain(jobs.sessions(stream(), seconds=60), "sessions")
+    live = jobs.sessions(stream(), seconds=60)
     got = sorted((r.client_id, r.s, r.e - 60_000_000, r.events) for r in live.select("client_id", F.unix_micros("start").alias("s"), F.unix_micros("end").alias("e"), "events").collect())
     want = sorted((r.client_id, r.start_us, r.end_us, r.events) for r in ops.gap_sessions(df, 60).collect())
     assert got == want
 
 
+def test_streams_go_on_after_a_lost_batch(spark, history):
+    """A batch that dies after its write is run again; folders are merged, and those merged are removed."""
+    source, files, df = shuffled_files(spark, history, 7)
+    state = scratch(spark, "sessions-state")
+    partial = lambda batch: ops.gap_sessions(batch, 60).drop("session")
+    broken = {"left": 2}
+
+    def merge(parts):
+        if broken["left"]:
+            broken["left"] -= 1
+            raise RuntimeError("lost")
+        return ops.merge_sessions(parts, 60)
+
+    want = sorted((r.client_id, r.start_us, r.end_us, r.events) for r in ops.gap_sessions(df, 60).collect())
+    for number, f in enumerate(files):
+        f.write.mode("append").parquet(source)
+        for _ in range(4):
+            stream = jobs.read_stream(spark, source, df.schema, files_per_trigger=1)
+            try:
+                got = jobs.accumulate(stream, partial, merge, state, compact_every=2)
+                break
+            except Exception as lost:
+                assert "lost" in str(lost)
+        assert broken["left"] == 0 or number == 0
+    assert sorted(map(tuple, got.select("client_id", "start_us", "end_us", "events").collect())) == want
+    from docweave.sources.stored import folders
+
+    assert len(folders(spark, f"{state}/merged")) <= 2 and len(folders(spark, f"{state}/parts")) <= 4
+    first = spark.read.parquet(f"{state}/parts/{folders(spark, f'{state}/parts')[0]}")
+    assert first.count() < len(want) * 2
+
+
+def test_empty_streams(spark):
+    df = spark.createDataFrame([], "event_id long, client_id long, ts timestamp")
+    path = scratch(spark, "empty-input")
+    df.write.parquet(path)
+    stream = lambda: jobs.read_stream(spark, path, df.schema)
+    assert jobs.rate_windows(stream()).count() == jobs.sessions(stream()).count() == limiter.limit_stream(stream()).count() == 0
+
+
 def test_rates_are_linear_in_a_hot_window(spark):
     """Forty thousand requests of one client inside one window; a frame per row would take minutes."""
     df = spark.range(40_000).select(F.col("id").alias("event_id"), F.lit(1).alias("client_id"), F.timestamp_micros(EPOCH + F.col("id")).alias("ts"))
