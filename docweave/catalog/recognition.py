@@ -155,5 +155,10 @@ UNION ALL SELECT l_orderkey, 0, l_linenumber, 2, l_returnflag FROM {lineitem}"""
 FROM ({CELLS.format(lineitem='lineitem')}) GROUP BY ALL""",
 )
 def form_table_grid(spark: SparkSession, base: str) -> DataFrame:
-    cells = spark.sql(CELLS, lineitem=load(spark, base, "lineitem"))
+    line = load(spark, base, "lineitem")
+    contents = [F.col("l_partkey").cast("string"), F.col("l_quantity").cast("bigint").cast("string"), F.col("l_returnflag")]
+    columns = [F.struct(F.lit(i).alias("column_index"), c.alias("content")) for i, c in enumerate(contents)]
+    cells = line.select(
+        F.col("l_orderkey").alias("document_id"), F.lit(0).alias("table_no"), F.col("l_linenumber").alias("row_index"), F.inline(F.array(*columns))
+    )
     return relational.form_grid(cells).withColumn("cells", F.array_join("cells", "|"))

@@ -110,14 +110,15 @@ def _running(values: Column) -> Column:
 _MARK = "\uffff"
 
 
-def find_spans(text: Column, pattern: str, value_group: int | None = None) -> Column:
+def find_spans(text: Column, pattern: str | Column, value_group: int | None = None) -> Column:
     """All matches with half-open code-point offsets.
 
     ``ARRAY<STRUCT<text,start,end,value>>``; ``value`` is NULL unless a group is asked for. The
     engine has no offset function. So one replacement puts marks around every match, the marked text
-    is cut at the marks, and the running length of the pieces gives every start.
+    is cut at the marks, and the running length of the pieces gives every start. A column as pattern
+    is taken as it is, in the engine's own syntax.
     """
-    java = jvm(pattern)
+    java = pattern if isinstance(pattern, Column) else F.lit(jvm(pattern))
     step = 3 if value_group else 2
 
     def place(pieces: Column) -> Column:
@@ -142,11 +143,11 @@ def find_spans(text: Column, pattern: str, value_group: int | None = None) -> Co
         return F.when(F.size(pieces) > 1, let(let(lengths, _running), span))
 
     marked = f"{_MARK}$0{_MARK}" + (f"${value_group}{_MARK}" if value_group else "")
-    once = F.split(F.regexp_replace(text, java, marked), _MARK, -1)
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    once = F.split(F.regexp_replace(text, java, F.lit(marked)), _MARK, -1)
+    found = F.regexp_extract_all(text, java, F.lit(0))
     gaps = F.split(text, java, -1)
     if value_group:
-        values = F.regexp_extract_all(text, F.lit(java), F.lit(value_group))
+        values = F.regexp_extract_all(text, java, F.lit(value_group))
         rows = F.zip_with(found, values, lambda m, v: F.array(m, v))
     else:
         rows = F.transform(found, lambda m: F.array(m))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import window as W
 from docweave.functions import entities as cols
 from docweave.functions import validate
 from docweave.functions.fields import document_fields
-from docweave.operators.skew import salted_join
+from docweave.functions.regex import SPACE, WORD, find_spans, strip
+from docweave.sources.stored import stored
 
 
 def explode_entities(df: DataFrame, spans: Column, id_col: str = "document_id") -> DataFrame:
@@ -38,47 +40,57 @@ def extract_addresses(df: DataFrame) -> DataFrame:
     return explode_entities(df, cols.address_entities(F.col("text")))
 
 
+_NAME_WORD = "[" + WORD + "#]"
+_IN_NAME = f"[{SPACE}]+{_NAME_WORD}+"
+
+
+def _beginnings(df: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
+    """``(id, words)`` of the texts in which some name may begin: their words that begin one."""
+    first = names.select(F.element_at(F.split("name", " "), 1).alias("word")).distinct()
+    words = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(f"{_NAME_WORD}+"), F.lit(0)))
+    met = df.select(id_col, F.explode(words).alias("word")).join(first, "word", "left_semi")
+    return met.groupBy(id_col).agg(F.collect_set("word").alias("_words"))
+
+
 def gazetteer_entities(
     df: DataFrame, names: DataFrame, max_words: int | None = None, id_col: str = "document_id"
 ) -> DataFrame:
     """Tag the names of a dictionary in the texts (stands in for the pretrained taggers).
 
-    Every run of words as long as the longest name, or ``max_words``, becomes a candidate and is
-    looked up in ``names(name, label)`` by equality, so the work grows with the words of the texts
-    and not with words times names. Words of a name are parted by blanks of any kind in the text and
-    by single blanks in the dictionary. Of names inside each other the longest stays. Candidates are
-    built inside a row's array from the words alone; hot names are salted; whether the dictionary is
-    broadcast is left to its measured size.
+    The distinct words of a text are looked up among the first words of ``names(name, label)``; texts
+    without any take no further part. Where one occurs, the words after it are read as far as the longest
+    name, or ``max_words``, reaches, and the run grows word by word as long as some name begins with it,
+    which a semi join on the names' beginnings of that many words tells. So the work grows with the places
+    at which names begin, not with words times names. Words of a name are parted by blanks of any kind in
+    the text and by single blanks in the dictionary. Of names inside each other the longest stays.
     """
-    from docweave.functions.regex import find_spans
-
     if max_words is None:
         max_words = names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
-    # A word, or what stands between two words; only blanks may stand inside a name.
-    words = df.select(id_col, find_spans(F.col("text"), r"[\w#]+|[^\w#]+").alias("_p"))
-    is_word = lambda p: p["text"].rlike(r"^[\w#]")
-    starts = F.sequence(F.lit(0), F.size("_p") - 1)
-
-    def runs(i: Column) -> Column:
-        parts = F.slice("_p", i + 1, F.lit(2 * max_words - 1))
-        fits = lambda k: F.forall(F.slice(parts, 1, k), lambda p: is_word(p) | p["text"].rlike(r"^\s+$"))
-        ends = F.filter(F.sequence(F.lit(1), F.size(parts), F.lit(2)), fits)
-        return F.transform(
-            ends,
-            lambda k: F.struct(
-                F.array_join(F.filter(F.transform(F.slice(parts, 1, k), lambda p: F.when(is_word(p), p["text"])), lambda t: t.isNotNull()), " ").alias("text"),
-                F.element_at(parts, 1)["start"].alias("start"),
-                F.element_at(parts, k)["end"].alias("end"),
-            ),
-        )
-
-    some = F.filter(starts, lambda i: is_word(F.col("_p")[i]))
-    candidates = words.where(F.size("_p") > 0).select(id_col, F.inline(F.flatten(F.transform(some, runs))))
-    found = salted_join(candidates, names.withColumnRenamed("name", "text"), ["text"], id_col, salts=32)
+    texts = df.select(id_col, "text")
+    some = texts.join(_beginnings(texts, names, id_col), id_col)
+    after = f"(?=((?:{_IN_NAME}){{0,{max_words - 1}}}))"
+    begins = F.concat(F.lit(f"(?<!{_NAME_WORD})(?:"), F.array_join("_words", "|"), F.lit(f")(?!{_NAME_WORD}){after}"))
+    run = some.select(id_col, F.inline(find_spans(F.col("text"), begins, 1)))
+    run = run.select(id_col, "text", "start", "end", F.regexp_extract_all("value", F.lit(_IN_NAME), F.lit(0)).alias("_more"))
+    if max_words > 1:
+        run = stored(run, "beginnings")  # read once for each number of words
+    parts = F.split("name", " ")
+    found = []
+    for size in range(1, max_words + 1):
+        if size > 1:
+            grown = F.get("_more", F.lit(size - 2))
+            run = run.where(F.size("_more") >= size - 1).select(
+                id_col, F.concat_ws(" ", "text", strip(grown)).alias("text"), "start", (F.col("end") + F.length(grown)).alias("end"), "_more"
+            )
+            beginnings = names.where(F.size(parts) >= size).select(F.array_join(F.slice(parts, 1, size), " ").alias("text"))
+            run = run.join(beginnings.distinct(), "text", "left_semi")
+        known = names.where(F.size(parts) == size).select(F.col("name").alias("text"), "label")
+        found.append(run.join(known, "text").select(id_col, "text", "label", "start", "end"))
+    tagged = reduce(DataFrame.unionByName, found)
     # A name inside another one: something that began earlier, or there and longer, reaches as far.
     place = F.col("start").cast("long") * (1 << 31) - F.col("end")
     before = W.Window.partitionBy(id_col).orderBy(place).rangeBetween(W.Window.unboundedPreceding, -1)
-    outer = found.withColumn("_reach", F.max("end").over(before))
+    outer = tagged.withColumn("_reach", F.max("end").over(before))
     return outer.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("end"))).select(
         id_col,
         "text",

@@ -8,27 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-
-def salted_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], spread: str, salts: int = 4, how: str = "inner"
-) -> DataFrame:
-    """Join a large side to a lookup with one row per key.
-
-    Rows of a hot key are spread by a hash of ``spread`` over ``salts`` tasks; the lookup, one row
-    per key and so far smaller, is repeated once per salt. Results equal the plain join.
-    """
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+from docweave.sources.stored import stored
 
 
 def hot_salted_join(
     facts: DataFrame, lookup: DataFrame, on: str, weight: str, limit: Column, spread: str, salts: int = 64
 ) -> DataFrame:
-    """The same, where the lookup knows how many facts each key has (``weight``).
+    """Join a large side to a lookup of one row per key that knows how many facts each has (``weight``).
 
-    Only keys with more than ``limit`` facts are salted; there are at most ``facts / limit`` of them,
-    which is what bounds the broadcast of their names. All other keys join as they are.
+    Rows of a hot key are spread by a hash of ``spread``. Only keys with more than ``limit`` facts are
+    salted; there are at most ``facts / limit`` of them, which is what bounds the broadcast of their names.
+    All other keys join as they are.
     """
     heavy = F.col(weight) > limit
     hot = lookup.where(heavy).select(on, F.lit(True).alias("_hot"))
@@ -44,8 +34,10 @@ def left_join_many(parent: DataFrame, child: DataFrame, on: str) -> DataFrame:
     """Left join of one parent row to any number of child rows.
 
     An outer join cannot split its many-rows side, an inner join can (AQE skew join). So: inner
-    join, plus the parents whose key is missing from the *distinct* child keys.
+    join, plus the parents whose key is missing from the *distinct* child keys. Both parts read the
+    children, so these are written once, whatever it took to make them.
     """
+    child = stored(child, "children")
     missing = parent.join(child.select(on).distinct(), on, "left_anti")
     return parent.join(child, on).unionByName(missing, allowMissingColumns=True)
 

@@ -146,3 +146,30 @@ def test_resume_and_contract_equal_python(spark):
         assert (row.c.party_a, row.c.party_b) == ((hits[0][1].strip(), hits[0][2].strip()) if hits else (None, None))
         term = re.search(fields.TERM, text)
         assert row.c.duration == (f"{term[1]} {term[2]}" if term else None)
+
+
+def plain_names(text, names):
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[\w#]+", text or "")]
+    found = []
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            if j > i and not re.fullmatch(r"\s+", text[words[j - 1][2] : words[j][1]]):
+                break
+            name = " ".join(w for w, _, _ in words[i : j + 1])
+            found += [(name, label, words[i][1], words[j][2]) for n, label in names if n == name]
+    inside = lambda f: any(o[2] <= f[2] and o[3] >= f[3] and o[3] - o[2] > f[3] - f[2] for o in found)
+    return [f for f in found if not inside(f)]
+
+
+def test_names_of_a_dictionary(spark):
+    names = [("New", "A"), ("New York", "B"), ("New York City Hall", "C"), ("York", "D"), ("City", "E"), ("C#", "F"), ("York", "G"), ("Ünï", "H"), ("a b c", "I"), ("b", "J")]
+    rng = random.Random(4)
+    pool = ["New", "York", "City", "Hall", "C#", "a", "b", "c", "Ünï", "and", "é\U0001f600"]
+    texts = [None, "", "new york", "New York City Hall and New\n\tYork  City", "New, York", "xNew New_York C# C", "New York City Hal"]
+    texts += ["".join(rng.choice(pool) + rng.choice([" ", " ", "  ", ", ", "\n", "\x1c", ". "]) for _ in range(30)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    got = ops.gazetteer_entities(spark.createDataFrame(rows, "document_id long, text string"), spark.createDataFrame(names, "name string, label string"))
+    want = [(i, *f) for i, t in rows for f in plain_names(t, names)]
+    assert sorted(map(tuple, got.select("document_id", "text", "label", "start", "end").collect())) == sorted(want)
+    none = ops.gazetteer_entities(spark.createDataFrame(rows, "document_id long, text string"), spark.createDataFrame([], "name string, label string"))
+    assert none.count() == 0
