@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.catalog.registry import query
 from docweave.operators import ml
+from docweave.operators.modelstore import ModelStore
+from docweave.operators.network import NetworkModel, train_network
 from docweave.plans import predict as plans
 from docweave.session import scratch
 from docweave.sources import derived
@@ -35,8 +36,8 @@ def first_model(spark: SparkSession, base: str) -> PipelineModel:
     return ml.text_pipeline().fit(ml.split(labelled(spark, base), KEY)[0])
 
 
-def second_model(spark: SparkSession, base: str) -> PipelineModel:
-    return ml.network_pipeline(2).fit(ml.split(labelled(spark, base), KEY)[0])
+def second_model(spark: SparkSession, base: str) -> NetworkModel:
+    return train_network(labelled(spark, base), KEY)[0]
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -62,17 +63,22 @@ def predict_classifier(spark: SparkSession, base: str) -> DataFrame:
 
 @query("argmax_class")
 def argmax_class(spark: SparkSession, base: str) -> DataFrame:
+    """The most probable class of every document, beside the probabilities it was chosen from."""
     out = ml.predict(first_model(spark, base), unlabelled(spark, base), KEY)
-    return out.groupBy("predicted_class").agg(F.count("*").alias("documents"))
+    best = F.array_max(F.col("probabilities"))
+    return out.select(KEY, "predicted_class", best.alias("probability"), F.col("all_probabilities.good").alias("good"), F.col("all_probabilities.poor").alias("poor"))
 
 
 @query("agg_train_metrics")
 def agg_train_metrics(spark: SparkSession, base: str) -> DataFrame:
-    """Loss per iteration and the scores on the held-out documents."""
-    model, metrics = ml.train(labelled(spark, base), KEY, ml.text_pipeline())
-    rows = [("loss", i, float(v)) for i, v in enumerate(ml.history(model))]
-    rows += [(name, 0, float(v)) for name, v in metrics.items()]
-    return spark.createDataFrame(rows, "metric string, iteration int, value double")
+    """Loss and accuracy of the network on both splits after every epoch; the first learner's loss and scores."""
+    rows = labelled(spark, base)
+    model, metrics = ml.train(rows, KEY, ml.text_pipeline())
+    told = [("regression", i, "train", "loss", float(v)) for i, v in enumerate(ml.history(model))]
+    told += [("regression", len(told) - 1, "validation", name, float(v)) for name, v in metrics.items()]
+    first = spark.createDataFrame(told, "model string, epoch int, split string, metric string, value double")
+    second = train_network(rows, KEY)[1].select(F.lit("network").alias("model"), "*")
+    return first.unionByName(second)
 
 
 @query("ensemble_predict")
@@ -118,11 +124,10 @@ def agg_eval_metrics(spark: SparkSession, base: str) -> DataFrame:
 
 @query("tree_classifier")
 def tree_classifier(spark: SparkSession, base: str) -> DataFrame:
+    """Boosted trees for all labels of the vectors."""
     rows = load(spark, base, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").cast("string").alias("label"))
-    model, dense = ml.tree_model(rows)
-    labels = F.array(*[F.lit(x) for x in ml.labels_of(model)])
-    scored = model.transform(dense).select("vec_id", vector_to_array("probability").alias("probabilities"))
-    return ml.decode(scored, labels).select("vec_id", "predicted_class", F.round("confidence", 6).alias("confidence"))
+    out = ml.predict_trees(ml.boosted_model(rows), rows, "vec_id")
+    return out.select("vec_id", "predicted_class", F.round("confidence", 6).alias("confidence"))
 
 
 @query("automl_text_train")
@@ -138,10 +143,17 @@ def automl_text_train(spark: SparkSession, base: str) -> DataFrame:
 
 @query("save_load_model")
 def save_load_model(spark: SparkSession, base: str) -> DataFrame:
-    """Saved, loaded, applied."""
-    path = scratch(spark, "model")
-    first_model(spark, base).write().overwrite().save(path)
-    return shown(ml.predict(PipelineModel.load(path), unlabelled(spark, base), KEY))
+    """Two types, one in two versions, stored; the newest of each found by its type and applied."""
+    store = ModelStore(spark, scratch(spark, "models"))
+    store.save("text", ml.text_pipeline(features=1 << 10, iterations=5).fit(ml.split(labelled(spark, base), KEY)[0]))
+    store.save_all({"text": first_model(spark, base), "network": second_model(spark, base)})
+    docs = derived.source(spark, base, "documents").select(F.col("doc_id").alias(KEY), "text")
+    out = []
+    for kind in ("text", "network"):
+        typed = plans.predict_document_type(docs, kind, {kind: store.scorer(kind, KEY)})
+        version = F.lit(store.find(kind)["version"]).alias("version")
+        out.append(typed.select(KEY, F.lit(kind).alias("model"), version, F.col("document_type").alias("predicted_class"), F.round("confidence", 6).alias("confidence")))
+    return out[0].unionByName(out[1])
 
 
 @query("jsonl_batch_transform")

@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
+    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
-    ElementwiseProduct,
     HashingTF,
-    Normalizer,
     StringIndexer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.classify import best_class
+from docweave.functions.regex import let
 from docweave.functions.text import preview, terms
+from docweave.operators import tfidf
+from docweave.operators.network import NetworkModel
+from docweave.sources.stored import stored
 
 SEED = 42
 VALIDATION_SHARE = 0.2
@@ -59,24 +61,10 @@ def text_pipeline(features: int = 1 << 14, iterations: int = 20) -> Pipeline:
     )
 
 
-def network_pipeline(classes: int, features: int = 1024, hidden: int = 16, iterations: int = 30) -> Pipeline:
-    """Second learner: a small feed-forward network on hashed TF-IDF."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
-            IDF(inputCol="tf", outputCol="features"),
-            MultilayerPerceptronClassifier(
-                labelCol="label_index", featuresCol="features", layers=[features, hidden, classes],
-                maxIter=iterations, seed=SEED,
-            ),
-        ]
-    )
+def labels_of(model: PipelineModel | NetworkModel) -> list[str]:
+    return list(model.labels if isinstance(model, NetworkModel) else model.stages[0].labels)
 
 
-def labels_of(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
-
 
 def train(df: DataFrame, key: str, pipeline: Pipeline) -> tuple[PipelineModel, dict[str, float]]:
     """Fit on the training rows and score the held-out ones."""
@@ -93,10 +81,12 @@ def history(model: PipelineModel) -> list[float]:
     return list(model.stages[-1].summary.objectiveHistory)
 
 
-def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+def predict(model: PipelineModel | NetworkModel, df: DataFrame, key: str) -> DataFrame:
     """``(key, predicted_class, confidence, probabilities ARRAY, all_probabilities MAP)``."""
     labels = labels_of(model)
     names = F.array(*[F.lit(x) for x in labels])
+    if isinstance(model, NetworkModel):
+        return decode(model.predict(df, key), names)
     scored = model.transform(df.withColumn("label", F.lit(labels[0]))).select(
         key, vector_to_array("probability").alias("probabilities")
     )
@@ -136,14 +126,42 @@ def align(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").withColumn("ensemble_method", F.lit("weighted_average"))
 
 
-def tree_model(df: DataFrame, trees: int = 100, depth: int = 6):
-    """Trees on dense vectors ``(features ARRAY, label)``; Spark's boosting is two-class only."""
+def _dense(df: DataFrame) -> DataFrame:
+    return df.withColumn("vector", array_to_vector(F.col("features").cast("array<double>")))
+
+
+def forest_model(df: DataFrame, trees: int = 100, depth: int = 6) -> PipelineModel:
+    """A forest on dense vectors ``(features ARRAY, label)``, to measure the boosted trees by."""
     indexer = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc")
-    forest = RandomForestClassifier(
-        labelCol="label_index", featuresCol="vector", numTrees=trees, maxDepth=depth, seed=SEED
-    )
-    dense = df.withColumn("vector", array_to_vector(F.col("features").cast("array<double>")))
-    return Pipeline(stages=[indexer, forest]).fit(dense), dense
+    forest = RandomForestClassifier(labelCol="label_index", featuresCol="vector", numTrees=trees, maxDepth=depth, seed=SEED)
+    return Pipeline(stages=[indexer, forest]).fit(_dense(df))
+
+
+def boosted_model(df: DataFrame, rounds: int = 100, depth: int = 3, rate: float = 0.2, sample: float = 0.8, parallel: int = 8) -> PipelineModel:
+    """Gradient-boosted trees for any number of classes on ``(features ARRAY, label)``.
+
+    Spark's boosting tells two classes apart, so each class has trees of its own against the rest;
+    ``parallel`` classes are trained at a time.
+    """
+    indexer = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc")
+    one = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=sample, featureSubsetStrategy="onethird", seed=SEED)
+    every = OneVsRest(classifier=one, labelCol="label_index", featuresCol="vector", parallelism=parallel)
+    return Pipeline(stages=[indexer, every]).fit(_dense(df))
+
+
+def predict_trees(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+    """Predictions of either kind of trees, as ``predict`` gives them.
+
+    A class's trees give half its log-odds; the classes' probabilities are scaled to one.
+    """
+    labels = labels_of(model)
+    scored = model.transform(_dense(df))
+    if "probability" in scored.columns:
+        shares = vector_to_array("probability")
+    else:
+        odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        shares = let(odds, lambda p: let(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(p, lambda x: x / s)))
+    return decode(scored.select(key, shares.alias("probabilities")), F.array(*[F.lit(x) for x in labels]))
 
 
 def choose_model(df: DataFrame, grid: Mapping[str, list] | None = None, folds: int = 3) -> PipelineModel:
@@ -202,46 +220,53 @@ def confusion_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
     )
 
 
-VOCABULARY = 1 << 18  # terms a cluster model knows; the model's vectors are as long
-
-
-def term_vectors(df: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """Add ``tf``: counts of the ``size`` most frequent terms; needs ``words``."""
-    return CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size).fit(df).transform(df)
-
-
-def tfidf_model(counted: DataFrame) -> PipelineModel:
-    """Unit TF-IDF vectors from ``tf``.
-
-    Counting, weighting and scaling stay on the JVM; only the document frequencies of the bounded
-    vocabulary reach the driver, where the smoothed weights are worked out.
-    """
-    freq = IDF(inputCol="tf", outputCol="unused").fit(counted)
-    n = freq.numDocs
-    smoothed = [math.log((1.0 + n) / (1.0 + d)) + 1.0 for d in freq.docFreq]
-    return PipelineModel(
-        stages=[
-            ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(smoothed)),
-            Normalizer(inputCol="weighted", outputCol="features", p=2.0),
-        ]
-    )
+DIMENSIONS = 512  # of a projected document
+SIGNS = 4  # places that a term adds to
 
 
-def cluster(df: DataFrame, key: str, clusters: int = 3, size: int = VOCABULARY) -> DataFrame:
-    """``(key, cluster)`` by k-means on TF-IDF vectors; at most one cluster per document.
+def projected(df: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``(key, vector)``: unit TF-IDF vectors of all terms, projected to ``dimensions`` numbers.
 
-    The counts, small sparse rows, are kept while the models are fitted and recomputed afterwards.
+    Every term adds its weight to ``SIGNS`` places with signs, all told by its hash. There is no vocabulary,
+    so no term is left out, and the expected dot product of two documents is that of their whole vectors,
+    with a deviation of about one by the root of ``dimensions``. Document frequencies are counted and joined
+    by Spark. Documents without terms get the zero vector.
     """
-    available = df.limit(clusters).count()
+    weighted = tfidf.tfidf(df, key).select(key, F.xxhash64("term").alias("term"), "weight")
+    lists = weighted.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    kind = df.schema[key].dataType.simpleString()
+    signs = SIGNS
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for names, weights in zip(frame["terms"], frame["weights"]):
+                names = np.asarray(names, np.int64).astype(np.uint64)
+                vector = np.zeros(dimensions)
+                for k in range(signs):
+                    x = (names ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+                    x ^= x >> np.uint64(32)
+                    x *= np.uint64(0xD6E8FEB86659FD93)
+                    x ^= x >> np.uint64(32)
+                    sign = np.where(x >> np.uint64(63), 1.0, -1.0)
+                    np.add.at(vector, ((x & np.uint64(0x7FFFFFFF)) % np.uint64(dimensions)).astype(np.int64), sign * np.asarray(weights) / signs**0.5)
+                out.append(vector)
+            yield pd.DataFrame({key: frame[key], "vector": out})
+
+    some = lists.mapInPandas(run, f"{key} {kind}, vector array<double>")
+    nothing = F.array_repeat(F.lit(0.0), dimensions)
+    return df.select(key).join(some, key, "left").select(key, F.coalesce("vector", nothing).alias("vector"))
+
+
+def cluster(df: DataFrame, key: str, clusters: int = 3, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``(key, cluster)`` by k-means on projected TF-IDF vectors; at most one cluster per distinct vector."""
+    made = stored(projected(df, key, dimensions), "projected")
+    available = made.select(F.xxhash64("vector").alias("v")).distinct().limit(clusters).count()
     if available < 2:
         return df.select(key, F.lit(0).alias("cluster"))
-    counted = term_vectors(with_terms(df).select(key, "words"), size).select(key, "tf").persist()
-    try:
-        scale = tfidf_model(counted)
-        model = KMeans(k=min(clusters, available), seed=SEED, maxIter=20).fit(scale.transform(counted))
-    finally:
-        counted.unpersist()
-    return model.transform(scale.transform(counted)).select(key, F.col("prediction").alias("cluster"))
+    made = made.select(key, array_to_vector("vector").alias("features"))
+    model = KMeans(k=min(clusters, available), seed=SEED, maxIter=20).fit(made)
+    return model.transform(made).select(key, F.col("prediction").alias("cluster"))
 
 
 def cluster_members(df: DataFrame, assigned: DataFrame, key: str, size: int = 200) -> DataFrame:
