@@ -14,9 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, StringIndexer
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.ml.feature import StringIndexer
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 HISTORY = "epoch int, split string, metric string, value double"
@@ -36,7 +35,9 @@ def mathematics():
         labels, starts, places, values = block
         rows = np.repeat(np.arange(len(labels)), np.diff(starts))
         hidden = np.tile(bias, (len(labels), 1))
-        np.add.at(hidden, rows, values[:, None] * first[places])
+        some = np.flatnonzero(np.diff(starts))  # rows with features, whose entries lie one after the other
+        if len(some):
+            hidden[some] += np.add.reduceat(values[:, None] * first[places], starts[some])
         active = np.maximum(hidden, 0)
         scores = active @ second + other
         scores = np.exp(scores - scores.max(1, keepdims=True))
@@ -52,29 +53,28 @@ def mathematics():
         wrong = shares.copy()
         wrong[at, labels] -= 1
         back = (wrong @ second.T) * (hidden > 0)
-        by_feature = np.zeros_like(first)
-        np.add.at(by_feature, places, values[:, None] * back[rows])
+        each = values[:, None] * back[rows]
+        by_feature = np.stack([np.bincount(places, column, len(first)) for column in each.T], 1)
         return loss, len(labels), [by_feature, back.sum(0), active.T @ wrong, wrong.sum(0)]
 
     return forward, gradient
 
 
-def _blocks(size: int):
-    """Rows ``(held, batch, label, features)`` to blocks ``(held, batch, block)``."""
+def places_of(words: Column, features: int) -> Column:
+    """Feature of every word, by its hash."""
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
+
+
+def _blocks(size: int, weight: np.ndarray):
+    """Rows ``(held, batch, label_index, places)`` to blocks ``(held, batch, block)``."""
 
     def run(rows: Iterator[Row]):
         waiting: dict[tuple[bool, int], list[Row]] = {}
 
         def made(key, some):
-            sparse = [r["features"] for r in some]
-            starts = np.cumsum([0] + [len(v.indices) for v in sparse])
-            block = (
-                np.array([int(r["label_index"]) for r in some]),
-                starts,
-                np.concatenate([v.indices for v in sparse]).astype(np.int64),
-                np.concatenate([v.values for v in sparse]).astype(np.float64),
-            )
-            return (*key, block)
+            places = np.array([p for r in some for p in r["places"]], np.int64)
+            starts = np.cumsum([0] + [len(r["places"]) for r in some])
+            return (*key, (np.array([int(r["label_index"]) for r in some]), starts, places, weight[places]))
 
         for row in rows:
             key = (row["held"], row["batch"])
@@ -90,49 +90,39 @@ def _blocks(size: int):
 
 @dataclass
 class NetworkModel:
-    """Trained weights, the features they stand on, and the names of the classes."""
+    """Trained weights, the inverse document frequency of every feature, and the names of the classes."""
 
-    features: PipelineModel
+    idf: np.ndarray
     labels: list[str]
     weights: list[np.ndarray]
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         """``(key, probabilities)`` of ``df(key, words)``."""
         forward, _ = mathematics()
-        weights = df.sparkSession.sparkContext.broadcast(self.weights)
-        from pyspark.ml.functions import vector_to_array
-
-        made = self.features.transform(df.select(key, "words"))
-        nonzero = F.filter(
-            F.transform(vector_to_array("features"), lambda v, i: F.struct(i.cast("long").alias("i"), v.alias("v"))), lambda s: s["v"] != 0
-        )
-        rows = made.select(key, nonzero.alias("f"))
+        sent = df.sparkSession.sparkContext.broadcast((self.idf, self.weights))
+        rows = df.select(key, places_of(F.coalesce("words", F.array().cast("array<string>")), len(self.idf)).alias("places"))
         kind = df.schema[key].dataType.simpleString()
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            idf, weights = sent.value
             for frame in frames:
-                found = [list(f) for f in frame["f"]]
-                block = (
-                    np.zeros(len(found), np.int64),
-                    np.cumsum([0] + [len(f) for f in found]),
-                    np.array([s["i"] for f in found for s in f], np.int64),
-                    np.array([s["v"] for f in found for s in f], np.float64),
-                )
-                yield pd.DataFrame({key: frame[key], "probabilities": list(forward(weights.value, block)[3])})
+                sizes = [len(p) for p in frame["places"]]
+                places = np.concatenate([*frame["places"], np.zeros(0, np.int64)]).astype(np.int64)
+                block = (np.zeros(len(sizes), np.int64), np.cumsum([0, *sizes]), places, idf[places])
+                yield pd.DataFrame({key: frame[key], "probabilities": list(forward(weights, block)[3])})
 
         return rows.mapInPandas(run, f"{key} {kind}, probabilities array<double>")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.features.write().overwrite().save(f"{path}/features")
-        rows = [(i, list(w.shape), w.ravel().tolist()) for i, w in enumerate(self.weights)]
-        spark.createDataFrame(rows, "i int, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
-        spark.createDataFrame([(self.labels,)], "labels array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        arrays = [self.idf, *self.weights]
+        rows = [(i, list(w.shape), w.ravel().tolist(), self.labels) for i, w in enumerate(arrays)]
+        spark.createDataFrame(rows, "i int, shape array<int>, values array<double>, labels array<string>").coalesce(1).write.parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> NetworkModel:
-        rows = spark.read.parquet(f"{path}/weights").orderBy("i").collect()
-        labels = list(spark.read.parquet(f"{path}/labels").first()["labels"])
-        return NetworkModel(PipelineModel.load(f"{path}/features"), labels, [np.array(r["values"]).reshape(r["shape"]) for r in rows])
+        rows = spark.read.parquet(path).orderBy("i").collect()
+        idf, *weights = [np.array(r["values"]).reshape(r["shape"]) for r in rows]
+        return NetworkModel(idf, list(rows[0]["labels"]), weights)
 
 
 def train_network(
@@ -152,12 +142,19 @@ def train_network(
     """
     spark = df.sparkSession
     held = F.pmod(F.xxhash64(key), F.lit(1000)) < int(held_share * 1000)
-    marked = df.select(key, "words", "label", held.alias("held"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(batches)).cast("int").alias("batch"))
+    batch = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(batches)).cast("int")
+    marked = df.select(key, places_of(F.col("words"), features).alias("places"), "label", held.alias("held"), batch.alias("batch"))
     names = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc").fit(marked)
-    weighting = Pipeline(stages=[HashingTF(inputCol="words", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features")])
-    made = weighting.fit(marked.where(~held).select("words"))
-    rows = made.transform(names.transform(marked)).select("held", "batch", "label_index", "features")
-    blocks = rows.rdd.mapPartitions(_blocks(BLOCK)).persist(StorageLevel.MEMORY_AND_DISK)
+    taught = marked.where(~F.col("held"))
+    # At most one row a feature.
+    per = taught.select(F.explode(F.array_distinct("places")).alias("place")).groupBy("place").agg(F.count("*").alias("n")).collect()
+    idf = np.full(features, float(taught.count() + 1))
+    idf[[r["place"] for r in per]] /= np.array([r["n"] + 1 for r in per])
+    idf = np.log(idf)
+    rows = names.transform(marked).select("held", "batch", "label_index", "places")
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    blocks = rows.rdd.mapPartitions(_blocks(BLOCK, idf)).persist(StorageLevel.MEMORY_AND_DISK)
     forward, gradient = mathematics()
     rng = np.random.default_rng(seed)
     classes = len(names.labels)
@@ -179,7 +176,10 @@ def train_network(
                 sent = spark.sparkContext.broadcast(weights)
 
                 def step(total, b, batch=batch, sent=sent):
-                    return total if b[0] or b[1] != batch else added(total, gradient(sent.value, b[2]))
+                    if b[0] or b[1] != batch:
+                        return total
+                    loss, n, slopes = gradient(sent.value, b[2])
+                    return added(total, (loss, n, [x.astype(np.float32) for x in slopes]))
 
                 total = blocks.treeAggregate(None, step, added)
                 sent.unpersist()
@@ -206,4 +206,4 @@ def train_network(
                 told += [(epoch, split, "loss", loss / n), (epoch, split, "accuracy", right / n)]
     finally:
         blocks.unpersist()
-    return NetworkModel(made, list(names.labels), weights), spark.createDataFrame(told, HISTORY)
+    return NetworkModel(idf, list(names.labels), weights), spark.createDataFrame(told, HISTORY)
