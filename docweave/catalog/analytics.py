@@ -107,15 +107,18 @@ def keyword_registry(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "label_decode",
     "SELECT vec_id, label, CASE label " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(classify.SERVICE_TYPES))
-    + """ ELSE 'unknown' END AS predicted_type, (CAST(embedding[1] AS DOUBLE)) AS invoice_score FROM embeddings""",
+    + " ELSE 'unknown' END AS predicted_type, "
+    + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}_score" for i, n in enumerate(classify.SERVICE_TYPES))
+    + " FROM embeddings",
 )
 def label_decode(spark: SparkSession, base: str) -> DataFrame:
-    scores = F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double"))
+    """The class of a number, and the score of every class by its name."""
+    scores = classify.score_map(F.transform("embedding", lambda x: x.cast("double")), classify.SERVICE_TYPES)
     return load(spark, base, "embeddings").select(
         "vec_id",
         "label",
         classify.decode_label(F.col("label"), classify.SERVICE_TYPES).alias("predicted_type"),
-        classify.score_map(F.slice(scores, 1, 5), classify.SERVICE_TYPES)["invoice"].alias("invoice_score"),
+        *[scores[n].alias(f"{n}_score") for n in classify.SERVICE_TYPES],
     )
 
 

@@ -326,21 +326,25 @@ def union_entity_methods(spark: SparkSession, base: str) -> DataFrame:
     return ops.union_methods(patterns, specific)
 
 
+SEEN = "2024-02-15 00:00:00"
+
+
 @query(
     "extract_all",
-    f"""{with_tables(texts=ROUTED)}, e AS ({ALL_PATTERNS})
-SELECT t.document_id, t.kind AS document_type, length(t.text)::INTEGER AS text_length,
-  coalesce(n, 0)::INTEGER AS pattern_entities, {first(fields.INVOICE['number'])} AS any_number
-FROM texts t LEFT JOIN (SELECT document_id, count(*) AS n FROM e GROUP BY 1) USING (document_id)""",
+    f"""{with_tables(texts=ROUTED)}, e AS ({ALL_PATTERNS}),
+v AS (SELECT * FROM e WHERE CASE entity_type WHEN 'email' THEN {EMAIL_OK} WHEN 'phone' THEN ({PHONE}) IS NOT NULL
+  WHEN 'date' THEN {DATE} IS NOT NULL ELSE entity_type = 'currency' END),
+r AS (SELECT document_id, 'patterns' AS part, entity_type, text, start_position, end_position, confidence, 'patterns' AS method FROM e
+  UNION ALL SELECT document_id, 'validated', entity_type, text, start_position, end_position, confidence, 'patterns' FROM v
+  UNION ALL SELECT document_id, 'document_specific', entity_type, text, NULL, NULL, NULL, 'document_specific' FROM ({SPECIFIC}) WHERE text IS NOT NULL)
+SELECT t.document_id, t.kind AS document_type, epoch_us(TIMESTAMP '{SEEN}') AS seen_us, length(t.text)::INTEGER AS text_length, part, entity_type, r.text,
+  start_position, end_position, confidence, method FROM texts t LEFT JOIN r USING (document_id)""",
 )
 def extract_all(spark: SparkSession, base: str) -> DataFrame:
+    """Patterns, the valid ones among them, and the fields of the document's type, in one pass over the texts."""
     df = derived.texts(spark, base, ROUTED).withColumnRenamed("kind", "document_type")
-    wide = ops.extract_all(df.withColumn("document_type", F.col("document_type")))
-    numbers = df.select("document_id", fields.invoice_fields(F.col("text"))["number"].alias("any_number"))
-    return (
-        wide.select("document_id", "document_type", "text_length", F.size("patterns").alias("pattern_entities"))
-        .join(numbers, "document_id")
-    )
+    rows = positions(ops.all_rows(ops.extract_all(df, F.lit(SEEN).cast("timestamp"))))
+    return rows.withColumn("seen_us", F.unix_micros("timestamp")).drop("timestamp")
 
 
 NAMED = ["docs", "contracts", "cards", "emails"]

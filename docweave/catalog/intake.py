@@ -34,11 +34,16 @@ def scan_text_docs(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-@query("scan_binary_docs")
+@query(
+    "scan_binary_docs",
+    "SELECT doc_id AS document_id, strlen(text) AS length, sha256(text) AS digest FROM documents WHERE coalesce(text, '') <> ''",
+)
 def scan_binary_docs(spark: SparkSession, base: str) -> DataFrame:
-    """The stored files as bytes: size, and a digest of the content."""
-    return files.read_binary_documents(spark, f"{base}/*.parquet").select(
-        fn.basename(F.col("path")).alias("name"), "length", F.sha2("content", 256).alias("digest")
+    """Every document as a stored file of its own, read as bytes: size, and a digest of the content."""
+    path = scratch(spark, "binary-docs")
+    files.write_documents(derived.source(spark, base, "documents").withColumnRenamed("doc_id", "document_id"), path)
+    return files.read_stored_documents(spark, path).select(
+        F.col("document_id").cast("bigint").alias("document_id"), "length", F.sha2("content", 256).alias("digest")
     )
 
 
@@ -127,14 +132,10 @@ def train_source_csv(spark: SparkSession, base: str) -> DataFrame:
 
 @query("register_dataset", "SELECT channel, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS channel FROM labels) GROUP BY channel")
 def register_dataset(spark: SparkSession, base: str) -> DataFrame:
-    """A named table over an explicit location, read back by its name."""
-    import uuid
-
+    """A named table over an explicit location, read back by its name; another call takes its place."""
     channel = F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train")
-    name = f"dataset_{uuid.uuid4().hex}"
-    table = files.register_dataset(
-        spark, load(spark, base, "labels").withColumn("channel", channel), name, scratch(spark, name), "labels by channel"
-    )
+    rows = load(spark, base, "labels").withColumn("channel", channel)
+    table = files.register_dataset(spark, rows, "labels_by_channel", scratch(spark, "dataset"), "labels by channel")
     return table.groupBy("channel").agg(F.count("*").alias("n"))
 
 

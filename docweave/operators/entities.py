@@ -125,9 +125,8 @@ def document_specific(df: DataFrame) -> DataFrame:
     )
 
 
-def specific_rows(df: DataFrame) -> DataFrame:
-    """``document_specific`` as long rows ``(document_id, entity_type, text)``."""
-    f = document_specific(df)
+def _typed_fields(f: Column) -> Column:
+    """The fields of ``document_fields`` as an array of ``(entity_type, text)``."""
 
     def one(label: str, value: Column) -> Column:
         return F.struct(F.lit(label).alias("entity_type"), value.alias("text"))
@@ -137,36 +136,64 @@ def specific_rows(df: DataFrame) -> DataFrame:
         return F.coalesce(F.transform(values, lambda v: one(label, v)), none)
 
     single = F.array(
-        *[one(f"invoice.{n}", F.col(f"invoice.{n}")) for n in ("number", "date", "due_date", "total")],
-        one("resume.name", F.col("resume.name")),
-        *[
-            one(f"contract.{n}", F.col(f"contract.{n}"))
-            for n in ("party_a", "party_b", "effective_date", "duration")
-        ],
+        *[one(f"invoice.{n}", f["invoice"][n]) for n in ("number", "date", "due_date", "total")],
+        one("resume.name", f["resume"]["name"]),
+        *[one(f"contract.{n}", f["contract"][n]) for n in ("party_a", "party_b", "effective_date", "duration")],
     )
-    rows = F.concat(
+    return F.concat(
         F.filter(single, lambda s: s["text"].isNotNull()),
-        many("resume.education", F.col("resume.education")),
-        many("resume.experience", F.col("resume.experience")),
+        many("resume.education", f["resume"]["education"]),
+        many("resume.experience", f["resume"]["experience"]),
     )
-    return f.select("document_id", F.inline(rows))
 
 
-def extract_all(df: DataFrame) -> DataFrame:
+def specific_rows(df: DataFrame) -> DataFrame:
+    """``document_specific`` as long rows ``(document_id, entity_type, text)``."""
+    fields = document_fields(F.col("document_type"), F.col("text"))
+    return df.select("document_id", fields.alias("f")).select("document_id", F.inline(_typed_fields(F.col("f"))))
+
+
+def extract_all(df: DataFrame, timestamp: Column) -> DataFrame:
     """Everything the registries and the type's own extractor find, one row per document.
 
-    ``df(document_id, document_type, text)``; the result keeps the text length and the arrays.
+    ``df(document_id, document_type, text)``. The result has the ``timestamp`` given, the text length and
+    three arrays: ``patterns``, those of them that are ``validated`` (see ``only_valid``), and the fields of
+    the type's own extractor as ``document_specific``.
     """
     text = F.col("text")
-    return df.select(
-        "document_id",
-        "document_type",
-        F.length(text).alias("text_length"),
-        cols.pattern_entities(text).alias("patterns"),
-        document_fields(F.col("document_type"), text).alias("document_specific"),
+    valid = F.filter("patterns", lambda s: F.coalesce(validate.is_valid(s["entity_type"], s["text"]), F.lit(False)))
+    return (
+        df.select("document_id", "document_type", "text", cols.pattern_entities(text).alias("patterns"))
+        .withColumn("validated", valid)
+        .select(
+            "document_id",
+            "document_type",
+            timestamp.alias("timestamp"),
+            F.length(text).alias("text_length"),
+            "patterns",
+            "validated",
+            document_fields(F.col("document_type"), text).alias("document_specific"),
+        )
     )
 
 
+def all_rows(extracted: DataFrame) -> DataFrame:
+    """``extract_all`` as long rows, one per entity and part; a document without any keeps one row."""
+    kind = "array<struct<part:string,entity_type:string,text:string,start:int,end:int,confidence:double,method:string>>"
+
+    def spans(part: str, column: str) -> Column:
+        names = ("entity_type", "text", "start", "end", "confidence", "method")
+        return F.transform(column, lambda s: F.struct(F.lit(part).alias("part"), *[s[n].alias(n) for n in names])).cast(kind)
+
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("end", "int"), ("confidence", "double"))]
+    specific = F.transform(
+        _typed_fields(F.col("document_specific")),
+        lambda s: F.struct(F.lit("document_specific").alias("part"), s["entity_type"], s["text"], *nothing, F.lit("document_specific").alias("method")),
+    ).cast(kind)
+    rows = F.concat(spans("patterns", "patterns"), spans("validated", "validated"), specific)
+    return extracted.select("document_id", "document_type", "timestamp", "text_length", F.inline_outer(rows))
+
+
 def union_methods(*tables: DataFrame) -> DataFrame:
     """Entity tables of several methods in one; columns a method lacks become NULL."""
     out = tables[0]

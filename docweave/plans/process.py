@@ -147,18 +147,20 @@ REGISTRY: list[Step] = [
 assert [name for name, _ in REGISTRY] == STEPS
 
 
-def run(documents: DataFrame, steps: Sequence[Step] = REGISTRY) -> DataFrame:
-    """All steps, then ``processing_log``, ``errors`` and ``success``."""
-    df = documents.withColumn("_open", F.lit(True))
-    for _, step in steps:
-        df = df.transform(step)
+def start(documents: DataFrame) -> DataFrame:
+    """Documents before the first step: the gate is open."""
+    return documents.withColumn("_open", F.lit(True))
+
+
+def finish(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Documents after the steps ``names``, with ``processing_log``, ``errors`` and ``success``."""
     logged = [
         F.struct(
             F.lit(name).alias("step"),
             F.col(f"{name}.success").alias("success"),
             F.col(f"{name}.error").alias("error"),
         )
-        for name, _ in steps
+        for name in names
     ]
     ran = F.filter(F.array(*logged), lambda s: s["success"].isNotNull())
     return (
@@ -169,6 +171,14 @@ def run(documents: DataFrame, steps: Sequence[Step] = REGISTRY) -> DataFrame:
     )
 
 
+def run(documents: DataFrame, steps: Sequence[Step] = REGISTRY) -> DataFrame:
+    """All steps in one lazy plan; ``plans.store`` keeps what they give."""
+    df = start(documents)
+    for _, step in steps:
+        df = df.transform(step)
+    return finish(df, [name for name, _ in steps])
+
+
 def summarize(processed: DataFrame) -> DataFrame:
     """One line per document: outcome, steps, length, type, confidence, entities, sentiment."""
     return processed.select(

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from docweave.functions.files import mime_type
 
+# Spark's text writer ends every row with a mark.
+END_OF_FILE = "\n"
+
 BATCH_REQUEST = T.StructType(
     [
         T.StructField("request_id", T.StringType()),
@@ -40,6 +43,27 @@ def read_binary_documents(spark: SparkSession, path: str, glob: str = "*") -> Da
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def write_documents(df: DataFrame, path: str, folders: int = 256) -> None:
+    """Every text of ``df(document_id, text)`` to a file of its own: ``bucket=…/document_id=…/…``.
+
+    The files hold the texts' bytes and one line end. Null and empty texts get no file; texts of one id
+    lie in one folder. Buckets keep listings short; a task writes the documents of its buckets one by one.
+    """
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(folders)).alias("bucket")
+    some = df.where("text <> ''").select(bucket, "document_id", "text")
+    spread = some.repartition("bucket").sortWithinPartitions("bucket", "document_id")
+    spread.write.partitionBy("bucket", "document_id").option("lineSep", END_OF_FILE).text(path)
+
+
+def read_stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(document_id, length, content)`` of files that ``write_documents`` has made; the mark at the end goes."""
+    end = len(END_OF_FILE.encode())
+    name = F.regexp_extract("path", r"/document_id=([^/]*)/[^/]*\z", 1)
+    length = F.col("length") - end
+    content = F.substring(F.col("content"), F.lit(1), length.cast("int"))
+    return read_binary_documents(spark, f"{path}/*/*/*").select(name.alias("document_id"), length.alias("length"), content.alias("content"))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Decoded images: ``(path, height, width, nChannels, data)``."""
     return spark.read.format("image").option("dropInvalid", True).load(path).select(
@@ -107,7 +131,11 @@ def read_csv_channels(
 
 
 def register_dataset(spark: SparkSession, df: DataFrame, name: str, path: str, comment: str = "") -> DataFrame:
-    """Keep a DataFrame under a name, with a description, at an explicit location."""
+    """Keep a DataFrame under a name, with a description, at an explicit location.
+
+    A table of that name gives way; its files stay where they are.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     df.write.mode("overwrite").option("path", path).format("parquet").saveAsTable(name)
     if comment:
         escaped = comment.replace("'", "''")

@@ -39,9 +39,10 @@ def write_table(
         writer.save(target)
 
 
-def document_rows(df: DataFrame, created_at: Column) -> DataFrame:
-    """``documents``: ``df(path, file_size, document_type, confidence_score, extracted_text)``."""
+def document_rows(df: DataFrame, created_at: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """``documents``: ``df(path, file_size, document_type, confidence_score, extracted_text)``, and ``keep``."""
     return df.select(
+        *keep,
         row_id(F.col("path")).alias("id"),
         basename(F.col("path")).alias("filename"),
         F.lower(extension(F.col("path"))).alias("file_type"),
@@ -94,9 +95,10 @@ def prediction_rows(df: DataFrame, model: str, kind: str, payload: Sequence[str]
     )
 
 
-def log_rows(logs: DataFrame) -> DataFrame:
-    """``processing_logs``: one row per step."""
+def log_rows(logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``processing_logs``: one row per step, and the columns ``keep``."""
     return logs.select(
+        *keep,
         row_id(F.col("document_id"), F.col("step"), F.col("timestamp")).alias("id"),
         "document_id",
         F.col("step").alias("processing_step"),

@@ -14,15 +14,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders below ``path`` whose writers have finished; none if it does not exist."""
+def folders(spark: SparkSession, path: str, whole_only: bool = True) -> list[str]:
+    """Names of the folders below ``path``, those only whose writers have finished; none if it does not exist."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(place):
         return []
     found = [f.getPath() for f in system.listStatus(place) if f.isDirectory()]
     done = lambda p: system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    return sorted(p.getName() for p in found if done(p))
+    return sorted(p.getName() for p in found if not whole_only or done(p))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Readers, the image step, models, and every registered query on the smallest tables."""
+"""Readers, stored runs, models, and every registered query on the smallest tables."""
 
 import struct
 import zlib
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tools.check import TABLES, rows_of
-from docweave.operators import images, ml
+from docweave.operators import ml
+from docweave.plans import process
+from docweave.plans.store import STAGES, TABLES as RUN_TABLES, RunStore
 from docweave.session import scratch
 from docweave.sources import files, sinks
+from docweave.sources.stored import folders
 from tests.conftest import DATA
 
 
@@ -38,20 +41,42 @@ def test_read_text_binary_and_images(spark, tmp_path):
     assert listed == {"a.txt": (12, "text/plain"), "b.png": (len(png(pixels)), "image/png")}
     read = files.read_images(spark, str(tmp_path / "b.png"))
     assert read.select("height", "width").first() == (6, 5)
-    done = images.binarize(read.withColumn("document_id", F.lit(1))).first()
-    out = np.frombuffer(bytes(done.pixels), np.uint8).reshape(6, 5)
-    assert (out[:2] == 0).all() and (out[3:] == 255).all()
 
 
-def test_threshold_equals_search():
-    rng = np.random.default_rng(1)
-    image = np.concatenate([rng.integers(20, 60, 300), rng.integers(150, 220, 200)]).astype(np.uint8).reshape(20, 25)
-
-    def between(t):
-        low, high = image[image <= t].astype(float), image[image > t].astype(float)
-        return low.size * high.size * (low.mean() - high.mean()) ** 2 if low.size and high.size else 0.0
-
-    assert np.isclose(between(images.otsu(image)), max(between(t) for t in range(256)))
+def test_documents_as_files(spark, tmp_path):
+    texts = {1: "a\nb\n", 2: "é\U0001f600\r\n", 3: "x" * 100_000, 4: "\n", 5: None, 6: ""}
+    df = spark.createDataFrame(list(texts.items()), "document_id long, text string").repartition(3)
+    files.write_documents(df, str(tmp_path / "d"), folders=2)
+    got = {int(r.document_id): (r.length, bytes(r.content)) for r in files.read_stored_documents(spark, str(tmp_path / "d")).collect()}
+    assert got == {i: (len(t.encode()), t.encode()) for i, t in texts.items() if t}
+
+
+def test_runs_are_whole_or_not_there(spark, tmp_path):
+    rows = [(i, f"in/{i}{'.exe' if i == 3 else '.txt'}", 10, f"Invoice #INV-{i} total $5.00 mail a{i}@b.com call 555-123-4567") for i in range(6)]
+    df = spark.createDataFrame(rows, "document_id long, path string, size long, text string")
+    store = RunStore(spark, str(tmp_path / "s"))
+    with pytest.raises(FileNotFoundError):
+        store.read("documents")
+    lost = F.struct(F.raise_error(F.lit("lost")).cast("boolean").alias("success"), F.lit("").alias("error"))
+    broken = [STAGES[0], STAGES[1], ("storing", [*process.REGISTRY[8:10], ("cleanup", lambda d: d.withColumn("cleanup", lost))])]
+    with pytest.raises(Exception, match="lost"):
+        store.run(df, "one", broken)
+    assert store.committed() == []
+    kept = [f for f in folders(spark, f"{store.base}/runs/one") if not f.endswith("-rows")]
+    store.run(df.where("false"), "one")  # goes on with the stages that are there, not with other files
+    assert kept == ["0-intake", "1-analysis"] and store.committed() == ["one"] and not folders(spark, f"{store.base}/runs")
+    tables = lambda: {t: sorted(map(repr, store.read(t).collect())) for t in RUN_TABLES}
+    before = tables()
+    assert [len(before[t]) for t in ("documents", "summary")] == [5, 6] and len(before["entities"]) >= 15
+    logs = store.read("logs").where("document_id = 0")
+    assert logs.count() == 11 and logs.where("processing_time > 0 AND created_at IS NOT NULL").count() == 11
+    store.run(df, "one")
+    assert tables() == before
+    store.run(df.where("document_id = 1").withColumn("text", F.lit("Dear reader, nothing to be found here")), "two")
+    assert store.read("entities").where("document_id = 1").count() == 0 and store.read("documents").count() == 5
+    assert {r.run for r in store.read("summary").where("document_id = 1").collect()} == {"two"}
+    spark.range(1).write.parquet(f"{store.base}/tables/logs/run=half")
+    assert store.cleanup() == [f"{store.base}/tables/logs/run=half"] and store.read("logs").where("run = 'half'").count() == 0
 
 
 def test_requests(spark):
