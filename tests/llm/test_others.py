@@ -67,6 +67,37 @@ def test_trees_learn_lexical_features(spark):
     assert np.mean([(got[i] == "block") == bad for i, _, bad in made[300:]]) >= 0.95
 
 
+def test_trees_on_held_out_urls(spark):
+    """Decided URLs of a fold that taught nothing; the suffix tells nothing here, the digits do."""
+    rng = random.Random(9)
+    made = []
+    for i in range(300):
+        bad = rng.random() < 0.5
+        tail = "".join(rng.choice("0123456789") for _ in range(rng.randint(15, 30))) if bad else rng.choice(["about", "news/today", "team"])
+        made.append((i, f"http://h{rng.randint(0, 9)}.net/{'es' if bad else 'de'}/{tail}{i}"))
+    pages = spark.createDataFrame(made, "page_id long, url string")
+    store.ready(spark)
+    got = urls.judge(pages, (("block", "net/es/"), ("allow", "net/de/")), held=0).where("p_block IS NOT NULL").collect()
+    assert 30 <= len(got) <= 100 and all(r.rule for r in got)
+    assert np.mean([(r.p_block >= 0.5) == (r.verdict == "block") for r in got]) >= 0.95
+
+
+def test_own_label_never_teaches_its_suffix(spark):
+    """Statistics of a decided URL don't change with its own verdict."""
+    made = [(i, f"http://h{i}.{'net' if i % 2 else 'com'}/{'es' if i % 3 else 'de'}/x{i}") for i in range(40)]
+    pages = spark.createDataFrame(made, "page_id long, url string")
+    store.ready(spark)
+    rows = urls.features(pages, (("block", "net/es/"), ("allow", "net/de/"))).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(11)), F.lit(urls.FOLDS)).cast("int"))
+    blocked = F.coalesce(F.col("ruled.verdict") == "block", F.lit(False))
+    told = {r.page_id: r for r in urls.with_statistics(rows, blocked, None)[0].select("page_id", "suffix", "fold", "ruled", "suffix_share", "suffix_blocked").collect()}
+    bad = [r for r in told.values() if r.ruled and r.ruled.verdict == "block"]
+    decided = [r for r in told.values() if r.ruled]
+    prior = (len(bad) + 1) / (len(decided) + 2)
+    for r in told.values():
+        own = lambda some: [x for x in some if x.suffix == r.suffix and not (r.ruled and x.fold == r.fold)]  # noqa: B023, E731
+        assert math.isclose(r.suffix_blocked, (len(own(bad)) + 5 * prior) / (len(own(decided)) + 5)) and r.suffix_share == 0.5
+
+
 # 5 exact top-k -------------------------------------------------------------------------------------
 
 
