@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from docweave.llm.store import alone
 
 MARK = "▁"  # stands for the blank in pieces
 HIDDEN = "\ud800"  # stands for that sign itself; no text holds it
+BETWEEN = "\ud801"  # nor this one
 WORDS = 300_000  # words whose lattices a worker keeps
 ALPHA = 1.0
 
@@ -61,7 +63,7 @@ class Lattices:
         n = model.get_piece_size()
         self.size, self.bytes_of, byte_at = n, [b""] * n, [0] * 256
         self.find = ahocorasick.Automaton()
-        single, weight = set(), np.zeros(n)
+        single, weight, length = set(), np.zeros(n), np.ones(n, np.int64)
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -73,12 +75,13 @@ class Lattices:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
                 if not re.fullmatch(f"{MARK}*[^{MARK}]*", piece):
                     raise ValueError(f"piece {i} reaches over the start of a blank run")
-                self.find.add_word(piece, (i, len(piece)))
+                self.find.add_word(piece, i)
+                length[i] = len(piece)
                 single |= {piece} if len(piece) == 1 else set()
         self.find.make_automaton()
         if not all(byte_at) or any(set(w) - single for w in self.find.keys()):
             raise ValueError("a byte or a character of a piece has no piece of its own")
-        self.weight, self.byte_at = weight, byte_at
+        self.weight, self.length, self.byte_at = weight, length, byte_at
         known = "".join(map(re.escape, sorted(single - {MARK})))
         self.split = re.compile(f"{MARK}+[{known}]*|[{known}]+|[^{MARK}{known}]" if known else f"{MARK}+|[^{MARK}]").findall
         sizes = np.array([len(b) for b in self.bytes_of])
@@ -92,25 +95,22 @@ class Lattices:
         self.first_edge = _Grow(np.int64)  # of each node: its first incoming edge
         self.piece, self.back, self.upto = _Grow(np.int32), _Grow(np.int32), _Grow(np.float64)  # of each edge
 
-    def _learn(self, new: list[str]) -> None:
-        """Forward filtering of new words: shares of the paths to each node by its incoming edges."""
-        nodes = np.zeros(len(new), np.int64)
-        word, end, size, piece = [], [], [], []
-        for w, text in enumerate(new):
-            if len(text) == 1 and text not in self.find:
-                raw = (MARK if text == HIDDEN else text).encode("utf-8")
-                nodes[w] = len(raw) + 1
-                for k, b in enumerate(raw, 1):
-                    word.append(w), end.append(k), size.append(1), piece.append(self.byte_at[b])
-            else:
-                nodes[w] = len(text) + 1
-                for at, (i, length) in self.find.iter(text):
-                    word.append(w), end.append(at + 1), size.append(length), piece.append(i)
-        word, end, size, piece = (np.array(x, np.int64) for x in (word, end, size, piece))
+    def _learn(self, new: list[str], odd: list[str]) -> None:
+        """Forward filtering of new words: shares of the paths to each node by its incoming edges.
+
+        ``odd``: characters without a piece, which follow the other words. A word has a node before each
+        character and one at its end, so places in all words, joined with a sign between, are nodes.
+        """
+        raw = [(MARK if c == HIDDEN else c).encode("utf-8") for c in odd]
+        nodes = np.array([*map(len, new), *map(len, raw)], np.int64) + 1
         start = np.cumsum(nodes) - nodes
-        node = start[word] + end
-        order = np.lexsort((piece, node))
-        node, end, size, piece = node[order], end[order], size[order], piece[order]
+        met = np.fromiter(chain.from_iterable(self.find.iter(BETWEEN.join(new))), np.int64).reshape(-1, 2)
+        owner = np.repeat(start[len(new) :], nodes[len(new) :] - 1)
+        node = np.concatenate([met[:, 0] + 1, owner + 1 + W.ranks(nodes[len(new) :] - 1)])
+        piece = np.concatenate([met[:, 1], np.array([self.byte_at[b] for r in raw for b in r], np.int64)])
+        key = np.sort(node * self.size + piece)
+        node, piece = key // self.size, key % self.size
+        end, size = node - np.repeat(start, nodes)[node], self.length[piece]
         counts = np.bincount(node, minlength=int(nodes.sum()))
         first = np.cumsum(counts) - counts
         alpha, share = np.zeros(int(nodes.sum())), np.zeros(len(node))
@@ -148,12 +148,13 @@ class Lattices:
         known = self.known
         fresh = set().union(*split).difference(known)
         if fresh:
-            new = sorted(fresh)
-            for w in new:
+            odd = sorted(w for w in fresh if len(w) == 1 and w not in self.find)
+            new = sorted(fresh.difference(odd))
+            for w in chain(new, odd):
                 known[w] = len(known)
-            self._learn(new)
+            self._learn(new, odd)
         counts = np.array([len(s) for s in split], np.int64)
-        flat = np.fromiter((known[w] for s in split for w in s), np.int64, int(counts.sum()))
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         seed = np.repeat(W.mix(keys.astype(np.uint64)), counts) + W.ranks(counts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         at = self.last.data[flat]
         active, step = np.arange(len(flat)), 0
