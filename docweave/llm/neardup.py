@@ -2,21 +2,26 @@
 
 1. Every text becomes its set of word shingles (hashed to 64 bits) and a MinHash signature. Equal sets
    are one node from here on.
-2. The forest has several trees, each with an order of the signature of its own. Texts whose signatures
-   agree on a tree's first ``DEPTH`` places form a region. A region that is small enough is one block; in
-   a larger one the depth is raised with the region's size, so that only the longest common prefixes stay
-   together, and what still is too large is cut by a hash of the text. All of a block are compared by
-   signature; a star joins those that may be similar. Regions of which not all ended up in one cluster
-   are looked through again, the smaller clusters against everything, in cells of bounded size.
+2. The forest has several trees, each with an order of the signature's places of its own. For every tree
+   the signatures are sorted in that order (range partitions over all trees), so that those with the
+   longest common prefixes are neighbours. Neighbours that share ``DEPTH`` places form a region. One that
+   is small enough is a block; in a larger one the depth is raised until its parts fit, neighbours staying
+   together; a text alone at that depth goes one place up. All of a block are compared by signature; a
+   star joins those that may be similar. Regions too large for a block, or at the border of a partition,
+   of which not all ended up in one cluster are looked through again, the smaller clusters against
+   everything, in cells of bounded size.
 3. A cluster of possibly similar texts is confirmed on full sets, again in cells of bounded size: first
    cuts of it, then what is outside the largest group against the whole cluster.
 
 A pair above the threshold is lost only if no tree puts both into one region (for a similarity of 0.85
 once in 10^7 pairs, for 0.8 once in 10^5) or if its signature is off by four standard deviations. No
-pair is left out for want of room, and the pairs of a group are never written out.
+pair is left out for want of room, and the pairs of a group are never written out. Ties in a sorted order
+go by the node's number; where partitions and blocks begin has no influence on which pairs are compared
+in the end. Very long texts are worked on in runs of shingles, a row of the forest has a fixed size.
 
 Null and empty texts have empty sets: they are linked with nothing, not even each other. Rows that share
-a doc_id count as one document. A null doc_id is no document: its row gets no component and isn't kept.
+a doc_id count as one document. An empty table gives an empty result; other columns of the input are left
+out, whatever their names. A null doc_id is no document: its row gets no component and isn't kept.
 """
 
 from __future__ import annotations
@@ -38,7 +43,8 @@ BLOCK = 256  # texts compared with each other at a time
 MEMBERS = 1024  # texts that smaller clusters of a region are compared with at a time
 SHINGLES = 1 << 20  # and as many shingles at most, on the average, in a cell
 _FACTORS = W.stream(23, PLACES) | np.uint64(1)
-_TREE = W.stream(31, TREES)
+LONG = 15  # places of a tree's order that are sorted by; a byte for the tree comes before them
+WALKED = 1 << 16  # sorted rows that a task holds at a time
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -78,7 +84,7 @@ def _signed(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), regions (one for each tree), signature (a byte a place)."""
+    """doc_id, n_shingles, node (null for an empty set), signature (a byte a place)."""
 
     def run(batches):
         for batch in batches:
@@ -86,29 +92,22 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
                 sets = _distinct(texts, size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 signed = _signed([sets[i] for i in full])
-                regions = np.zeros((len(full), TREES), np.uint64)
-                for t in range(TREES):
-                    for k in range(DEPTH):
-                        regions[:, t] = W.mix(regions[:, t] ^ signed[:, t * DEPTH + k] ^ _TREE[t])
                 node = [None] * len(sets)
-                region: list = [None] * len(sets)
                 sign: list = [None] * len(sets)
                 for row, i in enumerate(full):
                     node[i] = _node(sets[i])
-                    region[i] = regions[row].view(np.int64)
                     sign[i] = signed[row].astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(texts.first, texts.n),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(node, pa.int64()),
-                        pa.array(region, pa.list_(pa.int64())),
                         pa.array(sign, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "regions", "signature"],
+                    ["doc_id", "n_shingles", "node", "signature"],
                 )
 
-    schema = "doc_id long, n_shingles long, node long, regions array<long>, signature binary"
+    schema = "doc_id long, n_shingles long, node long, signature binary"
     rows = alone(documents, "doc_id", "text")
     return rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -179,23 +178,105 @@ def _compare(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
+def _address(keys: np.ndarray, places: int) -> np.ndarray:
+    """64-bit address of the trie's node that each key (tree and places) passes at a depth."""
+    halves = np.where(np.arange(LONG + 1) <= places, keys, 0).astype(np.uint8).view(np.uint64)
+    return W.mix(halves[:, 0] ^ W.mix(halves[:, 1] + np.uint64(places + 1)))
+
+
+def _cut(common: np.ndarray, first: int, end: int, places: int, block: int) -> list[int]:
+    """Where parts of a sorted run begin that agree on more than ``places`` places, or still fit a block.
+
+    ``common[i]``: places that row i shares with the row before.
+    """
+    if end - first <= block:
+        return [first]
+    if places >= LONG:
+        return list(range(first, end, block))
+    starts = [first, *(first + 1 + np.flatnonzero(common[first + 1 : end] <= places)).tolist()]
+    out = []
+    for a, b in zip(starts, [*starts[1:], end]):
+        parts = _cut(common, a, b, places + 1, block)
+        # Neighbours fill up a block together.
+        if len(parts) > 1 or not out or b - out[-1] > block:
+            out += parts
+    return out
+
+
+def _regions(keys: np.ndarray, node: np.ndarray, left: bool, right: bool, block: int) -> Iterator[tuple]:
+    """Regions of sorted keys, as arrays: region, block, node, open.
+
+    ``left``, ``right``: whether the first and last region may go on outside. Open regions are those,
+    and all that are too large for a block.
+    """
+    differ = keys[1:] != keys[:-1]
+    same = np.where(differ.any(1), differ.argmax(1), LONG + 1) - 1
+    common = np.concatenate([[-1], same])
+
+    def runs(places: int):
+        starts = np.flatnonzero(common < places)
+        size = np.diff(np.append(starts, len(keys)))
+        border = np.zeros(len(starts), bool)
+        border[0] |= left
+        border[-1] |= right
+        return starts, size, border
+
+    starts, size, border = runs(DEPTH)
+    large = size > block
+    taken = np.repeat(((size > 1) & ~large) | (border & ~large), size)
+    region = _address(keys, DEPTH)
+    yield region[taken], region[taken], node[taken], np.repeat(border, size)[taken]
+    for a, n in zip(starts[large].tolist(), size[large].tolist()):
+        parts = np.array(_cut(common, a, a + n, DEPTH, block))
+        name = W.mix(_address(keys[parts], LONG) ^ node[parts].view(np.uint64))
+        yield region[a : a + n], np.repeat(name, np.diff(np.append(parts, a + n))), node[a : a + n], np.ones(n, bool)
+    single = np.repeat(size == 1, size)
+    starts, size, border = runs(DEPTH - 1)
+    up = np.repeat((((size > 1) & np.logical_or.reduceat(single, starts)) | border) & (size <= block), size)
+    above = _address(keys[up], DEPTH - 1)
+    yield above, above, node[up], np.zeros(int(up.sum()), bool)
+
+
+def _walk(batches: Iterator[pa.RecordBatch], most: int, walked: int) -> Iterator[pa.RecordBatch]:
+    """Regions of a partition of sorted rows (key, node); memory holds ``walked`` rows and a batch."""
+
+    def told(keys, node, left, right):
+        got = list(_regions(keys, node, left, right, most))
+        region, block, node, open_ = (np.concatenate(x) for x in zip(*got))
+        columns = [pa.array(region.view(np.int64)), pa.array(block.view(np.int64)), pa.array(node), pa.array(open_)]
+        return pa.RecordBatch.from_arrays(columns, ["region", "block", "node", "open"])
+
+    keys, node, left = np.zeros((0, LONG + 1), np.uint8), np.zeros(0, np.int64), True
+    for batch in batches:
+        keys = np.concatenate([keys, _bytes(batch.column("key"), LONG + 1)])
+        node = np.concatenate([node, batch.column("node").to_numpy()])
+        if len(node) >= walked:
+            new = np.flatnonzero((keys[1:, :DEPTH] != keys[:-1, :DEPTH]).any(1))  # tree and DEPTH - 1 places
+            end = int(new[-1]) + 1 if len(new) else len(node)
+            yield told(keys[:end], node[:end], left, not len(new))
+            keys, node, left = keys[end:], node[end:], not len(new)
+    if len(node):
+        yield told(keys, node, left, True)
+
+
+def forest(signed: DataFrame) -> DataFrame:
+    """region, block, node, open for the neighbours in each tree's order; ``signed``: node, signature."""
+    turned = F.expr(f"substring(concat(signature, signature), {DEPTH} * tree + 1, {LONG})")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    rows = signed.select("node", "signature", trees)
+    rows = rows.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), turned).alias("key"), "node")
+    # The node is part of the order, so that many equal keys are spread as well.
+    rows = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    most, walked = BLOCK, WALKED
+    return rows.mapInArrow(lambda b: _walk(b, most, walked), "region long, block long, node long, open boolean")
+
+
 def clusters(signed: DataFrame, percent: int) -> DataFrame:
-    """node, cluster of all nodes that may be similar to another; ``signed``: node, regions, signature."""
+    """node, cluster of all nodes that may be similar to another; ``signed``: node, signature."""
     least = cut(percent)
-    rows = signed.select("node", F.posexplode("regions").alias("tree", "region"))
-    shared = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(shared, "region").join(signed.select("node", "signature"), "node")
-    rows = keep(rows, "regions")
-    small = rows.where(F.col("n") <= BLOCK).select(F.col("region").alias("block"), "node", "signature")
-    hot = rows.where(F.col("n") > BLOCK)
-    # A region n times too large: so many more places that texts of 0.8 similarity thin out n times.
-    more = F.least(F.lit(PLACES - DEPTH), F.ceil(F.log(F.col("n") / BLOCK) / 0.2231)).cast("int")
-    hot = hot.withColumn("more", more).withColumn(
-        "deep", F.expr(f"xxhash64(region, substring(concat(signature, signature), {DEPTH} * (tree + 1) + 1, more))")
-    )
-    sizes = hot.groupBy("deep").agg(F.count("*").alias("n_deep"))
-    cuts = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n_deep") / BLOCK))
-    deep = hot.join(sizes, "deep").select(F.xxhash64("deep", cuts).alias("block"), "node", "signature")
+    rows = keep(forest(signed).join(signed.select("node", "signature"), "node"), "regions")
+    blocks = rows.select("block", "node", "signature")
+    hot = rows.where("open")
 
     def stars(table):
         if len(table) < 2:
@@ -205,15 +286,14 @@ def clusters(signed: DataFrame, percent: int) -> DataFrame:
         moved = np.flatnonzero(to != np.arange(len(to)))
         return np.stack([node[moved], node[to[moved]]])
 
-    blocks = small.union(deep)
     blocks = blocks.repartition("block").sortWithinPartitions("block")
     found = keep(blocks.mapInArrow(lambda b: _edges(b, "block", stars), "a long, b long").distinct(), "stars")
     if found.isEmpty():
         drop(rows, found)
         return signed.sparkSession.createDataFrame([], "node long, cluster long")
     label = graph.components(found)
-    open_ = hot.join(label, "node", "left").select("region", "node", "signature", "n", F.coalesce("component", "node").alias("group"))
-    crossing = _crossing(open_, "region", F.col("n") / MEMBERS)
+    open_ = hot.join(label, "node", "left").select("region", "node", "signature", F.coalesce("component", "node").alias("group"))
+    crossing = _crossing(open_, "region", F.col("all") / MEMBERS)
     if crossing is not None:
 
         def across(table):
@@ -373,7 +453,7 @@ def groups(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     signed = keep(signatures(documents, size), "signatures")
     full = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = full.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regions").alias("regions"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     nodes = keep(nodes, "nodes")
     cluster = clusters(nodes, percent)

@@ -321,6 +321,34 @@ def test_near_duplicates(docs, crowded, size, percent):
     assert rows(neardup.groups(crowded, size, percent)) == sorted(map(tuple, got), key=repr)
 
 
+@pytest.mark.parametrize("signs, n, walked", [(2, 3000, 500), (4, 6000, 1 << 16), (256, 2000, 300), (1, 1500, 400)])
+def test_forest_regions(signs, n, walked):
+    """Every run of rows that share DEPTH places is one block, or wholly open; blocks are never too large."""
+    import pyarrow as pa
+
+    made = np.random.default_rng(signs)
+    keys = made.integers(0, signs, (n, neardup.LONG + 1)).astype(np.uint8)
+    keys[:, 0] = made.integers(0, 3, n)
+    node = np.arange(n) * 7
+    order = np.lexsort((node, *keys.T[::-1]))
+    keys, node = keys[order], node[order]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys[i : i + 97]], pa.binary()), pa.array(node[i : i + 97])], ["key", "node"])
+        for i in range(0, n, 97)
+    ]
+    most, blocks, open_, runs = 64, {}, {}, {}
+    for batch in neardup._walk(iter(batches), most, walked):
+        for r in batch.to_pylist():
+            blocks.setdefault(r["block"], set()).add(r["node"])
+            if r["open"]:
+                open_.setdefault(r["region"], set()).add(r["node"])
+    for key, one in zip(keys, node.tolist()):
+        runs.setdefault(bytes(key[: neardup.DEPTH + 1]), set()).add(one)
+    whole = {frozenset(x) for x in [*blocks.values(), *open_.values()]}
+    assert all(frozenset(run) in whole for run in runs.values() if len(run) > 1)
+    assert max(map(len, blocks.values())) <= 2 * most  # a border's two sides share an address
+
+
 def test_near_duplicates_without_a_similar_pair(spark):
     texts = [f"word{i} has{i} nothing{i} in{i} common{i} with{i} others{i}" for i in range(50)]
     found = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
