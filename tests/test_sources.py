@@ -14,7 +14,7 @@ from docweave.operators import ml
 from docweave.plans import process
 from docweave.plans.store import STAGES, TABLES as RUN_TABLES, RunStore
 from docweave.session import scratch
-from docweave.sources import files, sinks
+from docweave.sources import derived, files, sinks
 from docweave.sources.stored import folders
 from tests.conftest import DATA
 
@@ -149,3 +149,17 @@ def test_model_query_covers_the_corpus(spark, name):
     assert {r.document_id for r in got.collect()} == ids
     if name == "train_classifier":
         assert got.where("predicted_class NOT IN ('good', 'poor') OR confidence < 0.5 OR confidence > 1").count() == 0
+
+
+def test_inputs_are_dealt_out_whatever_their_files_are(spark, tmp_path):
+    path = str(tmp_path / "orders.parquet")
+    spark.range(4000).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(path)
+    wanted = spark.conf.get("spark.docweave.inputPartitions")
+    spark.conf.unset("spark.docweave.inputPartitions")
+    try:
+        rows = derived.source(spark, str(tmp_path), "orders")
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.docweave.inputPartitions", wanted)
+    assert sum(sizes) == 4000
+    assert len(sizes) >= 4 and max(sizes) < 1000
