@@ -173,3 +173,18 @@ def test_names_of_a_dictionary(spark):
     assert sorted(map(tuple, got.select("document_id", "text", "label", "start", "end").collect())) == sorted(want)
     none = ops.gazetteer_entities(spark.createDataFrame(rows, "document_id long, text string"), spark.createDataFrame([], "name string, label string"))
     assert none.count() == 0
+
+
+def test_offsets_of_few_and_of_many_matches(spark):
+    """Both ways of placing matches, at the number where one gives way to the other."""
+    for n in (1, 20, 62, 63, 64, 65, 300):
+        text = "é\U0001f600 " + " x ".join(f"${i},00.5" for i in range(n)) + " call (555) 123-4567 or +1 555.123.4567"
+        row = spark.createDataFrame([(text,)], "text string").select(
+            cols.pattern_entities(F.col("text"), ["currency", "phone"]).alias("e"),
+            cols.find_spans(F.col("text"), r"\$(\d+),", 1).alias("v"),
+        ).first()
+        expected = [(k, m.group(), m.start(), m.end()) for k in ("currency", "phone") for m in re.finditer(cols.PATTERNS[k], text)]
+        assert [(e.entity_type, e.text, e.start, e.end) for e in row.e] == expected
+        assert [(v.text, v.start, v.end, v.value) for v in row.v] == [
+            (m.group(), m.start(), m.end(), m.group(1)) for m in re.finditer(r"\$(\d+),", text)
+        ]
