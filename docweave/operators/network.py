@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 HISTORY = "epoch int, split string, metric string, value double"
 BLOCK = 2048  # rows of a block
+ENTRIES = 1 << 18  # words after which a block is closed, whatever its rows
 # Adam's usual decay rates, and what keeps it from dividing by zero.
 DECAY, DECAY_SQUARE, TINY = 0.9, 0.999, 1e-8
 
@@ -28,16 +29,22 @@ def mathematics():
     """``(forward, gradient)`` of one block; made here, so that workers need not import this package.
 
     A block is ``(labels, starts, places, values)``: row i has the features ``starts[i]`` to ``starts[i + 1]``.
+    Entries are gone through in slices, as each of them meets a row of weights; a long text takes several.
     """
+    slice_ = 1 << 16
+
+    def slices(n):
+        return [slice(a, a + slice_) for a in range(0, n, slice_)]
 
     def forward(weights, block):
         first, bias, second, other = weights
         labels, starts, places, values = block
-        rows = np.repeat(np.arange(len(labels)), np.diff(starts))
+        rows = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(starts))
         hidden = np.tile(bias, (len(labels), 1))
-        some = np.flatnonzero(np.diff(starts))  # rows with features, whose entries lie one after the other
-        if len(some):
-            hidden[some] += np.add.reduceat(values[:, None] * first[places], starts[some])
+        for part in slices(len(places)):
+            own = rows[part]  # the entries of a row lie one after the other
+            begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            hidden[own[begins]] += np.add.reduceat(values[part, None] * first[places[part]], begins)
         active = np.maximum(hidden, 0)
         scores = active @ second + other
         scores = np.exp(scores - scores.max(1, keepdims=True))
@@ -53,8 +60,10 @@ def mathematics():
         wrong = shares.copy()
         wrong[at, labels] -= 1
         back = (wrong @ second.T) * (hidden > 0)
-        each = values[:, None] * back[rows]
-        by_feature = np.stack([np.bincount(places, column, len(first)) for column in each.T], 1)
+        by_feature = np.zeros_like(first)
+        for part in slices(len(places)):
+            each = values[part, None] * back[rows[part]]
+            by_feature += np.stack([np.bincount(places[part], column, len(first)) for column in each.T], 1)
         return loss, len(labels), [by_feature, back.sum(0), active.T @ wrong, wrong.sum(0)]
 
     return forward, gradient
@@ -65,25 +74,29 @@ def places_of(words: Column, features: int) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
 
 
-def _blocks(size: int, weight: np.ndarray):
+def _blocks(size: int, weight: np.ndarray, most: int = ENTRIES):
     """Rows ``(held, batch, label_index, places)`` to blocks ``(held, batch, block)``."""
 
     def run(rows: Iterator[Row]):
-        waiting: dict[tuple[bool, int], list[Row]] = {}
+        waiting: dict[tuple[bool, int], list[tuple[int, np.ndarray]]] = {}
+        entries: dict[tuple[bool, int], int] = {}
 
-        def made(key, some):
-            places = np.array([p for r in some for p in r["places"]], np.int64)
-            starts = np.cumsum([0] + [len(r["places"]) for r in some])
-            return (*key, (np.array([int(r["label_index"]) for r in some]), starts, places, weight[places]))
+        def made(key):
+            some = waiting.pop(key)
+            entries.pop(key)
+            places = np.concatenate([p for _, p in some])
+            starts = np.cumsum([0] + [len(p) for _, p in some])
+            return (*key, (np.array([label for label, _ in some]), starts, places, weight[places]))
 
         for row in rows:
             key = (row["held"], row["batch"])
-            some = waiting.setdefault(key, [])
-            some.append(row)
-            if len(some) >= size:
-                yield made(key, waiting.pop(key))
-        for key, some in waiting.items():
-            yield made(key, some)
+            places = np.array(row["places"], np.int32)
+            waiting.setdefault(key, []).append((int(row["label_index"]), places))
+            entries[key] = entries.get(key, 0) + len(places)
+            if len(waiting[key]) >= size or entries[key] >= most:
+                yield made(key)
+        for key in list(waiting):
+            yield made(key)
 
     return run
 
@@ -102,14 +115,22 @@ class NetworkModel:
         sent = df.sparkSession.sparkContext.broadcast((self.idf, self.weights))
         rows = df.select(key, places_of(F.coalesce("words", F.array().cast("array<string>")), len(self.idf)).alias("places"))
         kind = df.schema[key].dataType.simpleString()
+        most = ENTRIES
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             idf, weights = sent.value
             for frame in frames:
-                sizes = [len(p) for p in frame["places"]]
-                places = np.concatenate([*frame["places"], np.zeros(0, np.int64)]).astype(np.int64)
-                block = (np.zeros(len(sizes), np.int64), np.cumsum([0, *sizes]), places, idf[places])
-                yield pd.DataFrame({key: frame[key], "probabilities": list(forward(weights, block)[3])})
+                sizes = np.array([len(p) for p in frame["places"]], np.int64)
+                ends = np.cumsum(sizes)
+                shares = []
+                at = 0
+                while at < len(sizes):  # as many rows as hold ``most`` words, one at least
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                    places = np.concatenate([*frame["places"][at:to], np.zeros(0, np.int32)]).astype(np.int32)
+                    block = (np.zeros(to - at, np.int64), np.r_[0, np.cumsum(sizes[at:to])], places, idf[places])
+                    shares += list(forward(weights, block)[3])
+                    at = to
+                yield pd.DataFrame({key: frame[key], "probabilities": shares})
 
         return rows.mapInPandas(run, f"{key} {kind}, probabilities array<double>")
 

@@ -106,3 +106,27 @@ def test_projection_keeps_angles_and_all_terms(spark):
             off.append(got[a] @ got[b] - true)
     assert max(map(abs, off)) < 6 / math.sqrt(ml.DIMENSIONS) and abs(np.mean(off)) < 0.01
     assert not got[99].any() and len(got) == 61 and all(len(v) == ml.DIMENSIONS for v in got.values())
+
+
+def test_memory_of_a_step_is_bounded():
+    """A block of 1.5 million words, one row of them very long: as the plain formula, in a small part of its memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 300_000, 0, *[1200] * 1000, 0, 5])
+    places = rng.integers(0, 64, sizes.sum()).astype(np.int32)
+    values = rng.random(len(places))
+    weights = [rng.normal(size=(64, 16)) / 50, rng.normal(size=16), rng.normal(size=(16, 2)), rng.normal(size=2)]
+    block = (rng.integers(0, 2, len(sizes)), np.r_[0, np.cumsum(sizes)], places, values)
+    forward, gradient = network.mathematics()
+    tracemalloc.start()
+    _, hidden, _, _ = forward(weights, block)
+    _, _, slopes = gradient(weights, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    plain = np.tile(weights[1], (len(sizes), 1))
+    np.add.at(plain, rows, values[:, None] * weights[0][places])
+    assert np.allclose(hidden, plain)
+    assert np.isfinite(slopes[0]).all()
+    assert peak < 60e6, peak
