@@ -13,18 +13,19 @@ from docweave.operators.network import NetworkModel, train_network
 from docweave.plans import predict as plans
 from docweave.session import scratch
 from docweave.sources import derived
+from docweave.sources.stored import stored
 from docweave.sources.tables import load
 
 KEY = "document_id"
 
 
 def labelled(spark: SparkSession, base: str) -> DataFrame:
-    """Labelled documents with their terms; the label is the quality."""
+    """Labelled documents with their terms, written once for all passes of training; the label is the quality."""
     docs = derived.source(spark, base, "documents").select(F.col("doc_id").alias(KEY), "text")
     labels = load(spark, base, "labels").select(
         F.col("doc_id").alias(KEY), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label")
     )
-    return ml.with_terms(docs.join(labels, KEY)).select(KEY, "words", "label")
+    return stored(ml.with_terms(docs.join(labels, KEY)).select(KEY, "words", "label"), "labelled")
 
 
 def unlabelled(spark: SparkSession, base: str) -> DataFrame:
@@ -32,12 +33,12 @@ def unlabelled(spark: SparkSession, base: str) -> DataFrame:
     return ml.with_terms(docs).select(KEY, "words")
 
 
-def first_model(spark: SparkSession, base: str) -> PipelineModel:
-    return ml.text_pipeline().fit(ml.split(labelled(spark, base), KEY)[0])
+def first_model(spark: SparkSession, base: str, rows: DataFrame | None = None) -> PipelineModel:
+    return ml.text_pipeline().fit(ml.split(labelled(spark, base) if rows is None else rows, KEY)[0])
 
 
-def second_model(spark: SparkSession, base: str) -> NetworkModel:
-    return train_network(labelled(spark, base), KEY)[0]
+def second_model(spark: SparkSession, base: str, rows: DataFrame | None = None) -> NetworkModel:
+    return train_network(labelled(spark, base) if rows is None else rows, KEY)[0]
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -83,7 +84,8 @@ def agg_train_metrics(spark: SparkSession, base: str) -> DataFrame:
 
 @query("ensemble_predict")
 def ensemble_predict(spark: SparkSession, base: str) -> DataFrame:
-    first, second = first_model(spark, base), second_model(spark, base)
+    taught = labelled(spark, base)
+    first, second = first_model(spark, base, taught), second_model(spark, base, taught)
     rows = unlabelled(spark, base)
     both = ml.ensemble(
         ml.predict(first, rows, KEY), ml.predict(second, rows, KEY), KEY, ml.labels_of(first)
@@ -94,8 +96,9 @@ def ensemble_predict(spark: SparkSession, base: str) -> DataFrame:
 @query("ensemble_align")
 def ensemble_align(spark: SparkSession, base: str) -> DataFrame:
     """One model over all documents, the other over the labelled ones: each has one prediction or two."""
-    first = ml.predict(first_model(spark, base), unlabelled(spark, base), KEY)
-    second = ml.predict(second_model(spark, base), labelled(spark, base).drop("label"), KEY)
+    taught = labelled(spark, base)
+    first = ml.predict(first_model(spark, base, taught), unlabelled(spark, base), KEY)
+    second = ml.predict(second_model(spark, base, taught), taught.drop("label"), KEY)
     return ml.align(first, second, KEY).select(
         KEY,
         F.col("first_prediction.predicted_class").alias("first_class"),
@@ -145,8 +148,9 @@ def automl_text_train(spark: SparkSession, base: str) -> DataFrame:
 def save_load_model(spark: SparkSession, base: str) -> DataFrame:
     """Two types, one in two versions, stored; the newest of each found by its type and applied."""
     store = ModelStore(spark, scratch(spark, "models"))
-    store.save("text", ml.text_pipeline(features=1 << 10, iterations=5).fit(ml.split(labelled(spark, base), KEY)[0]))
-    store.save_all({"text": first_model(spark, base), "network": second_model(spark, base)})
+    taught = labelled(spark, base)
+    store.save("text", ml.text_pipeline(features=1 << 10, iterations=5).fit(ml.split(taught, KEY)[0]))
+    store.save_all({"text": first_model(spark, base, taught), "network": second_model(spark, base, taught)})
     docs = derived.source(spark, base, "documents").select(F.col("doc_id").alias(KEY), "text")
     out = []
     for kind in ("text", "network"):
