@@ -12,13 +12,13 @@ from docweave.sources.stored import stored
 
 
 def hot_salted_join(
-    facts: DataFrame, lookup: DataFrame, on: str, weight: str, limit: Column, spread: str, salts: int = 64
+    facts: DataFrame, lookup: DataFrame, on: str, weight: str, limit: Column, spread: str, salts: int = 64, parts: int | None = None
 ) -> DataFrame:
     """Join a large side to a lookup of one row per key that knows how many facts each has (``weight``).
 
     Rows of a hot key are spread by a hash of ``spread``. Only keys with more than ``limit`` facts are
     salted; there are at most ``facts / limit`` of them, which is what bounds the broadcast of their names.
-    All other keys join as they are.
+    All other keys join as they are. ``parts``: into how many parts both sides are dealt out.
     """
     heavy = F.col(weight) > limit
     hot = lookup.where(heavy).select(on, F.lit(True).alias("_hot"))
@@ -27,7 +27,10 @@ def hot_salted_join(
         *facts.columns, F.when(F.col("_hot"), salt).otherwise(0).alias("_salt")
     )
     every = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(lookup.withColumn("_salt", F.explode(every)), [on, "_salt"]).drop("_salt")
+    right = lookup.withColumn("_salt", F.explode(every))
+    if parts:
+        left, right = left.repartition(parts, on, "_salt"), right.repartition(parts, on, "_salt")
+    return left.join(right, [on, "_salt"]).drop("_salt")
 
 
 def left_join_many(parent: DataFrame, child: DataFrame, on: str) -> DataFrame:

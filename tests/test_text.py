@@ -160,3 +160,32 @@ def test_protection(spark):
     assert all(r.v == r.back and r.wrong == "" for r in kept)
     shown = spark.range(1).select(privacy.redact(F.lit("ssn 123-45-6789 mail a@b.com call 555-123-4567"))).first()[0]
     assert shown == "ssn [SSN] mail [EMAIL] call [PHONE]"
+
+
+def test_terms_counted_inside_the_row(spark):
+    from collections import Counter
+
+    from docweave.operators import tfidf
+
+    lists = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"]), (1, ["b", "c"])]
+    df = spark.createDataFrame(lists, "k long, ws array<string>")
+    own = [Counter({r.term: r.tf for r in x.c or []}) for x in df.select(tfidf.counted(F.col("ws")).alias("c")).collect()]
+    assert own == [Counter(ws or []) for _, ws in lists]
+    # A key in several rows is one document, as the SQL has it.
+    assert {(r.k, r.term): r.tf for r in tfidf.term_counts(df, "k", F.col("ws")).collect()} == {
+        (1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (4, "x"): 1
+    }
+    parts = ["Red blue red.", "", "the of", "blue green blue blue"]
+    found = spark.createDataFrame([(parts,)], "ss array<string>").select(tfidf.sentence_terms(F.col("ss")).alias("t")).first().t
+    assert sorted((r.sentence, r.tf or 0, r.df or 0) for r in found) == sorted(
+        [(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0), (0, 2, 1), (0, 1, 2), (3, 3, 2), (3, 1, 1)]
+    )
+
+
+def test_summaries_hold_no_terms_in_shuffles(spark):
+    """Terms are counted inside the rows: no window and no grouping over them."""
+    from docweave.operators import tfidf
+
+    df = spark.createDataFrame([(1, "One two. Three four. Five six. Seven eight.")], "document_id long, text string")
+    plan = tfidf.extractive_summary(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "_term" not in plan
