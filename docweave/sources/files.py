@@ -47,21 +47,26 @@ def write_documents(df: DataFrame, path: str, folders: int = 256) -> None:
     """Every text of ``df(document_id, text)`` to a file of its own: ``bucket=…/document_id=…/…``.
 
     The files hold the texts' bytes and one line end. Null and empty texts get no file; texts of one id
-    lie in one folder. Buckets keep listings short; a task writes the documents of its buckets one by one.
+    lie in one folder. Buckets keep listings short; a task writes the documents of its buckets one by one,
+    and there are as many tasks as buckets, as opening a file takes longer than filling it.
     """
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(folders)).alias("bucket")
     some = df.where("text <> ''").select(bucket, "document_id", "text")
-    spread = some.repartition("bucket").sortWithinPartitions("bucket", "document_id")
+    spread = some.repartition(folders, "bucket").sortWithinPartitions("bucket", "document_id")
     spread.write.partitionBy("bucket", "document_id").option("lineSep", END_OF_FILE).text(path)
 
 
 def read_stored_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(document_id, length, content)`` of files that ``write_documents`` has made; the mark at the end goes."""
+    """``(document_id, length, content)`` of files that ``write_documents`` has made; the mark at the end goes.
+
+    Only the buckets are looked up by the driver; tasks list what lies below them, a bucket each.
+    """
     end = len(END_OF_FILE.encode())
     name = F.regexp_extract("path", r"/document_id=([^/]*)/[^/]*\z", 1)
     length = F.col("length") - end
     content = F.substring(F.col("content"), F.lit(1), length.cast("int"))
-    return read_binary_documents(spark, f"{path}/*/*/*").select(name.alias("document_id"), length.alias("length"), content.alias("content"))
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/bucket=*")
+    return stored.select(name.alias("document_id"), length.alias("length"), content.alias("content"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -163,3 +163,13 @@ def test_inputs_are_dealt_out_whatever_their_files_are(spark, tmp_path):
         spark.conf.set("spark.docweave.inputPartitions", wanted)
     assert sum(sizes) == 4000
     assert len(sizes) >= 4 and max(sizes) < 1000
+
+
+def test_stored_documents_are_looked_up_by_bucket(spark, tmp_path):
+    """The driver looks up the buckets, not a folder for every document."""
+    df = spark.range(200).selectExpr("id AS document_id", "concat('text ', id) AS text")
+    files.write_documents(df, str(tmp_path / "d"), folders=3)
+    read = files.read_stored_documents(spark, str(tmp_path / "d"))
+    scan = read._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0)
+    assert scan.relation().location().rootPaths().size() == 3
+    assert read.select("document_id").distinct().count() == 200
