@@ -136,6 +136,63 @@ def test_word_perplexity_against_a_plain_model(spark):
         assert math.isclose(got[key], want, rel_tol=1e-9)
 
 
+def test_word_perplexity_without_the_texts_group(spark):
+    """Every text of a group teaches the model and is scored for itself, by the model of all other groups."""
+    rng = np.random.default_rng(4)
+    some = lambda n: [f"w{int(k)}" for k in rng.zipf(1.5, int(n)) % 40]
+    made = [(1 + i, " ".join(some(n))) for i, n in enumerate(rng.integers(1, 60, 9))]
+    for head in (20, 21):
+        first = some(50)
+        made += [(head, " ".join(w if rng.random() < 0.9 else "new" for w in first)) for _ in range(4)]
+    made += [made[-1], (30, ""), (30, "w1 w2 w1 w2")]
+    df = spark.createDataFrame([(h, h % 2, t) for h, t in made], "head long, model int, text string")
+    df = df.withColumn("text_key", F.xxhash64("text")).withColumn("alone", F.col("head") < 20)
+    keys = {r.text: r.text_key for r in df.collect()}
+    got = {r.text_key: r.word_perplexity for r in wordmodel.perplexity(df, 2).collect()}
+    assert len(got) == len({t for _, t in made if t})
+
+    def tables(some):
+        c3 = collections.Counter()
+        for t in some:
+            w = ["<s>", "<s>", *t.split()]
+            c3.update(zip(w, w[1:], w[2:]))
+        c2 = collections.Counter(g[1:] for g in c3)
+        return [collections.Counter(g[1:] for g in c2), c2, c3]
+
+    for head, text in made:
+        if not text:
+            continue
+        d = [wordmodel.discounts(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))) for c in tables(t for h, t in made if h % 2 == head % 2)]
+        c = tables(t for h, t in made if h % 2 == head % 2 and h != head)
+
+        def p(g):
+            k = len(g)
+            if not k:
+                return 1 / (len(c[0]) + 1)
+            same = {x: v for x, v in c[k - 1].items() if x[:-1] == g[:-1]}
+            total = sum(same.values())
+            if not total:
+                return p(g[1:])
+            off = sum(d[k - 1][min(v, 3)] for v in same.values()) / total
+            v = same.get(g, 0)
+            return (v - d[k - 1][min(v, 3)]) / total + off * p(g[1:])
+
+        w = ["<s>", "<s>", *text.split()]
+        want = -sum(math.log(p(g)) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)
+        assert math.isclose(got[keys[text]], want, rel_tol=1e-6), (head, text)
+
+
+def test_near_copies_have_a_verdict_of_their_own(spark):
+    """Texts that share most of their words are scored one by one."""
+    rng = random.Random(8)
+    pool = [f"{a}{b}" for a in "ka lo mi ne ru so ti va".split() for b in "ben dor fin gal hum jos".split()]
+    made = [" ".join(rng.choice(pool) for _ in range(80)) for _ in range(12)]
+    made += [made[0].replace(pool[3], "unseen"), made[0] + " and one unseen end"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(made)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.log_perplexity for r in quality.judge(df).collect()}
+    assert len({got[i] for i in (0, 12, 13)}) == 3
+
+
 def test_word_salad_leaves_the_band(spark):
     """Ordinary words in no order are spelled well; only a model of words can tell them."""
     rng = np.random.default_rng(5)
