@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -230,30 +231,36 @@ def projected(df: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFram
     Every term adds its weight to ``SIGNS`` places with signs, all told by its hash. There is no vocabulary,
     so no term is left out, and the expected dot product of two documents is that of their whole vectors,
     with a deviation of about one by the root of ``dimensions``. Document frequencies are counted and joined
-    by Spark. Documents without terms get the zero vector.
+    by Spark, on the terms' 64-bit hashes. Documents without terms get the zero vector.
     """
-    weighted = tfidf.tfidf(df, key).select(key, F.xxhash64("term").alias("term"), "weight")
+    hashed = F.transform(terms(F.col("text")), lambda t: F.xxhash64(t))
+    weighted = tfidf.weights(df.select(key, "text"), key, hashed)
     lists = weighted.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
     kind = df.schema[key].dataType.simpleString()
     signs = SIGNS
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for names, weights in zip(frame["terms"], frame["weights"]):
-                names = np.asarray(names, np.int64).astype(np.uint64)
-                vector = np.zeros(dimensions)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                names = rows.column("terms").flatten().to_numpy().astype(np.uint64)
+                weights = rows.column("weights").flatten().to_numpy()
+                n = rows.num_rows
+                owner = np.repeat(np.arange(n), pc.list_value_length(rows.column("terms")).to_numpy())
+                weights = weights / np.sqrt(np.bincount(owner, weights * weights, n))[owner]
+                vectors = np.zeros(n * dimensions)
                 for k in range(signs):
                     x = (names ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
                     x ^= x >> np.uint64(32)
                     x *= np.uint64(0xD6E8FEB86659FD93)
                     x ^= x >> np.uint64(32)
                     sign = np.where(x >> np.uint64(63), 1.0, -1.0)
-                    np.add.at(vector, ((x & np.uint64(0x7FFFFFFF)) % np.uint64(dimensions)).astype(np.int64), sign * np.asarray(weights) / signs**0.5)
-                out.append(vector)
-            yield pd.DataFrame({key: frame[key], "vector": out})
+                    place = owner * dimensions + ((x & np.uint64(0x7FFFFFFF)) % np.uint64(dimensions)).astype(np.int64)
+                    vectors += np.bincount(place, sign * weights / signs**0.5, n * dimensions)
+                bounds = pa.array(np.arange(n + 1) * dimensions, pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column(key), pa.ListArray.from_arrays(bounds, pa.array(vectors))], [key, "vector"])
 
-    some = lists.mapInPandas(run, f"{key} {kind}, vector array<double>")
+    some = lists.mapInArrow(run, f"{key} {kind}, vector array<double>")
     nothing = F.array_repeat(F.lit(0.0), dimensions)
     return df.select(key).join(some, key, "left").select(key, F.coalesce("vector", nothing).alias("vector"))
 

@@ -189,3 +189,23 @@ def test_summaries_hold_no_terms_in_shuffles(spark):
     df = spark.createDataFrame([(1, "One two. Three four. Five six. Seven eight.")], "document_id long, text string")
     plan = tfidf.extractive_summary(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and "_term" not in plan
+
+
+def test_corpus_terms_are_counted_once(spark, tmp_path):
+    """Frequencies and weights read what was counted, they don't cut the texts again."""
+    spark.createDataFrame([(1, "one two two"), (2, "two three"), (3, None)], "document_id int, text string").write.parquet(str(tmp_path / "t"))
+    got = tfidf.tfidf(spark.read.parquet(str(tmp_path / "t")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    assert sorted((r.document_id, r.term, r.tf, r.df) for r in got.collect()) == [(1, "one", 1, 1), (1, "two", 2, 2), (2, "three", 1, 1), (2, "two", 1, 2)]
+
+
+def test_language_analysis_cleans_a_text_once(spark):
+    from docweave.plans.predict import process_documents
+
+    df = spark.createDataFrame([(1, "Good children ran to the buses, cannot fail!"), (2, None)], "document_id int, text string")
+    got = process_documents(df, include_summary=False)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[a-zA-Z") == 1
+    rows = {r.document_id: r for r in got.collect()}
+    want = df.select("document_id", F.size(prep.preprocess(F.col("text"))).alias("n"), classify.sentiment(F.col("text")).alias("s")).collect()
+    assert all(rows[r.document_id].processed_tokens == r.n and rows[r.document_id].sentiment == r.s for r in want)
