@@ -21,6 +21,7 @@ from docweave.operators.entities import explode_entities
 from docweave.plans import process
 from docweave.sources import sinks
 from docweave.sources.stored import folders, remove
+from docweave.sources.tables import spread
 
 Stage = tuple[str, Sequence[process.Step]]
 STAGES: list[Stage] = [("intake", process.REGISTRY[:4]), ("analysis", process.REGISTRY[4:8]), ("storing", process.REGISTRY[8:])]
@@ -47,6 +48,8 @@ class RunStore:
             folder = f"{number}-{stage}"
             if folder not in done:
                 began, clock = datetime.now(UTC), time.perf_counter()
+                if number:  # what a scan of the stage before gives a task follows bytes, the work follows rows
+                    df = spread(df, "document_id")
                 for _, step in steps:
                     df = df.transform(step)
                 df.write.mode("overwrite").parquet(f"{work}/{folder}-rows")

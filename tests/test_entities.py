@@ -188,3 +188,18 @@ def test_offsets_of_few_and_of_many_matches(spark):
         assert [(v.text, v.start, v.end, v.value) for v in row.v] == [
             (m.group(), m.start(), m.end(), m.group(1)) for m in re.finditer(r"\$(\d+),", text)
         ]
+
+
+def test_patterns_with_digits_are_not_tried_on_texts_without(spark):
+    from pyspark.sql import functions as F
+
+    from docweave.functions.entities import REQUIRED_DIGIT, pattern_entities
+    from docweave.functions.fields import INVOICE, invoice_fields
+    from docweave.functions.regex import first_group
+
+    assert "rlike" in str(pattern_entities(F.col("t"), ["phone"])).lower() and REQUIRED_DIGIT >= {"phone", "zip_code"}
+    texts = ["no digits", "٤٥٦ ٤٥٦ ٤٥٦٧", "INVOİCE 4, ınvoice #A1, DUE DATE: 1/2/2020", "TOTAL: $5 Update 01/02/2023", "bıll", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.select(F.size(pattern_entities(F.col("t"), ["phone"]))).collect()[1][0] == 1
+    plain = F.struct(*[first_group(F.col("t"), p).alias(n) for n, p in INVOICE.items()])
+    assert all(r.a == r.b for r in df.select(invoice_fields(F.col("t")).alias("a"), plain.alias("b")).collect())

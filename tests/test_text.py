@@ -209,3 +209,15 @@ def test_language_analysis_cleans_a_text_once(spark):
     rows = {r.document_id: r for r in got.collect()}
     want = df.select("document_id", F.size(prep.preprocess(F.col("text"))).alias("n"), classify.sentiment(F.col("text")).alias("s")).collect()
     assert all(rows[r.document_id].processed_tokens == r.n and rows[r.document_id].sentiment == r.s for r in want)
+
+
+def test_blanks_are_cleaned_one_by_one(spark):
+    """Every kind of blank, alone and in runs, is one blank, without an expression that matches them all."""
+    blanks = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = ["".join(f"A{c}b{c}{c} 1{c}" for c in blanks), *[f"{c}It's  a{c}b-c{c}" for c in blanks], "", None, " \t "]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    column = prep.clean_text(F.col("t"))
+    got = {r.i: r.c for r in made.select("i", column.alias("c")).collect()}
+    plain = lambda t: re.sub(r"\s+", " ", "".join(c for c in t or "" if c.isspace() or c.isascii() and c.isalpha()).lower()).strip()
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert "translate(" in str(column)
