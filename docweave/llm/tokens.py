@@ -10,12 +10,25 @@ from __future__ import annotations
 import json
 from array import array
 from functools import cache
+from operator import attrgetter
 
 WORDS = 250_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ID = attrgetter("id")
 _LATIN = "\u024f"  # up to here a letter's lower case and composed form don't depend on its neighbours
 
 
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]  # all that part words but the blank
+_ASCII_BLANKS = [c for c in _BLANKS if c.isascii()]
+
+
+def single_blanks(text: str) -> bool:
+    """Whether words are parted by one blank each, and by nothing else; told without cutting the text."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return False
+    return not any([c in text for c in (_ASCII_BLANKS if text.isascii() else _BLANKS)])
+
+
 def _byte_signs() -> dict[int, int]:
     """The printable sign that byte-level tokenisers write for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,7 +90,7 @@ class Encoder:
             self.first = _Memory(self._lower_parts)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array("I", list(map(_ID, self.model.tokenize(piece)))).tobytes()
 
     def _plain(self, mark: str, word: str) -> bytes | None:
         """Latin letters and a tail of ASCII marks are one piece each; None for words of other kinds."""
@@ -110,14 +123,14 @@ class Encoder:
         if not text:
             return b""
         if self.kind != "text":
-            words = text.replace("\n", " ").split(" ")
-            if words == text.split():
+            flat = text.replace("\n", " ")
+            if single_blanks(flat):
                 if self.kind == "words":
-                    return b"".join(map(self.first.__getitem__, words))
+                    return b"".join(map(self.first.__getitem__, flat.split(" ")))
                 lines = []
                 for line in text.split("\n"):
-                    head, *rest = line.split(" ")
-                    lines.append(self.first[head] + b"".join(map(self.next.__getitem__, rest)))
+                    head, _, rest = line.partition(" ")
+                    lines.append(self.first[head] + b"".join(map(self.next.__getitem__, rest.split(" "))) if rest else self.first[head])
                 return self.line_end.join(lines)
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -525,6 +525,14 @@ def test_swaps_empty_a_bin():
     assert len(packing.improve([[0, 3], [1, 2], [4]], sizes, 10)) == 2
 
 
+def test_single_blanks_are_told_without_cutting():
+    """The same answer as to cut a text at single blanks and at all white space."""
+    every = [chr(i) for i in range(0x10000) if chr(i).isspace()]
+    texts = ["a", " a", "a ", "a b", "a  b", " ", "a b é", *[f"a{c}b é" for c in every], *[f"a{c}b" for c in every], *every]
+    for text in texts:
+        assert tokens.single_blanks(text) == (text.split(" ") == text.split())
+
+
 # 9 toxicity ----------------------------------------------------------------------------------------
 
 
