@@ -88,3 +88,15 @@ def test_connected(spark):
             low = min(parent[a], parent[b])
             parent[a] = parent[b] = low
     assert found == {n: p for n, p in parent.items() if any(n in link and link[0] != link[1] for link in links)}
+
+
+def test_runs_are_shuffled_once_for_their_lists(spark, tmp_path):
+    from docweave.operators import similar
+
+    rows = [(bytes([i]), 2, [i, i + 1]) for i in range(4)]
+    spark.createDataFrame(rows, "class binary, n int, runs array<bigint>").write.parquet(str(tmp_path / "known"))
+    got = similar.lists(spark.read.parquet(str(tmp_path / "known")), 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning(run" in x]
+    assert len(dealt) == 1
+    assert {(r.run, bytes(r["class"])) for r in got.collect()} >= {(1, b"\x00"), (1, b"\x01"), (2, b"\x01"), (2, b"\x02")}
