@@ -2,19 +2,19 @@
 
 A tokeniser's own normaliser and splitter decide what a word becomes; they never look beyond a word when
 words are parted by single blanks and line ends, which is checked for every text. All other texts, and
-tokenisers of other kinds, are encoded as a whole. The memory holds ``WORDS`` words and as many older ones.
+tokenisers of other kinds, are encoded as a whole. The memory holds ``WORDS`` words and as many older ones, and
+``PIECES`` pieces of them: most words are one piece, which would lie there twice.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import cache
-from operator import attrgetter
 
-WORDS = 250_000
+WORDS, PIECES = 500_000, 60_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_ID = attrgetter("id")
 _LATIN = "\u024f"  # up to here a letter's lower case and composed form don't depend on its neighbours
 
 
@@ -37,6 +37,9 @@ def _byte_signs() -> dict[int, int]:
 
 
 _BYTES = _byte_signs()
+#: Signs of the UTF-8 bytes of every character up to the lower case of ``_LATIN``'s.
+_SIGNS = {c: chr(c).encode("utf-8").decode("latin-1").translate(_BYTES) for c in range(0x3000)}
+_is_latin = re.compile(f"[\\0-{_LATIN}]*").fullmatch
 
 
 def find(name: str) -> str:
@@ -49,15 +52,15 @@ def find(name: str) -> str:
 class _Memory(dict):
     """Encodes what it doesn't hold yet. When full it starts anew, but takes over what is met again."""
 
-    def __init__(self, encode):
+    __slots__ = ("encode", "old", "size")
+
+    def __init__(self, encode, size: int = WORDS):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.size, self.old = encode, size, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = self.encode(word)
-        if len(self) >= WORDS:
+        found = self.old.get(word) or self.encode(word)
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[word] = found
@@ -76,48 +79,46 @@ class Encoder:
             made = json.load(f)
         splitter, normaliser, model = made.get("pre_tokenizer") or {}, made.get("normalizer"), made["model"]
         self.model = self.whole.model
-        self.pieces = _Memory(self._piece)
+        self.pieces = _Memory(self._piece(), PIECES)
         plain = model["type"] == "BPE" and not model.get("dropout")
         self.kind = "text"
         if plain and normaliser is None and splitter.get("type") == "ByteLevel" and not splitter["add_prefix_space"] and splitter["use_regex"]:
             self.kind = "bytes"
-            self.first, self.next = _Memory(lambda w: self._parts(w)), _Memory(lambda w: self._parts(" " + w))
+            self.first, self.next = _Memory(self._word("")), _Memory(self._word("Ġ"))
             self.line_end = self._parts("\n")
         elif plain and [x.get("type") for x in (normaliser or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [
             x.get("type") for x in splitter.get("pretokenizers", [])
         ] == ["Split", "ByteLevel"]:
             self.kind = "words"
-            self.first = _Memory(self._lower_parts)
-
-    def _piece(self, piece: str) -> bytes:
-        return array("I", list(map(_ID, self.model.tokenize(piece)))).tobytes()
-
-    def _plain(self, mark: str, word: str) -> bytes | None:
-        """Latin letters and a tail of ASCII marks are one piece each; None for words of other kinds."""
-        core = word.rstrip(_MARKS)
-        if not core.isalpha():
-            return None
-        known = core.lower() if self.kind == "words" else core
-        if not core.isascii():
-            if max(core) > _LATIN:
-                return None
-            known = known.encode("utf-8").decode("latin-1").translate(_BYTES)
-        out = self.pieces[mark + known]
-        return out + self.pieces[word[len(core) :]] if len(core) < len(word) else out
+            self.first = _Memory(self._word(""))
+
+    def _piece(self):
+        tokenize = self.model.tokenize
+        return lambda piece: array("I", [x.id for x in tokenize(piece)]).tobytes()
+
+    def _word(self, mark: str):
+        """What encodes a word after ``mark``. Latin letters and a tail of ASCII marks are one piece each."""
+        pieces, lower, parts = self.pieces, self.kind == "words", self._parts
+        before = " " if mark else ""
+
+        def encode(word: str) -> bytes:
+            core = word.rstrip(_MARKS)
+            if not core.isalpha():
+                return parts(before + word)
+            known = core.lower() if lower else core
+            if not core.isascii():
+                if not _is_latin(core):
+                    return parts(before + word)
+                known = known.translate(_SIGNS)
+            out = pieces[mark + known]
+            return out + pieces[word[len(core) :]] if len(core) < len(word) else out
+
+        return encode
 
     def _parts(self, text: str) -> bytes:
-        bare = text[1:] if text[:1] == " " else text
-        found = self._plain("Ġ" if bare is not text else "", bare)
-        if found is None:
-            found = b"".join([self.pieces[p] for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
-        return found
-
-    def _lower_parts(self, word: str) -> bytes:
-        found = self._plain("", word)
-        if found is None:
-            text = self.whole.normalizer.normalize_str(word)
-            found = b"".join([self.pieces[p] for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
-        return found
+        if self.kind == "words":
+            text = self.whole.normalizer.normalize_str(text)
+        return b"".join([self.pieces[p] for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:

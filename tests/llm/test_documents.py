@@ -533,6 +533,21 @@ def test_single_blanks_are_told_without_cutting():
         assert tokens.single_blanks(text) == (text.split(" ") == text.split())
 
 
+def test_words_met_again_are_not_encoded_again():
+    """After six hundred thousand others a word is still known, and its letters don't lie in the memory of pieces too."""
+    made = []
+    memory = tokens._Memory(lambda word: made.append(word) or word.encode())
+    for i in range(600_000):
+        memory[str(i)]
+    assert memory["0"] == b"0" and made.count("0") == 1
+    assert len(memory) + len(memory.old) <= 2 * tokens.WORDS
+    encoder = tokens.Encoder(tokens.find("byte_bpe_50k.json"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:8]]
+    encoder.encode(" ".join(words))
+    assert len(encoder.next) == len(words) - 1 > 2 * len(encoder.pieces) > 0
+
+
 # 9 toxicity ----------------------------------------------------------------------------------------
 
 
