@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from array import array
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import graph, neardup, packing, pii, quality, sampling, tokenfiles, tokens, toxicity, wordmodel
 from docweave.llm import words as W
-from docweave.llm.store import new_path
+from docweave.llm.store import keep, new_path, ready
 from tests.llm.conftest import COLUMNS, LONG, ROWS, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -182,6 +183,43 @@ def test_word_perplexity_without_the_texts_group(spark):
         assert math.isclose(got[keys[text]], want, rel_tol=1e-6), (head, text)
 
 
+def test_kept_tables_leave_no_shuffle_files(spark, docs):
+    """What a kept table has shuffled goes with its write, not with the driver's next collection of garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {n for n in (every.apply(i).getName() for i in range(every.size())) if n.startswith("shuffle_")}
+
+    ready(spark)
+    before = files()
+    made = keep(docs.groupBy("lang").count(), "test-tidy")
+    for _ in range(100):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and "lang" in made.columns
+
+
+def test_facts_of_ngrams_are_worked_out_once(spark, monkeypatch):
+    """Texts alone and groups read the same table of facts; the counts it comes from are not read again."""
+    read = []
+
+    def noted(df, name):
+        read.append((name, {f.split("/llm/")[1].rsplit("-", 1)[0] for f in df.inputFiles() if "/llm/" in f}))
+        return keep(df, name)
+
+    monkeypatch.setattr(wordmodel, "keep", noted)
+    made = [(1, "a b c d a b"), (2, "b c d e"), (5, "a b c x"), (5, "a b c y")]
+    df = spark.createDataFrame([(h, 1, t, h < 5) for h, t in made], "head long, model int, text string, alone boolean")
+    assert wordmodel.perplexity(df.withColumn("text_key", F.xxhash64("text")), 2).count() == 4
+    names = [name for name, _ in read]
+    after = read[names.index("words-facts") + 1 :]
+    assert names.count("words-facts") == 1 and len(after) > 2
+    assert not any(f.startswith(("words-1", "words-2", "words-3")) for _, files in after for f in files)
+
+
 def test_near_copies_have_a_verdict_of_their_own(spark):
     """Texts that share most of their words are scored one by one."""
     rng = random.Random(8)
