@@ -220,6 +220,43 @@ def test_facts_of_ngrams_are_worked_out_once(spark, monkeypatch):
     assert not any(f.startswith(("words-1", "words-2", "words-3")) for _, files in after for f in files)
 
 
+def test_ngrams_are_no_rows(spark, monkeypatch):
+    """What is kept on the way has rows for blocks and parts, far fewer than there are n-grams."""
+    kept = []
+
+    def noted(df, name):
+        kept.append(keep(df, name))
+        most.append(kept[-1].count())
+        return kept[-1]
+
+    most = []
+    monkeypatch.setattr(wordmodel, "keep", noted)
+    rng = random.Random(9)
+    made = [(i, 1, " ".join(f"w{rng.randrange(300)}" for _ in range(400))) for i in range(6)]
+    df = spark.createDataFrame(made, "text_key long, model int, text string")
+    assert wordmodel.perplexity(df, 2).count() == 6
+    assert max(most) < 400
+
+
+def test_word_perplexity_in_many_blocks(spark, monkeypatch):
+    """Small blocks, slices, parts, and groups that lie in several blocks change nothing."""
+    rng = np.random.default_rng(7)
+    some = lambda n: [f"w{int(k)}" for k in rng.zipf(1.5, int(n)) % 40]
+    made = [(1 + i, " ".join(some(n))) for i, n in enumerate(rng.integers(1, 60, 9))]
+    for head, n in ((20, 6), (21, 2), (23, 3)):
+        first = some(40)
+        made += [(head, " ".join(w if rng.random() < 0.9 else f"new{i}" for w in first)) for i in range(n)]
+    made += [made[-1], made[0], (30, ""), (31, "w1")]
+    df = spark.createDataFrame([(h, h % 2, t) for h, t in made], "head long, model int, text string")
+    df = df.withColumn("text_key", F.xxhash64("text")).withColumn("alone", F.col("head") < 20)
+    want = {r.text_key: r.word_perplexity for r in wordmodel.perplexity(df, 2).collect()}
+    for name, value in (("BLOCK", 50), ("SPREAD", 100), ("PART", 16), ("SMALL", 0), ("SLICES", 3), ("SUBSETS", 2)):
+        monkeypatch.setattr(wordmodel, name, value)
+    got = {r.text_key: r.word_perplexity for r in wordmodel.perplexity(df, 2).collect()}
+    assert len(got) == len({t for _, t in made if t}) and got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+
+
 def test_near_copies_have_a_verdict_of_their_own(spark):
     """Texts that share most of their words are scored one by one."""
     rng = random.Random(8)
