@@ -97,6 +97,18 @@ def test_summary_equals_formula(spark):
         assert (r.summary, r.error) == expected_summary(TEXTS[r.document_id])
 
 
+def test_best_sentences_are_three(spark):
+    from docweave.catalog import QUERIES
+    from docweave.sources.tables import load
+
+    from tests.conftest import DATA
+
+    texts = {r.doc_id: r.text for r in load(spark, DATA, "documents").collect()}
+    got = {r.document_id: r.best_sentence for r in QUERIES["win_topk_sentences"](spark, DATA).collect()}
+    assert got == {k: expected_summary(t)[0] for k, t in texts.items()}
+    assert any(len(re.findall(r"[.!?](?=\s|$)", got[k])) > 1 and got[k] != t for k, t in texts.items())
+
+
 def test_summary_shuffles_the_texts_once(spark):
     plan = tfidf.extractive_summary(df(spark))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 2  # the same one on both join sides
