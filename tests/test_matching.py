@@ -93,3 +93,10 @@ def test_many_short_texts():
     start = time.process_time()
     matching.counts(texts, many)
     assert time.process_time() - start < 1.0
+
+
+def test_flat_entities_need_no_function_of_each_entity(spark):
+    df = spark.createDataFrame([(1, "tax 5 on 12/24/2024")], "document_id long, text string")
+    flat = ops.flatten_entities(df, {"patterns": cols.pattern_entities(F.col("text")), "financial": cols.financial_entities(F.col("text"))})
+    assert "lambda" not in flat._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.entity_type, r.text) for r in flat.collect()) == [("financial.tax_amount", "tax 5"), ("patterns.date", "12/24/2024")]
