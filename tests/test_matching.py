@@ -100,3 +100,19 @@ def test_flat_entities_need_no_function_of_each_entity(spark):
     flat = ops.flatten_entities(df, {"patterns": cols.pattern_entities(F.col("text")), "financial": cols.financial_entities(F.col("text"))})
     assert "lambda" not in flat._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.entity_type, r.text) for r in flat.collect()) == [("financial.tax_amount", "tax 5"), ("patterns.date", "12/24/2024")]
+
+
+def test_predictions_clean_a_text_once(spark):
+    from docweave.functions import classify
+    from docweave.functions import text as prep
+    from docweave.plans import predict
+
+    df = spark.createDataFrame(list(enumerate(made(9, 40))), "document_id long, text string")
+    done = predict.extract_and_predict(df).select("document_id", "text", "nlp_analysis.processed_tokens", "sentiment", "entity_count")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[a-zA-Z") == 1 and "regexp_count" not in plan
+    alone = df.select("document_id", F.size(prep.preprocess(F.col("text"))).alias("n"), classify.sentiment(F.col("text")).alias("s"))
+    want = {r.document_id: (r.n, r.s) for r in alone.collect()}
+    for r in done.collect():
+        assert (r.processed_tokens, r.sentiment) == want[r.document_id]
+        assert r.entity_count == len(wanted(r.text, cols.PATTERNS))
