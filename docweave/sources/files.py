@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,12 +53,54 @@ def write_documents(df: DataFrame, path: str, folders: int = 256) -> None:
 
     The files hold the texts' bytes and one line end. Null and empty texts get no file; texts of one id
     lie in one folder. Buckets keep listings short; a task writes the documents of its buckets one by one,
-    and there are as many tasks as buckets, as opening a file takes longer than filling it.
+    and there are as many tasks as buckets, as opening a file takes longer than filling it. On a file system
+    that is mounted, the files are written as such: Hadoop's local one runs ``chmod`` for each file and folder.
     """
     bucket = F.pmod(F.xxhash64("document_id"), F.lit(folders)).alias("bucket")
     some = df.where("text <> ''").select(bucket, "document_id", "text")
-    spread = some.repartition(folders, "bucket").sortWithinPartitions("bucket", "document_id")
-    spread.write.partitionBy("bucket", "document_id").option("lineSep", END_OF_FILE).text(path)
+    spread = some.repartition(folders, "bucket").sortWithinPartitions("bucket", "document_id", "text")
+    mounted = _mounted(df.sparkSession, path)
+    if mounted is None:
+        spread.write.partitionBy("bucket", "document_id").option("lineSep", END_OF_FILE).text(path)
+        return
+    os.makedirs(mounted)
+    rows = spread.select("bucket", F.col("document_id").cast("string"), F.col("text").cast("binary"))
+    rows.mapInArrow(_writer(mounted), "files long").agg(F.sum("files")).collect()
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder that ``path`` is on this machine; none if it lies elsewhere."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")  # in a folder's name, as Spark does
+
+
+def _writer(path: str):
+    """Writes rows (bucket, document_id, text), sorted by these; tells how many. A file appears whole, under a name
+    that follows from the rows alone: what a task leaves behind, its next try replaces."""
+
+    def run(batches):
+        files, before, made, attempt = 0, None, None, uuid.uuid4().hex
+        for batch in batches:
+            for *key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                number = number + 1 if key == before else 0
+                before = key
+                name = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", key[1] or "") or "__HIVE_DEFAULT_PARTITION__"
+                folder = f"{path}/bucket={key[0]}/document_id={name}"
+                if folder != made:
+                    os.makedirs(folder, exist_ok=True)
+                    made = folder
+                whole = f"{folder}/part-{number:05d}.txt"
+                with open(f"{folder}/.{attempt}", "wb") as out:
+                    out.write(text + END_OF_FILE.encode())
+                os.replace(out.name, whole)
+                files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    return run
 
 
 def read_stored_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -173,3 +174,26 @@ def test_stored_documents_are_looked_up_by_bucket(spark, tmp_path):
     scan = read._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0)
     assert scan.relation().location().rootPaths().size() == 3
     assert read.select("document_id").distinct().count() == 200
+
+
+def test_documents_are_written_as_plain_files(spark, tmp_path):
+    """No checksum files, which Hadoop's local file system adds (and runs a command for every file and folder);
+    a second try of a task puts the same files in place of the first one's."""
+    rows = [("a/b c", "one"), ("a/b c", "two\n"), ("a/b c", "two\n"), ("ä%", "drei"), (None, "none"), ("x", ""), ("y", None)]
+    df = spark.createDataFrame(rows, "document_id string, text string")
+    path = str(tmp_path / "d")
+    files.write_documents(df, path, folders=2)
+    names = sorted(p.relative_to(path) for p in (tmp_path / "d").rglob("*") if p.is_file())
+    assert len(names) == 5 and all(n.name.startswith("part-") and n.suffix == ".txt" for n in names)
+    assert {n.parts[1] for n in names} == {"document_id=a%2Fb c", "document_id=ä%25", "document_id=__HIVE_DEFAULT_PARTITION__"}
+    whole = lambda: {n: (tmp_path / "d" / n).read_bytes() for n in names}
+    first = whole()
+    assert sorted(first.values()) == sorted((t + "\n").encode() for _, t in rows if t)
+    (tmp_path / "d" / names[0]).with_name(".left").write_bytes(b"half")
+    batch = lambda part: pa.RecordBatch.from_pylist(part, pa.schema([("bucket", "int32"), ("id", "string"), ("text", "binary")]))
+    keys = [str(n.parent).split("=")[1].split("/")[0] for n in names if "a%2Fb c" in str(n)]
+    again = [{"bucket": int(keys[0]), "id": "a/b c", "text": t.encode()} for i, t in sorted(rows[:3])]
+    # The same rows in other batches.
+    assert next(files._writer(path)(iter([batch(again[:1]), batch(again[1:])])))["files"].to_pylist() == [3]
+    assert whole() == first
+    assert files.read_stored_documents(spark, path).count() == 5
