@@ -116,3 +116,15 @@ def test_predictions_clean_a_text_once(spark):
     for r in done.collect():
         assert (r.processed_tokens, r.sentiment) == want[r.document_id]
         assert r.entity_count == len(wanted(r.text, cols.PATTERNS))
+
+
+def test_workers_find_the_package_wherever_the_driver_runs(spark):
+    import os
+
+    import docweave
+    from docweave.session import prepare
+
+    root = os.path.dirname(os.path.dirname(docweave.__file__))
+    for _ in range(2):
+        paths = prepare(spark).sparkContext.environment["PYTHONPATH"].split(os.pathsep)
+    assert paths.count(root) == 1
