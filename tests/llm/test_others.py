@@ -248,3 +248,25 @@ def test_others_do_not_need_this_subpackage():
                 if isinstance(node, (ast.Import, ast.ImportFrom)):
                     name = getattr(node, "module", None) or " ".join(a.name for a in node.names)
                     assert "docweave.llm" not in name
+
+
+def test_sorted_numbers_equal_numpy():
+    """Orders, distinct numbers and their places, also where numbers differ in their low bits only."""
+    import numpy as np
+
+    from docweave.llm import words as W
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 1000, 70_000):
+        for top in (1, 5, 1 << 20, 1 << 50, (1 << 63) - 1):
+            for kind in (np.int64, np.uint64):
+                v = rng.integers(0, top, n, endpoint=True).astype(kind)
+                if kind is np.uint64 and top > 1 << 60:
+                    v = v * np.uint64(2) + np.uint64(1)
+                if top > 1 << 40 and n:
+                    v[rng.integers(0, n, n // 2)] = v[rng.integers(0, n, n // 2)]
+                    v[rng.integers(0, n, n // 2)] ^= kind(3)
+                assert (W.order(v) == np.argsort(v, kind="stable")).all()
+                for got, want in zip(W.unique(v), np.unique(v, return_index=True, return_inverse=True), strict=True):
+                    assert got.dtype == want.dtype and (got == want).all()
+                assert (W.distinct(v) == np.unique(v)).all()
