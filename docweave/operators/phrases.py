@@ -68,7 +68,8 @@ def blocks(df: DataFrame, key: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays(ids + listed, ["block", "n", "words", "keys", "texts"])
 
     of = _arrow(rows, key)
-    return stored(rows.mapInArrow(run, f"block long, n long, words long, keys array<{kind}>, texts array<string>"), "blocks")
+    laid = rows.mapInArrow(run, f"block long, n long, words long, keys array<{kind}>, texts array<string>")
+    return stored(laid, "blocks", tidy=True)
 
 
 def _arrow(df: DataFrame, key: str) -> pa.DataType:
@@ -136,6 +137,15 @@ class Terms:
         return pc.if_else(pa.array(second > 0), pc.binary_join_element_wise(one, two, PARTED), one)
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits, nearly all of them small."""
+    return pa.compress(numbers.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, int(n) * 8, "zstd", asbytes=True), np.int64)
+
+
 def _ask(parts: int):
     """For each block and part: the hashes of its terms, in order, and in how many of its documents each is."""
 
@@ -146,7 +156,7 @@ def _ask(parts: int):
                 if not texts:
                     continue
                 found = Terms(texts, parts)
-                hashes, held = found.hash[found.order], found.held[found.order].astype(np.int32)
+                hashes, held = found.hash[found.order], found.held[found.order].astype(np.int64)
                 some = np.flatnonzero(np.diff(found.bounds))
                 cut = [(found.bounds[p], found.bounds[p + 1]) for p in some]
                 yield pa.RecordBatch.from_arrays(
@@ -154,7 +164,7 @@ def _ask(parts: int):
                         pa.array(np.repeat(batch.column("block")[i].as_py(), len(some))),
                         pa.array(some.astype(np.int32)),
                         pa.array([hashes[a:b].tobytes() for a, b in cut], pa.binary()),
-                        pa.array([held[a:b].tobytes() for a, b in cut], pa.binary()),
+                        pa.array([_pack(held[a:b]) for a, b in cut], pa.binary()),
                     ],
                     ["block", "part", "hashes", "held"],
                 )
@@ -165,11 +175,11 @@ def _ask(parts: int):
 def _answer(asked: pa.Table) -> pa.Table:
     """In how many documents of the corpus the terms of a part are, block by block as asked."""
     hashes = [np.frombuffer(b, np.uint64) for b in asked["hashes"].to_pylist()]
-    held = np.concatenate([np.frombuffer(b, np.int32) for b in asked["held"].to_pylist()])
+    held = np.concatenate([_unpack(b, len(h)) for b, h in zip(asked["held"].to_pylist(), hashes)])
     distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(which, held, len(distinct)).astype(np.int64)[which]
     cuts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-    answers = [total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+    answers = [_pack(total[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.table({"block": asked["block"], "part": asked["part"], "held": pa.array(answers, pa.binary())})
 
 
@@ -183,7 +193,7 @@ def _best(top: int, n: int, parts: int, key: str, of: pa.DataType):
         found = Terms(block["texts"][0].as_py(), parts)
         rows = sorted(zip(answers["part"].to_pylist(), answers["held"].to_pylist()))
         df = np.empty(len(found.order), np.int64)
-        df[found.order] = np.concatenate([np.frombuffer(b, np.int64) for _, b in rows])
+        df[found.order] = np.concatenate([_unpack(b, found.bounds[p + 1] - found.bounds[p]) for p, b in rows])
         df = df[found.which]
         score = found.tf * (np.log((1.0 + n) / (1.0 + df)) + 1.0)
         order = np.lexsort((-score, found.doc))
